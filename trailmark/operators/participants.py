@@ -6,6 +6,7 @@ reset, milestones, activity update, completion.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -49,10 +50,7 @@ def clock(as_of: datetime) -> Column:
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     """Whether a text contains one of the words."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def operator_state(c: Column) -> Column:
@@ -121,19 +119,22 @@ def update_activity(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> Data
 def resolve_completion(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
     """Completion, its date and its progress, as the operator's state allows."""
     state = operator_state(F.col("state"))
-    refused = contains_any(state, cfg.rejection_words + cfg.error_words)
-    false_completion = contains_any(state, cfg.false_completion_words)
     reached = F.col("seen_finished_at").isNotNull() | to_completed(F.col("completed"))
-    done = reached & ~refused & ~false_completion
+    refused = contains_any(state, cfg.rejection_words + cfg.error_words + cfg.false_completion_words)
     finish = to_second(F.coalesce(F.col("seen_finished_at"), clock(as_of)))
-    return df.withColumns(
-        {
-            "completed": F.when(done, True).when(false_completion, False).otherwise(F.col("completed")),
-            "progress_pct": F.when(done, 100.0)
-            .when(false_completion, cfg.false_completion_pct)
-            .otherwise(F.col("progress_pct")),
-            "finished_at": F.when(done, finish).when(~false_completion, F.col("finished_at")),
-        }
+    done, undone = F.col("_done"), F.col("_undone")
+    return (
+        df.withColumns({"_done": reached & ~refused, "_undone": contains_any(state, cfg.false_completion_words)})
+        .withColumns(
+            {
+                "completed": F.when(done, True).when(undone, False).otherwise(F.col("completed")),
+                "progress_pct": F.when(done, 100.0)
+                .when(undone, cfg.false_completion_pct)
+                .otherwise(F.col("progress_pct")),
+                "finished_at": F.when(done, finish).when(~undone, F.col("finished_at")),
+            }
+        )
+        .drop("_done", "_undone")
     )
 
 

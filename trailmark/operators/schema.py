@@ -44,6 +44,8 @@ PARTICIPANT_TYPES = {
 # Text columns in which the texts for "no value" mean no value.
 _CLEANED = {"enrolled_at", "first_log_text", "current_screen"}
 
+_TIMES = "_times"
+
 
 def ensure_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Add the columns that are missing, each with its default."""
@@ -74,49 +76,59 @@ def ensure_schema(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     )
 
 
-def typed(df: DataFrame, name: str, target: str, cfg: ProgressConfig) -> Column:
-    """Column ``name`` as ``target``; texts that cannot be read become NULL."""
-    c = F.col(name)
-    kind = df.schema[name].dataType
-    source = kind.typeName() if kind.simpleString() != NTZ else NTZ
+def _typed(df: DataFrame, name: str, target: str) -> Column:
+    """Column ``name`` as ``target``, for everything but times written as text."""
+    c, source = F.col(name), df.schema[name].dataType.simpleString()
     if target == "string":
         text = text_of(df, name)
         return null_if_missing(text) if name in _CLEANED else text
-    if kind.simpleString() == target:
+    if source == target:
         return null_if_nan(c) if target == "double" else c
-    if source != "string":
-        if target == "int" and source in (NTZ, "timestamp", "date"):
-            return serial_days(c)
-        return c.try_cast(target)
     if target == "int":
-        return safe_int_days(c)
-    if target == "double":
-        return number_or_null(c)
-    if target == "boolean":
-        return completed_flag(null_if_missing(c))
-    return parse_ts(c, cfg.dayfirst_fallback).cast(target)
+        if source == "string":
+            return safe_int_days(c)
+        if source in (NTZ, "timestamp", "date"):
+            return serial_days(c)
+    if source == "string":
+        return number_or_null(c) if target == "double" else completed_flag(null_if_missing(c))
+    return c.try_cast(target)
 
 
 def processed_types(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Any roster, fresh or processed before, with the typed columns of a processed one.
 
-    Columns that are missing are added without a value, further columns stay.
-    The first use keeps its original text beside the timestamp, because a text
-    that cannot be read still counts as a first use.
+    Columns that are missing are added without a value, cells that cannot be
+    read become NULL, further columns stay.  The first use keeps its original
+    text beside the timestamp, because a text that cannot be read still counts
+    as a first use.
     """
-    if "first_log_text" not in df.columns and "first_log_at" in df.columns:
-        if df.schema["first_log_at"].dataType.typeName() == "string":
+    if "first_log_at" in df.columns and "first_log_text" not in df.columns:
+        if df.schema["first_log_at"].dataType.simpleString() == "string":
             df = df.withColumnRenamed("first_log_at", "first_log_text")
         else:
             df = df.withColumn("first_log_text", F.date_format("first_log_at", "yyyy-MM-dd HH:mm:ss"))
+
+    # Times written as text, by the column they are read into.  One function
+    # over an array reads them all, so generated code does not grow with them.
+    texts = {}
+    for name, target in PARTICIPANT_TYPES.items():
+        if target in (NTZ, "date"):
+            source = name if name in df.columns else "first_log_text" if name == "first_log_at" else None
+            if source in df.columns and df.schema[source].dataType.simpleString() == "string":
+                texts[name] = F.col(source)
+    if texts:
+        read = F.transform(F.array(*texts.values()), lambda t: parse_ts(t, cfg.dayfirst_fallback))
+        df = df.withColumn(_TIMES, read)
+
+    places = {name: place for place, name in enumerate(texts)}
     columns = []
     for name, target in PARTICIPANT_TYPES.items():
-        if name in df.columns:
-            value = typed(df, name, target, cfg)
-        elif name == "first_log_at" and "first_log_text" in df.columns:
-            value = parse_ts(F.col("first_log_text"), cfg.dayfirst_fallback)
+        if name in places:
+            value = F.get(_TIMES, F.lit(places[name])).cast(target)
+        elif name in df.columns:
+            value = _typed(df, name, target)
         else:
             value = F.lit(None).cast(target)
         columns.append(value.alias(name))
-    extra = [c for c in df.columns if c not in PARTICIPANT_TYPES]
+    extra = [c for c in df.columns if c not in PARTICIPANT_TYPES and c != _TIMES]
     return df.select(*columns, *extra)

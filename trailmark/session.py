@@ -17,6 +17,8 @@ def build_session(name: str = "trailmark", **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
+    # Call sites of column functions cost a round trip to the JVM each.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
