@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import view
+from checks.views import table, view
 from trailmark.config import (
     CONTACT_POSITIONS,
     CONTACTS_SKIP,
@@ -33,6 +33,7 @@ from trailmark.operators.participants import (
 from trailmark.operators.pending import pending_contacts
 from trailmark.operators.schema import ensure_schema, processed_types
 from trailmark.plans.refresh import refresh, refresh_participants
+from trailmark.session import tune
 from trailmark.sources import keyed, secure, sheets
 from trailmark.sources.log_scan import scan_logs
 from trailmark.sources.snapshots import SnapshotStore
@@ -56,11 +57,10 @@ QUERIES: dict[str, Query] = {}
 def query(run: Query) -> Query:
     """Register a query under its function name."""
 
-    def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf_dir)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(tune(spark), sf_dir)
 
-    QUERIES[run.__name__] = in_utc
+    QUERIES[run.__name__] = tuned
     return run
 
 
@@ -73,6 +73,18 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return dashboard.records(_processed(spark, sf), AS_OF, CFG)
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A refresh read back from its snapshot, as lists, searches and exports do: their filters
+    reach its files, and what they read twice is not computed twice."""
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    store.write("2024-01-31", {"processed": _processed(spark, sf)}, AS_OF)
+    return store.load(CFG).tables["processed"]
+
+
+def _stored_records(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.records(_stored(spark, sf), AS_OF, CFG)
+
+
 # --- Scans, sheets, snapshots ------------------------------------------------
 
 
@@ -120,7 +132,7 @@ def contacts_scan(spark, sf):
 
 @query
 def log_scan_range(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = table(spark, sf, "events")
     return scan_logs(events, date(2024, 1, 10), datetime(2024, 1, 21, 15), CFG, "ts").select("event_id", "ts")
 
 
@@ -174,7 +186,7 @@ def pii_roundtrip(spark, sf):
 
 @query
 def retain_versions(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = table(spark, sf, "events")
     versions = events.select("event_id", F.to_date("ts").alias("version"))
     return keyed.retain_versions(versions, "version", CFG.retained_versions)
 
@@ -193,7 +205,7 @@ QUERIES["ensure_schema"] = QUERIES.pop("ensure_schema_query")
 @query
 def null_normalise(spark, sf):
     texts, numbers = view(spark, sf, "fx_texts"), view(spark, sf, "fx_numbers")
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    events = table(spark, sf, "events").select("event_id", "value")
     rows = texts.join(numbers.withColumnRenamed("text", "number"), "event_id").join(events, "event_id")
     gaps = F.when(null_if_missing(F.col("number")).isNull(), F.lit(float("nan"))).otherwise(F.col("value"))
     return rows.select(
@@ -248,7 +260,7 @@ def screen_progress(spark, sf):
 @query
 def elapsed_days(spark, sf):
     now, at = clock(AS_OF), F.col("ts")
-    return spark.read.parquet(f"{sf}/events.parquet").select(
+    return table(spark, sf, "events").select(
         "event_id", floor_days(now, at).alias("days_since"), floor_days(at, now).alias("days_until")
     )
 
@@ -415,7 +427,7 @@ def filter_values(spark, sf):
 
 @query
 def call_lists(spark, sf):
-    return dashboard.call_lists(_records(spark, sf), CFG)
+    return dashboard.call_lists(_stored_records(spark, sf), CFG)
 
 
 @query
@@ -425,7 +437,7 @@ def call_list_counts(spark, sf):
 
 @query
 def search_participants(spark, sf):
-    return dashboard.search(_records(spark, sf), "ANA1", "BUILDING", "Notificado - No Descarga App")
+    return dashboard.search(_stored_records(spark, sf), "ANA1", "BUILDING", "Notificado - No Descarga App")
 
 
 @query
@@ -443,7 +455,7 @@ def export_rows(spark, sf):
 
 @query
 def export_diff(spark, sf):
-    rows = export.export_diff(_processed(spark, sf), view(spark, sf, "fx_original"), CFG)
+    rows = export.export_diff(_stored(spark, sf), view(spark, sf, "fx_original"), CFG)
     return rows.select(
         "row_no",
         normalise_id(F.col("id")).alias("match_id"),

@@ -177,14 +177,26 @@ FROM {orders}""",
 SELECT 'k' || CAST(user_id AS STRING) AS key, props AS content, ts AS updated_at FROM {events}""",
 }
 
-TABLES = ("customer", "supplier", "orders", "events")
+# Columns of the given tables; stated, so that no file is opened to find them.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a Spark table."""
     text = VIEWS[name]
     used = [t for t in TABLES if "{" + t + "}" in text]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def view_sql(name: str) -> str:

@@ -49,14 +49,24 @@ def text_of(df: DataFrame, name: str) -> Column:
 
 def phone_digits(c: Column) -> Column:
     """ASCII digits of a phone text, without the ``.0`` of numeric cells."""
-    return F.regexp_replace(F.replace(c, F.lit(".0"), F.lit("")), "[^0-9]", "")
+    return F.regexp_replace(c, "[.]0|[^0-9]", "")
+
+
+def last_nine(digits: Column) -> Column:
+    """Last nine digits, or the empty text if there are fewer or none."""
+    return F.when(F.length(digits) >= 9, F.right(digits, F.lit(9))).otherwise(F.lit(""))
 
 
 def phone_key(c: Column) -> Column:
-    """Last nine digits, or the empty text if there are fewer."""
+    """Key of a phone text in one expression, for use within others."""
     return F.coalesce(F.regexp_extract(phone_digits(c), "[0-9]{9}$", 0), F.lit(""))
 
 
+def with_phone_key(df: DataFrame, source: str, target: str = "phone_key") -> DataFrame:
+    """Add the key of a phone column; the digits are a step of their own, so they are taken once per row."""
+    return df.withColumn(target, phone_digits(text_of(df, source))).withColumn(target, last_nine(F.col(target)))
+
+
 def phone_e164(c: Column, country: str = "56") -> Column:
     """Country code and last nine digits; shorter digit texts stay as they are."""
     digits = phone_digits(c)

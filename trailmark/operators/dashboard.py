@@ -1,7 +1,7 @@
 """Dashboard aggregates, lists and cards over processed participants.
 
-Counts with a fixed set of groups are made in one aggregate and then joined to
-that set, which is a handful of rows, so empty groups show as zero.
+Counts over a fixed set of groups are one aggregate without keys: a counter per
+group, so empty groups show as zero and a task hands on a single row.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ def dashboard_input(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
 
 
 def _count_by(df: DataFrame, group: Column, values: list, name: str) -> DataFrame:
-    """Rows per value of a fixed list, zeros included, with the position in the list.
-
-    The grouped side holds only values of the list, so it is safe to broadcast.
-    """
-    keyed = df.select(group.alias(name)).where(F.col(name).isin(*values))
-    counts = keyed.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    listed = F.posexplode(F.array(*map(F.lit, values))).alias("position", name)
-    table = df.sparkSession.range(0, 1, 1, 1).select(listed)
-    return table.join(F.broadcast(counts), name, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """Rows per value of a fixed list, in its order, zeros included; other values do not count."""
+    places = range(len(values))
+    counts = df.select(group.alias(name)).agg(
+        *[F.count_if(F.col(name) == F.lit(values[i])).alias(f"n{i}") for i in places]
+    )
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(values[i]).alias(name), F.col(f"n{i}").alias("n")) for i in places
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def records(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
@@ -78,14 +78,15 @@ def funnel_counts(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Participants per funnel stage, in label order."""
     stages = sorted(cfg.status_labels.values())
     counts = _count_by(df, F.col("status_ordered"), stages, "stage")
-    return counts.withColumn("label", funnel_label(F.col("stage"))).orderBy("stage")
+    return counts.withColumn("label", funnel_label(F.col("stage")))
 
 
 def section_counts(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Active participants per section, in walking order; unknown sections are not shown."""
-    active = df.where(F.col("status").rlike(cfg.active_status_pattern))
-    counts = _count_by(active, section_of(F.col("current_screen")), cfg.sections, "section")
-    return counts.withColumn("label", section_label(F.col("section"), cfg)).orderBy("position")
+    active = F.col("status").rlike(cfg.active_status_pattern)
+    section = F.when(active, section_of(F.col("current_screen")))
+    counts = _count_by(df, section, cfg.sections, "section")
+    return counts.withColumn("label", section_label(F.col("section"), cfg))
 
 
 def school_stats(df: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def cohort_counts(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFr
     buckets = list(range(_LAST_BUCKET + 1))
     counts = _count_by(cohort_weeks(df, as_of, cfg), F.col("bucket"), buckets, "bucket")
     labels = F.array(*map(F.lit, COHORT_LABELS))
-    return counts.select("bucket", F.get(labels, F.col("bucket")).alias("label"), "n").orderBy("bucket")
+    return counts.select("bucket", F.get(labels, F.col("bucket")).alias("label"), "n")
 
 
 def cohort_members(df: DataFrame, bucket: int, as_of: datetime, cfg: ProgressConfig) -> DataFrame:

@@ -33,17 +33,13 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, how: str, cfg: Prog
         .select(key, F.lit(True).alias("_hot"))
     )
     spread = F.xxhash64(*left.columns) + F.spark_partition_id()
-    sliced = (
-        left.withColumn("_spread", spread)
-        .join(F.broadcast(hot), key, "left")
-        .withColumn(
-            _SLICE,
-            F.when(F.col(key).isNull(), F.col("_spread"))
-            .when(F.col("_hot"), F.pmod(F.col("_spread"), F.lit(cfg.hot_key_slices)))
-            .otherwise(F.lit(0)),
-        )
-        .drop("_spread", "_hot")
+    # The hash of the row is taken for hot and missing keys only.
+    slice_of = (
+        F.when(F.col(key).isNull(), spread)
+        .when(F.col("_hot"), F.pmod(spread, F.lit(cfg.hot_key_slices)))
+        .otherwise(F.lit(0).cast("bigint"))
     )
+    sliced = left.join(F.broadcast(hot), key, "left").withColumn(_SLICE, slice_of).drop("_hot")
     first, last = F.lit(0).cast("bigint"), F.lit(cfg.hot_key_slices - 1).cast("bigint")
     slices = F.when(F.col("_hot"), F.sequence(first, last)).otherwise(F.array(first))
     repeated = right.join(F.broadcast(hot), key, "left").withColumn(_SLICE, F.explode(slices)).drop("_hot")

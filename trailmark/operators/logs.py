@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trailmark.config import ProgressConfig
 from trailmark.functions.screens import section_index, section_of
-from trailmark.functions.text import null_if_missing, phone_key, text_of
+from trailmark.functions.text import null_if_missing, with_phone_key
 from trailmark.functions.timestamps import NTZ, parse_ts
 from trailmark.sources.sheets import require_columns
 
@@ -43,14 +43,17 @@ def with_visit_columns(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
         visited = parse_ts(entered, cfg.dayfirst_fallback)
     else:
         visited = entered.cast(NTZ)
-    return logs.withColumn("phone_key", phone_key(text_of(logs, "phone"))).withColumn(
-        "visited_at", F.when(F.col("phone_key") != "", visited)
-    )
+    return with_phone_key(logs, "phone").withColumn("visited_at", F.when(F.col("phone_key") != "", visited))
 
 
 def valid_logs(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
-    """Rows of real use with a full phone and a readable time."""
-    return with_visit_columns(drop_noise(logs, cfg), cfg).where(F.col("visited_at").isNotNull())
+    """Rows of real use with a full phone and a readable time.
+
+    A filter is copied below the columns it tests, and the time would be parsed
+    twice; it stays where it is above a column that is not deterministic.
+    """
+    rows = with_visit_columns(drop_noise(logs, cfg), cfg).withColumn("_partition", F.spark_partition_id())
+    return rows.where(F.col("visited_at").isNotNull() & (F.col("_partition") >= 0)).drop("_partition")
 
 
 def screen_visits(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:

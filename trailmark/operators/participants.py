@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trailmark.config import ProgressConfig
 from trailmark.functions.numbers import to_completed
 from trailmark.functions.screens import progress_pct
-from trailmark.functions.text import phone_key, strip
+from trailmark.functions.text import strip, with_phone_key
 from trailmark.functions.timestamps import NTZ, evaluable_text, floor_days, plus_days, to_second
 from trailmark.operators.joins import join_by_key
 
@@ -61,7 +61,7 @@ def operator_state(c: Column) -> Column:
 def join_activity(participants: DataFrame, summary: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Participants with the summary of their phone; a phone without nine digits matches nothing."""
     seen = summary.select("phone_key", *[F.col(c).alias(n) for c, n in _SEEN.items()])
-    keyed = participants.withColumn("phone_key", F.nullif(phone_key(F.col("phone")), F.lit("")))
+    keyed = with_phone_key(participants, "phone").withColumn("phone_key", F.nullif("phone_key", F.lit("")))
     return join_by_key(keyed, seen, "phone_key", "left", cfg).drop("phone_key")
 
 

@@ -1,24 +1,36 @@
-"""Session with the settings the engine counts on."""
+"""Session settings the engine counts on."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+SETTINGS = {
+    # Times are wall-clock times; UTC has no gaps.
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Longer generated methods are never compiled by the JVM; such a stage runs
+    # faster as separate operators, whose code is cut into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a running session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(name: str = "trailmark", **settings: str) -> SparkSession:
-    """A session with wall-clock times in UTC and adaptive execution.
+    """A session with these settings; ``a__b`` in a keyword stands for ``a.b``.
 
-    Outside a cluster it runs on all cores with a partition per core; on a
-    cluster master and memory come from the submit command.
+    Master, memory and shuffle partitions come from the submit command or from
+    the keywords.
     """
-    builder = (
-        SparkSession.builder.appName(name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
+    builder = SparkSession.builder.appName(name)
     # Call sites of column functions cost a round trip to the JVM each.
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
