@@ -440,7 +440,8 @@ def _with_needed(sql: str) -> str:
                 todo.append(CTES[name])
     if not needed:
         return sql
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
+    once = {"visits", "typed", "joined", "resolved", "processed"}
+    parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({CTES[n]})" for n in CTES if n in needed)
     return f"WITH {parts}\n{sql}"
 
 
