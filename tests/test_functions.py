@@ -89,6 +89,15 @@ TIMES = {
     "2024": "2024-01-01 00:00:00",
     "  2024-05-07   10:11:12 ": "2024-05-07 10:11:12",
     "2024-05-07\t10:11:12": "2024-05-07 10:11:12",
+    " 2024-05-07  10:11:12:250 ": "2024-05-07 10:11:12.25",
+    "07-05-2024   10:11:12": "2024-05-07 10:11:12",
+    "07/05/2024\t10:11:12": "2024-05-07 10:11:12",
+    "7/5/2024  9:05": "2024-05-07 09:05:00",
+    "17-5-2024 10:11:12": "2024-05-17 10:11:12",
+    "1-17-2024": "2024-01-17 00:00:00",
+    "#07-05-2024": None,
+    "07-05-2024x": None,
+    "07-05-20245": None,
     "30-02-2024": None,
     "31/31/2024": None,
     "07-05/2024": None,

@@ -27,8 +27,10 @@ _ISO = rf"^\s*{_Y}-{_D}-{_D}(?:\s+{_H3}|T{_H3}(?:[.]{_F})?)?\s*$"
 _DAY_FIRST = (
     rf"^\s*{_D}(?:-{_D}-{_Y}(?:\s+(?:{_H2}|{_H3}))?|/{_D}/{_Y}(?:\s+(?:{_H2}|{_H3}))?|[.]{_D}[.]{_Y})\s*$"
 )
+# Day first with equal separators and perhaps a time, in parts.
+_DAY_FIRST_TEXT = rf"\s*({_D})([-/])({_D})\2({_Y})(\s+{_D}:{_D}(?::[0-5]?[0-9])?)?\s*$"
 # ISO text with a colon before the fraction; no second reading.
-_COLON = rf"^\s*{_Y}-{_D}-{_D}\s+{_H3}:{_F}\s*$"
+_COLON_TEXT = rf"\s*({_Y}-{_D}-{_D})\s+({_H3}):({_F})\s*$"
 # Year first, read loosely, so with the day before the month.
 _LOOSE = rf"^\s*{_Y}(?:-{_D}-{_D}(?:\s+{_H3}[.]{_F}|(?:\s+|T){_H2})|/{_D}/{_D}(?:\s+{_H3})?)\s*$"
 # Day first, with a two-digit year of this century.
@@ -52,9 +54,15 @@ def _reading(c: Column, part: str, rewrite: str) -> Column:
 def parse_ts(c: Column, dayfirst_fallback: bool = True) -> Column:
     """Timestamp without time zone of a text in one of many spellings, or NULL.
 
-    The shapes exclude each other, the frequent ones come first.  Where a date
-    has two readings the second one is tried only if the first is impossible.
+    The shapes exclude each other, so their order is a matter of cost only.
+    Where a date has two readings the second one is tried only if the first is
+    impossible.  Two frequent shapes are rewritten without a test before: the
+    text carries a mark that only their pattern takes away, and the cast
+    refuses a marked text.
     """
+    marked = F.concat(F.lit("#"), c)
+    padded = F.when(F.substring(c, 3, 1).isin("-", "/"), _reading(marked, "#" + _DAY_FIRST_TEXT, "$4-$3-$1$5"))
+    colon = _reading(marked, "#" + _COLON_TEXT, "$1 $2.$3")
     iso = F.coalesce(
         c.try_cast(NTZ),
         _reading(c, _YEAR_FIRST_DATE, "$1-$2-$3 "),
@@ -63,22 +71,20 @@ def parse_ts(c: Column, dayfirst_fallback: bool = True) -> Column:
     day_first = F.coalesce(
         _reading(c, _DAY_FIRST_DATE, "$3-$2-$1 "), _reading(c, _DAY_FIRST_DATE, "$3-$1-$2 ")
     )
-    colon = _reading(c, rf"\s+({_H3}):({_F})\s*$", " $1.$2")
     month_first = _reading(c, _YEAR_FIRST_DATE, "$1-$2-$3 ")
     if dayfirst_fallback:
         loose = F.coalesce(_reading(c, _YEAR_FIRST_DATE, "$1-$3-$2 "), month_first)
     else:
         loose = month_first
     short = F.coalesce(_reading(c, _SHORT_DATE, "20$3-$2-$1"), _reading(c, _SHORT_DATE, "20$3-$1-$2"))
-    return (
-        F.when(c.rlike(_ISO), iso)
-        .when(c.rlike(_DAY_FIRST), day_first)
-        .when(c.rlike(_COLON), colon)
+    rest = (
+        F.when(c.rlike(_DAY_FIRST), day_first)
         .when(c.rlike(_LOOSE), loose)
         .when(c.rlike(_SHORT), short)
         .when(c.rlike(_COMPACT), _reading(c, r"^\s*(.{4})(..)(..)", "$1-$2-$3"))
         .when(c.rlike(_MONTH), _reading(c, rf"^\s*({_D})/({_Y})", "$2-$1"))
     )
+    return F.coalesce(padded, F.when(c.rlike(_ISO), iso), colon, rest)
 
 
 def swap_day_month(ts: Column) -> Column:

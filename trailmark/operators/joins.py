@@ -25,10 +25,11 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, how: str, cfg: Prog
     if cfg.hot_key_rows is None:
         return left.join(right, key, how)
 
+    # Counting the key itself leaves missing keys at zero without a filter on it,
+    # which would be copied below the count and take the key apart a second time.
     hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        left.groupBy(key)
+        .agg(F.count(key).alias("_rows"))
         .where(F.col("_rows") >= cfg.hot_key_rows)
         .select(key, F.lit(True).alias("_hot"))
     )
