@@ -17,9 +17,13 @@ ENROLLED = "enrolled_on"
 
 
 def with_enrolment(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
-    """Add the enrolment instant, its day and month put right."""
-    read = df.withColumn(ENROLLED, parse_ts(F.col("enrolled_at"), cfg.dayfirst_fallback))
-    return read.withColumn(ENROLLED, swap_day_month(F.col(ENROLLED)))
+    """Add the enrolment instant, its day and month put right.
+
+    The text is read by a function over an array, which keeps the generated
+    code of the wide participant rows small enough to be compiled.
+    """
+    read = F.transform(F.array("enrolled_at"), lambda t: parse_ts(t, cfg.dayfirst_fallback))
+    return df.withColumn(ENROLLED, F.get(read, F.lit(0))).withColumn(ENROLLED, swap_day_month(F.col(ENROLLED)))
 
 
 def classify(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
