@@ -9,9 +9,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Longer generated methods are never compiled by the JVM; such a stage runs
-    # faster as separate operators, whose code is cut into small methods.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
