@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import pack, pack_words, stored, unpack, unpack_words
 
-#: A block is closed at so many words, distinct words or bytes of text.
-BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_BYTES = 6_000_000, 1_000_000, 96_000_000
+#: A block is closed at so many words, distinct words or characters of text, the last text whole.
+BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 6_000_000, 1_000_000, 96_000_000
 BLOCKS = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, codes binary, words binary"
 ANSWERS = "block bigint, part int, answer binary"
 
@@ -35,7 +35,23 @@ class Codes(defaultdict):
 
     def __init__(self):
         super().__init__()
-        self.default_factory = self.__len__
+        self.default_factory = self.__len__  # a word not seen yet gets the next number
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Codes byte plane by byte plane: with frequent words first, the upper planes are nearly all zeros."""
+    planes = [pack((codes >> shift).astype("u1")) for shift in (0, 8, 16)]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in planes)
+
+
+def unpack_codes(blob: bytes) -> np.ndarray:
+    """The codes of ``pack_codes``."""
+    blob, at, codes = bytes(blob), 0, 0
+    for shift in (0, 8, 16):
+        size = int.from_bytes(blob[at : at + 8], "little")
+        codes = codes | (unpack(blob[at + 8 : at + 8 + size], "u1").astype("i4") << shift)
+        at += 8 + size
+    return codes
 
 
 class Block:
@@ -43,7 +59,7 @@ class Block:
 
     def __init__(self, row):
         self.block, self.ids, self.flags = int(row.block), list(row.ids), np.array(row.flags, bool)
-        self.sizes, self.codes = unpack(row.sizes, "i4"), unpack(row.codes, "i4")
+        self.sizes, self.codes = unpack(row.sizes, "i4"), unpack_codes(row.codes)
         self.words = unpack_words(row.words)
         self.ends = np.cumsum(self.sizes, dtype="i8")
         self.starts = self.ends - self.sizes
@@ -60,7 +76,11 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[pa.Rec
     def row():
         kept = [w if isinstance(w, bytes) else w.encode() for w in codes]
         column = np.concatenate(parts) if parts else np.empty(0, "i4")
-        cells = [[first + count], [ids], [flags], [pack(np.array(sizes, "i4"))], [pack(column)], [pack_words(kept)]]
+        order = np.argsort(-np.bincount(column, minlength=len(kept)), kind="stable")
+        place = np.empty(len(kept), "i4")
+        place[order] = np.arange(len(kept), dtype="i4")
+        column, kept = place[column], [kept[i] for i in order.tolist()]
+        cells = [[first + count], [ids], [flags], [pack(np.array(sizes, "i4"))], [pack_codes(column)], [pack_words(kept)]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["block", "ids", "flags", "sizes", "codes", "words"]
@@ -68,13 +88,14 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[pa.Rec
 
     for batch in batches:
         for key, flag, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            found = split(text.as_py() or "")
+            text = text.as_py() or ""
+            found = split(text)
             ids.append(key.as_py())
             flags.append(bool(flag.as_py()))
             sizes.append(len(found))
             parts.append(np.fromiter(map(codes.__getitem__, found), "i4", len(found)))
-            n, volume = n + len(found), volume + sum(map(len, found[:1])) + len(text.as_py() or "")
-            if n >= BLOCK_WORDS or len(codes) >= BLOCK_DISTINCT or volume >= BLOCK_BYTES:
+            n, volume = n + len(found), volume + len(text)
+            if n >= BLOCK_WORDS or len(codes) >= BLOCK_DISTINCT or volume >= BLOCK_CHARS:
                 yield row()
                 count += 1
                 codes, ids, flags, sizes, parts, n, volume = Codes(), [], [], [], [], 0, 0
