@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, decontam, linededup, quality
+from trailmark.llm import bpe, decontam, licences, linededup, quality
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
