@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import pack, pack_words, stored, unpack, unpack_words
 
 #: A block is closed at so many words, distinct words or characters of text, the last text whole.
-BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 6_000_000, 1_000_000, 96_000_000
-BLOCKS = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, codes binary, words binary"
+BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 10_000_000, 1_500_000, 96_000_000
+BLOCKS = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, codes binary, words binary, parts binary"
 ANSWERS = "block bigint, part int, answer binary"
 
 Splitter = Callable[[str], list]
@@ -55,21 +54,26 @@ def unpack_codes(blob: bytes) -> np.ndarray:
 
 
 class Block:
-    """A block row unpacked."""
+    """A block row unpacked; ``parts`` has the part that each word is dealt to."""
 
     def __init__(self, row):
         self.block, self.ids, self.flags = int(row.block), list(row.ids), np.array(row.flags, bool)
         self.sizes, self.codes = unpack(row.sizes, "i4"), unpack_codes(row.codes)
-        self.words = unpack_words(row.words)
+        self.words = unpack_words(row.words) if hasattr(row, "words") else []
+        self.parts = unpack_codes(row.parts)
         self.ends = np.cumsum(self.sizes, dtype="i8")
         self.starts = self.ends - self.sizes
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every distinct word."""
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), "u8", len(self.words))
+        return word_hashes(self.words)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[pa.RecordBatch]:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int) -> Iterator[pa.RecordBatch]:
     first, count = TaskContext.get().partitionId() << 24, 0
     codes, ids, flags, sizes, parts, n, volume = Codes(), [], [], [], [], 0, 0
 
@@ -80,11 +84,11 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[pa.Rec
         place = np.empty(len(kept), "i4")
         place[order] = np.arange(len(kept), dtype="i4")
         column, kept = place[column], [kept[i] for i in order.tolist()]
-        cells = [[first + count], [ids], [flags], [pack(np.array(sizes, "i4"))], [pack_codes(column)], [pack_words(kept)]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["block", "ids", "flags", "sizes", "codes", "words"]
-        )
+        packed = [pack(np.array(sizes, "i4")), pack_codes(column), pack_words(kept), pack_codes(parts_of(word_hashes(kept), n_parts))]
+        cells = [[first + count], [ids], [flags], *[[p] for p in packed]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+        names = ["block", "ids", "flags", "sizes", "codes", "words", "parts"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=names)
 
     for batch in batches:
         for key, flag, text in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -106,11 +110,13 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[pa.Rec
 def blocks(docs: DataFrame, split: Splitter, key: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
     """The documents as stored blocks; ``split`` gives a text's words as str or bytes.
 
-    A null text is empty; a null key stays null; repeated rows stay repeated.
+    Words are dealt to as many parts as there are shuffle partitions.  A null text is empty; a null key stays null;
+    repeated rows stay repeated.
     """
     flags = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), flags.alias("f"), F.col(text).alias("t"))
-    return stored(rows.mapInArrow(lambda batches: _rows(batches, split), BLOCKS), "blocks")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.mapInArrow(lambda batches: _rows(batches, split, n), BLOCKS), "blocks")
 
 
 def parts_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -122,22 +128,18 @@ def by_word(
     stored_blocks: DataFrame,
     answer: Callable[[list[bytes], list[np.ndarray], list], list[bytes]],
     payload: Callable[[Block, np.ndarray], bytes] | None = None,
-    n_parts: int | None = None,
 ) -> DataFrame:
     """For each block and part, what ``answer`` says of the block's words in that part.
 
     ``answer(words, uses, payloads)`` gets the distinct words of a part, for each block the positions
     of its words in that list, and each block's payload; it returns a blob for each block.
     """
-    n = n_parts or int(stored_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 block = Block(row)
-                part = parts_of(block.hashes(), n)
-                order = np.argsort(part, kind="stable")
-                for p, chosen in _runs(part, order):
+                for p, chosen in _runs(block.parts):
                     extra = payload(block, chosen) if payload else b""
                     yield pd.DataFrame({"block": [block.block], "part": [p], "words": [pack_words([block.words[i] for i in chosen.tolist()])], "extra": [extra]})
 
@@ -154,35 +156,34 @@ def by_word(
     return sent.groupBy("part").applyInPandas(met, ANSWERS)
 
 
-def _runs(part: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Equal parts with the positions that have them."""
-    if not len(order):
+    if not len(part):
         return
+    order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for chosen in np.split(order, cuts):
         yield int(part[chosen[0]]), chosen
 
 
 def with_answers(
-    stored_blocks: DataFrame, answers: DataFrame, n_parts: int | None, finish: Callable[[Block, list], pd.DataFrame], schema: str, unpacked: Callable[[bytes], list]
+    stored_blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[bytes], np.ndarray], pd.DataFrame], schema: str
 ) -> DataFrame:
-    """Each block beside the answers to its words, in the order of its words.
+    """Each block beside the answers to its words.
 
-    ``unpacked`` turns a blob into a list with one item a word; ``finish(block, items)`` makes the rows.
+    ``finish(block, blobs, order)`` makes the rows; the blobs joined answer the words in the given order.  Leave the
+    column ``words`` out of the blocks where ``finish`` needs no words.
     """
-    n = n_parts or int(stored_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def beside(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
         for row in left.itertuples():
             block = Block(row)
-            part = parts_of(block.hashes(), n)
-            order = np.argsort(part, kind="stable")
+            runs = list(_runs(block.parts))
             blob = dict(zip(right.part, right.answer, strict=True))
-            items = list(chain.from_iterable(unpacked(blob[p]) for p, _ in _runs(part, order)))
-            back = np.empty(len(order), "i8")
-            back[order] = np.arange(len(order))
-            made.append(finish(block, [items[i] for i in back.tolist()]))
-        return pd.concat(made) if made else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            order = np.concatenate([chosen for _, chosen in runs]) if runs else np.empty(0, "i8")
+            made.append(finish(block, [blob[p] for p, _ in runs], order))
+        return pd.concat(made)[names] if made else pd.DataFrame(columns=names)
 
     return stored_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(beside, schema)

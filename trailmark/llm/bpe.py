@@ -107,8 +107,14 @@ def _ids(blob: bytes) -> list[list[int]]:
 
 def _map_blocks(docs: DataFrame, path: str, finish, schema: str, key: str, text: str) -> DataFrame:
     made = blocks(docs, lambda t: split_words(t, path), key, text)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_answers(made, by_word(made, _answer(path), n_parts=n), n, finish, schema, _ids)
+
+    def in_order(block: Block, blobs: list[bytes], order: np.ndarray) -> pd.DataFrame:
+        ids: list = [None] * len(order)
+        for i, found in zip(order.tolist(), (x for b in blobs for x in _ids(b)), strict=True):
+            ids[i] = found
+        return finish(block, ids)
+
+    return with_answers(made.drop("words"), by_word(made, _answer(path)), in_order, schema)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
