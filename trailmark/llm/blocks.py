@@ -128,11 +128,13 @@ def by_word(
     stored_blocks: DataFrame,
     answer: Callable[[list[bytes], list[np.ndarray], list], list[bytes]],
     payload: Callable[[Block, np.ndarray], bytes] | None = None,
+    total: Callable[[list[bytes], list[np.ndarray], list], bytes] | None = None,
 ) -> DataFrame:
     """For each block and part, what ``answer`` says of the block's words in that part.
 
     ``answer(words, uses, payloads)`` gets the distinct words of a part, for each block the positions
-    of its words in that list, and each block's payload; it returns a blob for each block.
+    of its words in that list, and each block's payload; it returns a blob for each block.  ``total``
+    gets the same and returns one blob for the part, in a row without block.
     """
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +152,11 @@ def by_word(
             found = unpack_words(blob)
             uses.append(np.fromiter(map(codes.__getitem__, found), "i4", len(found)))
         blobs = answer(list(codes), uses, list(frame.extra))
-        return pd.DataFrame({"block": frame.block, "part": frame.part, "answer": blobs})
+        out = pd.DataFrame({"block": frame.block.astype("Int64"), "part": frame.part, "answer": blobs})
+        if total:
+            one = pd.DataFrame({"block": pd.array([None], "Int64"), "part": frame.part[:1].tolist(), "answer": [total(list(codes), uses, list(frame.extra))]})
+            out = pd.concat([out, one])
+        return out
 
     sent = stored_blocks.mapInPandas(dealt, "block bigint, part int, words binary, extra binary")
     return sent.groupBy("part").applyInPandas(met, ANSWERS)
