@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, decontam, jaccard, licences, linededup, lmscore, quality
+from trailmark.llm import bpe, decontam, jaccard, licences, linededup, lmscore, quality, warc
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
