@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, decontam, jaccard, licences, linededup, lmscore, quality, warc
+from trailmark.llm import bpe, decontam, htmltext, jaccard, licences, linededup, lmscore, quality, warc
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
