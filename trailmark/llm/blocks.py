@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import pack, pack_words, stored, unpack, unpack_words
 
-#: A block is closed at so many words, distinct words or characters of text, the last text whole.
-BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 10_000_000, 1_500_000, 96_000_000
+#: A block is closed at so many words (or what the caller says), distinct words or characters of text, the last text whole.
+BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 2_000_000, 1_500_000, 96_000_000
 BLOCKS = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, codes binary, words binary, parts binary"
 ANSWERS = "block bigint, part int, answer binary"
 
@@ -73,7 +73,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int, most_words: int) -> Iterator[pa.RecordBatch]:
     first, count = TaskContext.get().partitionId() << 24, 0
     codes, ids, flags, sizes, parts, n, volume = Codes(), [], [], [], [], 0, 0
 
@@ -99,7 +99,7 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int) -> I
             sizes.append(len(found))
             parts.append(np.fromiter(map(codes.__getitem__, found), "i4", len(found)))
             n, volume = n + len(found), volume + len(text)
-            if n >= BLOCK_WORDS or len(codes) >= BLOCK_DISTINCT or volume >= BLOCK_CHARS:
+            if n >= most_words or len(codes) >= BLOCK_DISTINCT or volume >= BLOCK_CHARS:
                 yield row()
                 count += 1
                 codes, ids, flags, sizes, parts, n, volume = Codes(), [], [], [], [], 0, 0
@@ -107,7 +107,9 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int) -> I
         yield row()
 
 
-def blocks(docs: DataFrame, split: Splitter, key: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
+def blocks(
+    docs: DataFrame, split: Splitter, key: str = "doc_id", text: str = "text", flag: Column | None = None, most_words: int = BLOCK_WORDS
+) -> DataFrame:
     """The documents as stored blocks; ``split`` gives a text's words as str or bytes.
 
     Words are dealt to as many parts as there are shuffle partitions.  A null text is empty; a null key stays null;
@@ -116,7 +118,7 @@ def blocks(docs: DataFrame, split: Splitter, key: str = "doc_id", text: str = "t
     flags = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), flags.alias("f"), F.col(text).alias("t"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(rows.mapInArrow(lambda batches: _rows(batches, split, n), BLOCKS), "blocks")
+    return stored(rows.mapInArrow(lambda batches: _rows(batches, split, n, most_words), BLOCKS), "blocks")
 
 
 def parts_of(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -28,6 +28,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 UNSETTLED = regex.compile(
     "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7c0-\ua7ff\uab60-\uab6f\U00010000-\U0010ffff]"
 )
+#: Words of a block: large blocks send a word less often.
+BLOCK_WORDS = 10_000_000
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -106,7 +108,7 @@ def _ids(blob: bytes) -> list[list[int]]:
 
 
 def _map_blocks(docs: DataFrame, path: str, finish, schema: str, key: str, text: str) -> DataFrame:
-    made = blocks(docs, lambda t: split_words(t, path), key, text)
+    made = blocks(docs, lambda t: split_words(t, path), key, text, most_words=BLOCK_WORDS)
 
     def in_order(block: Block, blobs: list[bytes], order: np.ndarray) -> pd.DataFrame:
         ids: list = [None] * len(order)
