@@ -136,5 +136,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Templates | None
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = None) -> DataFrame:
     """The documents without contaminated ones, with their own columns."""
-    found = _small(stored(matches(docs, benchmark, rules).select(F.col("row").alias("_row")).distinct(), "bench-found"))
-    return docs.withColumn("_row", row_key("doc_id", "text")).join(found, "_row", "left_anti").select(*docs.columns)
+    found = _small(stored(matches(docs, benchmark, rules).select("row").distinct(), "bench-found"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), row_key("doc_id", "text").alias("row"))
+    return rows.join(found, "row", "left_anti").select("doc.*")

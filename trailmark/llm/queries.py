@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, decontam, htmltext, jaccard, licences, linededup, lmscore, quality, warc
+from trailmark.llm import bpe, decontam, htmltext, jaccard, langid, licences, linededup, lmscore, quality, warc
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
