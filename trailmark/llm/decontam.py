@@ -61,6 +61,17 @@ def parsed(text: Column) -> Column:
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), typed)
 
 
+#: A digit, or a capital letter after another word of its sentence: only such texts can have placeholders.
+_OPEN = r"[0-9]|[\p{L}\p{M}][^\p{L}\p{M}0-9.!?\n]+[\p{Lu}\p{Lt}]"
+
+
+def template_words(text: Column) -> Column:
+    """The template words of ``parsed``; texts that cannot have placeholders are only split and lower-cased."""
+    raw = F.coalesce(text, F.lit(""))
+    plain = F.regexp_extract_all(F.lower(raw), F.lit(r"[\p{L}\p{M}]+"), 0)
+    return F.when(raw.rlike(_OPEN), F.transform(parsed(raw), lambda x: x["t"])).otherwise(plain)
+
+
 def _windows(templates: Column, size: Column) -> Column:
     """Hash of each window of ``size`` template words; no window if there are fewer words."""
     n = F.size(templates) - size + 1
@@ -99,12 +110,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = Non
     rows = docs.select(row_key(key, text).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def hashed(p: Column) -> Column:
-        if not sizes:
-            return F.array().cast("array<struct<h:bigint,d:int>>")
-        each = [F.transform(_windows(p, F.lit(s)), lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("d"))) for s in sizes]
-        return F.concat(*each) if len(each) > 1 else each[0]
+        each = [_windows(p, F.lit(s)) for s in sizes] or [F.array().cast("array<bigint>")]
+        return F.array(*each)
 
-    opened = rows.select("row", "doc_id", F.inline(let(F.transform(parsed(F.col("text")), lambda x: x["t"]), hashed)))
+    # one list of windows for each window size; d is the position in the text
+    opened = rows.select("row", "doc_id", F.explode(let(template_words(F.col("text")), hashed)).alias("hs"))
+    opened = opened.select("row", "doc_id", F.posexplode("hs").alias("d", "h"))
     hits = stored(opened.join(known, "h").distinct().join(_small(items), "h").select("row", "doc_id", "item", "d", "at", "size", "n_windows", "slots"), "bench-hits")
     slotted = stored(hits.where(F.size("slots") > 0), "bench-slots")
     # values of the documents that have slots to compare
