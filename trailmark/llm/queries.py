@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import bpe, decontam, htmltext, jaccard, langid, licences, linededup, lmscore, quality, warc
 from trailmark.llm.common import table
+from trailmark.llm.oracles import oracle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle_sql()
 
 
 def query(run):
