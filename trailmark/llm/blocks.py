@@ -23,7 +23,7 @@ from trailmark.llm.common import pack, pack_words, stored, unpack, unpack_words
 
 #: A block is closed at so many words (or what the caller says), distinct words or characters of text, the last text whole.
 BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 2_000_000, 1_500_000, 96_000_000
-BLOCKS = "block bigint, ids array<bigint>, flags array<boolean>, sizes binary, codes binary, words binary, parts binary"
+BLOCKS = "block bigint, ids binary, named binary, flags binary, sizes binary, codes binary, words binary, parts binary"
 ANSWERS = "block bigint, part int, answer binary"
 
 Splitter = Callable[[str], list]
@@ -57,7 +57,8 @@ class Block:
     """A block row unpacked; ``parts`` has the part that each word is dealt to."""
 
     def __init__(self, row):
-        self.block, self.ids, self.flags = int(row.block), list(row.ids), np.array(row.flags, bool)
+        self.block, self.flags = int(row.block), unpack(row.flags, "?")
+        self.ids = [i if known else None for i, known in zip(unpack(row.ids, "i8").tolist(), unpack(row.named, "?").tolist(), strict=True)]
         self.sizes, self.codes = unpack(row.sizes, "i4"), unpack_codes(row.codes)
         self.words = unpack_words(row.words) if hasattr(row, "words") else []
         self.parts = unpack_codes(row.parts)
@@ -84,11 +85,11 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int, most
         place = np.empty(len(kept), "i4")
         place[order] = np.arange(len(kept), dtype="i4")
         column, kept = place[column], [kept[i] for i in order.tolist()]
-        packed = [pack(np.array(sizes, "i4")), pack_codes(column), pack_words(kept), pack_codes(parts_of(word_hashes(kept), n_parts))]
-        cells = [[first + count], [ids], [flags], *[[p] for p in packed]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-        names = ["block", "ids", "flags", "sizes", "codes", "words", "parts"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=names)
+        keys, named = np.array([i or 0 for i in ids], "i8"), np.array([i is not None for i in ids], "?")
+        packed = {"ids": pack(keys), "named": pack(named), "flags": pack(np.array(flags, "?")), "sizes": pack(np.array(sizes, "i4"))}
+        packed |= {"codes": pack_codes(column), "words": pack_words(kept), "parts": pack_codes(parts_of(word_hashes(kept), n_parts))}
+        cells = [pa.array([first + count], pa.int64()), *[pa.array([p], pa.binary()) for p in packed.values()]]
+        return pa.RecordBatch.from_arrays(cells, names=["block", *packed])
 
     for batch in batches:
         for key, flag, text in zip(*(batch.column(i) for i in range(3)), strict=True):

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trailmark.llm.blocks import Block, blocks, by_word, with_answers
 from trailmark.llm.common import pack, unpack
@@ -136,9 +137,11 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         piece = pieces(path)
         for frame in frames:
             texts = [b"".join([piece[i] for i in row]).decode("utf-8", "replace") if row is not None else "" for row in frame[ids]]
-            yield pd.DataFrame({key: frame[key].astype("Int64"), "text": texts})
+            yield pd.DataFrame({key: frame[key], "text": texts})
 
-    return encoded.select(key, ids).mapInPandas(joined, f"{key} bigint, text string")
+    # keys as text, so that large ones stay exact beside nulls
+    rows = encoded.select(F.col(key).cast("string").alias(key), ids).mapInPandas(joined, f"{key} string, text string")
+    return rows.withColumn(key, F.col(key).cast("bigint"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

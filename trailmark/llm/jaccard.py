@@ -174,8 +174,8 @@ def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", tex
                     tokens, places = own[shared].astype("i8"), np.arange(single, single + len(shared), dtype="i4")
                     elements = _six(own) if len(shared) else None
                 out.append((block.block, doc, name, size, first, single, tokens, places, elements))
-        frame = pd.DataFrame(out, columns=names)
-        return frame.assign(doc_id=frame.doc_id.astype("Int64"))
+        cells = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {c: () for c in names}
+        return pd.DataFrame({c: pd.Series(list(v), dtype="Int64" if c == "doc_id" else None) for c, v in cells.items()})
 
     rows = made.groupBy("block").cogroup(_classes(made, width, n).groupBy("block")).applyInPandas(beside, _SETS)
     return stored(rows, "sets")
