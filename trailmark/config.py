@@ -225,11 +225,6 @@ class ProgressConfig:
     # Read year-first text of the loose shapes with the day before the month.
     dayfirst_fallback: bool = True
 
-    # A join key with at least this many rows on the many-rows side is split
-    # over `hot_key_slices` tasks; None turns the check off.
-    hot_key_rows: int | None = 1_000_000
-    hot_key_slices: int = 256
-
     @property
     def sections(self) -> list[str]:
         """Sections in walking order."""

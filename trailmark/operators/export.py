@@ -59,7 +59,7 @@ def export_diff(
         return export_rows(processed).withColumns({"change_kind": F.lit("new"), "changed_columns": none})
     df = project_export(processed)
     keyed = df.withColumn("match_id", normalise_id(text_of(df, "id")))
-    joined = join_by_key(keyed, latest_rows(original, order_by), "match_id", "left", cfg)
+    joined = join_by_key(keyed, latest_rows(original, order_by), "match_id", "left")
     shared = [c for c in df.columns if c in original.columns and c != order_by]
     cells = F.array(
         *[

@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.config import ProgressConfig
+_KEY, _RIGHT = "_join_key", "_right_key"
 
-_SLICE = "_slice"
 
+def frequent_keys(df: DataFrame, key: str) -> list:
+    """Keys that alone have at least a task's share of all rows.
+
+    The share is the number of rows over the number of shuffle partitions, so there are no more such keys than
+    partitions.  One pass with a sketch whose size follows from that number; it misses no such key, and the counts
+    that decide are never too low.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = 1 << (4 * parts).bit_length()
+    named = df.where(F.col(key).isNotNull()).select(F.col(key))
+    found = named.agg(F.expr(f"approx_top_k({key}, {min(parts, tracked)}, {tracked})").alias("top"), F.count("*").alias("n")).first()
+    return [x.item for x in found.top if parts > 1 and x["count"] * parts >= found.n and x["count"] > 1]
+
+
+def _spread(key: Column, columns: list[str]) -> Column:
+    """The key, or for a missing one a text that matches nothing and differs from row to row.
+
+    It comes from the row's content and its partition, so it is the same when a lost task runs again, and copies of
+    one row still spread.
+    """
+    noise = F.xxhash64(*columns) + F.spark_partition_id()
+    return F.coalesce(key, F.concat(F.lit("\0"), noise.cast("string")))
+
+
+def _plain(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on the key itself, which the right side may already be partitioned by."""
+    spread = left.withColumn(_KEY, _spread(F.col(key), left.columns))
+    other = right.withColumnRenamed(key, _RIGHT)
+    return spread.join(other, F.col(_KEY) == F.col(_RIGHT), how).drop(_KEY, _RIGHT)
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, how: str, cfg: ProgressConfig) -> DataFrame:
-    """``left`` joined to ``right``, which has at most one row per ``key``.
 
-    Keys with at least ``cfg.hot_key_rows`` rows on the left are cut into
-    ``cfg.hot_key_slices`` slices and their single right row is repeated for
-    every slice, so no task gets a whole hot key.  There are at most
-    rows / hot_key_rows such keys, which is what bounds the broadcast.  Rows
-    with a NULL key match nothing and are spread over all tasks.
+def join_by_key(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """``left`` joined to ``right``, which has at most one row per text ``key``; inner, left, semi or anti.
 
-    The slice comes from the row's content and its partition, so it is the same
-    when a lost task runs again, and copies of one row still spread.
+    Rows of the left's frequent keys meet their right rows by broadcast: at most one row for each shuffle partition.
+    All others are joined by the key, rows with a NULL key spread over all tasks.
     """
-    if cfg.hot_key_rows is None:
-        return left.join(right, key, how)
-
-    # Counting the key itself leaves missing keys at zero without a filter on it,
-    # which would be copied below the count and take the key apart a second time.
-    hot = (
-        left.groupBy(key)
-        .agg(F.count(key).alias("_rows"))
-        .where(F.col("_rows") >= cfg.hot_key_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    spread = F.xxhash64(*left.columns) + F.spark_partition_id()
-    # The hash of the row is taken for hot and missing keys only.
-    slice_of = (
-        F.when(F.col(key).isNull(), spread)
-        .when(F.col("_hot"), F.pmod(spread, F.lit(cfg.hot_key_slices)))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    sliced = left.join(F.broadcast(hot), key, "left").withColumn(_SLICE, slice_of).drop("_hot")
-    first, last = F.lit(0).cast("bigint"), F.lit(cfg.hot_key_slices - 1).cast("bigint")
-    slices = F.when(F.col("_hot"), F.sequence(first, last)).otherwise(F.array(first))
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn(_SLICE, F.explode(slices)).drop("_hot")
-    return sliced.join(repeated, [key, _SLICE], how).drop(_SLICE)
+    hot = frequent_keys(left, key)
+    if not hot:
+        return _plain(left, right, key, how)
+    is_hot = F.col(key).isin(*hot)
+    rest = _plain(left.where(~F.coalesce(is_hot, F.lit(False))), right, key, how)
+    return rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).select(*rest.columns))

@@ -1,11 +1,10 @@
 """From screen visits to one summary row per phone.
 
-The reduction has two steps.  :func:`screen_visits` keeps the first and last
-visit per phone and screen; its buffers are two timestamps, so the map side
-combines in a hash table before anything is shuffled and a phone with a third
-of all visits leaves at most one row per screen and task.  :func:`summarise`
-then picks first and last use, last and furthest screen from those few rows.
-Visits merge by minimum and maximum, which is also what the streams store.
+:func:`log_summary` is one aggregate by phone: every task combines its rows to
+one for each phone before anything is shuffled, so the log is shuffled once and
+a phone with a third of all visits does no harm.  Streams store
+:func:`screen_visits` instead, first and last visit per phone and screen, which
+merge by minimum and maximum; :func:`summarise` makes the summary of them.
 """
 
 from __future__ import annotations
@@ -56,18 +55,23 @@ def valid_logs(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
     return rows.where(F.col("visited_at").isNotNull() & (F.col("_partition") >= 0)).drop("_partition")
 
 
-def screen_visits(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
-    """First and last visit per phone and screen.
+def _visit_rows(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
+    """Phone, screen and time of log rows.
 
     Invalid rows have a NULL time, which minimum and maximum skip; filtering the
     groups afterwards keeps the costly time parsing out of a pushed-down filter,
     where it would run a second time for every log row.
     """
-    rows = with_visit_columns(drop_noise(logs, cfg), cfg).select(
+    return with_visit_columns(drop_noise(logs, cfg), cfg).select(
         "phone_key", null_if_missing(F.col("screen")).alias("screen"), "visited_at"
     )
+
+
+def screen_visits(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
+    """First and last visit per phone and screen."""
     return (
-        rows.groupBy(*VISIT_KEYS)
+        _visit_rows(logs, cfg)
+        .groupBy(*VISIT_KEYS)
         .agg(F.min("visited_at").alias("first_at"), F.max("visited_at").alias("last_at"))
         .where(F.col("first_at").isNotNull())
     )
@@ -80,24 +84,25 @@ def merge_visits(visits: DataFrame) -> DataFrame:
     )
 
 
-def summarise(visits: DataFrame, cfg: ProgressConfig) -> DataFrame:
-    """One row per phone: first and last use, last, furthest and effective screen, first completion.
+def _summary(rows: DataFrame, first: str, last: str, cfg: ProgressConfig) -> DataFrame:
+    """One row per phone of rows with a screen and the first and last time it was seen.
 
-    Equal times are settled by the screen name.
+    Equal times are settled by the screen name; rows without a time do not count.
     """
-    screen = F.col("screen")
+    screen, timed = F.col("screen"), F.col(last).isNotNull()
     index = section_index(section_of(screen), cfg)
-    last = F.struct("last_at", "screen")
-    furthest = F.struct(index.alias("index"), F.col("last_at"), screen)
+    latest = F.struct(F.col(last).alias("at"), screen)
+    furthest = F.struct(index.alias("index"), F.col(last).alias("at"), screen)
     return (
-        visits.groupBy("phone_key")
+        rows.groupBy("phone_key")
         .agg(
-            F.min("first_at").alias("first_log_at"),
-            F.max("last_at").alias("last_used_at"),
-            F.max(F.when(screen.isNotNull(), last)).alias("last"),
-            F.max(F.when(index >= 0, furthest)).alias("furthest"),
-            F.min(F.when(screen.isin(*cfg.final_screens), F.col("first_at"))).alias("finished_at"),
+            F.min(first).alias("first_log_at"),
+            F.max(last).alias("last_used_at"),
+            F.max(F.when(timed & screen.isNotNull(), latest)).alias("last"),
+            F.max(F.when(timed & (index >= 0), furthest)).alias("furthest"),
+            F.min(F.when(screen.isin(*cfg.final_screens), F.col(first))).alias("finished_at"),
         )
+        .where(F.col("first_log_at").isNotNull())
         .select(
             "phone_key",
             "first_log_at",
@@ -110,6 +115,11 @@ def summarise(visits: DataFrame, cfg: ProgressConfig) -> DataFrame:
     )
 
 
+def summarise(visits: DataFrame, cfg: ProgressConfig) -> DataFrame:
+    """One row per phone: first and last use, last, furthest and effective screen, first completion."""
+    return _summary(visits, "first_at", "last_at", cfg)
+
+
 def log_summary(logs: DataFrame, cfg: ProgressConfig) -> DataFrame:
-    """Summary of the valid logs, one row per phone."""
-    return summarise(screen_visits(logs, cfg), cfg)
+    """Summary of the valid logs, one row per phone, in one shuffle."""
+    return _summary(_visit_rows(logs, cfg), "visited_at", "visited_at", cfg)

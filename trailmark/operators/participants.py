@@ -58,11 +58,11 @@ def operator_state(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
-def join_activity(participants: DataFrame, summary: DataFrame, cfg: ProgressConfig) -> DataFrame:
+def join_activity(participants: DataFrame, summary: DataFrame) -> DataFrame:
     """Participants with the summary of their phone; a phone without nine digits matches nothing."""
     seen = summary.select("phone_key", *[F.col(c).alias(n) for c, n in _SEEN.items()])
     keyed = with_phone_key(participants, "phone").withColumn("phone_key", F.nullif("phone_key", F.lit("")))
-    return join_by_key(keyed, seen, "phone_key", "left", cfg).drop("phone_key")
+    return join_by_key(keyed, seen, "phone_key", "left").drop("phone_key")
 
 
 def fill_first_log(df: DataFrame) -> DataFrame:
@@ -142,6 +142,6 @@ def participant_activity(
     participants: DataFrame, summary: DataFrame, as_of: datetime, cfg: ProgressConfig
 ) -> DataFrame:
     """All steps on typed participants, without the funnel stage."""
-    df = fill_first_log(join_activity(participants, summary, cfg))
+    df = fill_first_log(join_activity(participants, summary))
     df = update_activity(milestones(reset_unseen(df), as_of, cfg), as_of, cfg)
     return resolve_completion(df, as_of, cfg).drop(*_SEEN.values())

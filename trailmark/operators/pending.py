@@ -22,4 +22,4 @@ def pending_contacts(contacts: DataFrame, participants: DataFrame, cfg: Progress
         full_name(*[F.col(f"child_name_{i}") for i in (1, 2, 3)]).alias("child_name"),
     )
     known = participants.select(normalise_id(text_of(participants, "id")).alias("id")).distinct()
-    return join_by_key(eligible, known, "id", "left_anti", cfg)
+    return join_by_key(eligible, known, "id", "left_anti")
