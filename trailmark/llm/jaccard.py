@@ -8,12 +8,13 @@ Method, exact and without all pairs of a group:
 * Equal sets are one set from here on.
 * Shingles are ordered by the power of two of their number of sets, then by hash.  Only a set's first shingles, without
   those no other set has, enter the index lists: sets that link share one of them.
-* Every set is compared with one hub, the set with fewest shingles of its own among those it shares most lists with.
-  Sets that link with their hub form its family; the overlap with the hub is kept.
+* Every set is compared with one hub: of the sets whose shingles are the most common in a list, that which it shares
+  most lists with.  Sets that link with their hub form its family; the overlap with the hub is kept.
 * Lists hold families instead of sets, in blocks by position; blocks whose positions and sizes cannot reach the overlap
-  are skipped.  For families that meet, the hubs are compared.  If they link, their members are connected.  If not, the
-  answers of the members are derived: overlap(x, w) <= overlap(hubs) + |x minus hub| + |w minus hub|; only pairs of
-  members that share a list and whose bounds still reach the limit are compared.
+  are skipped.  For families that meet, the hubs are compared.  If they link, their members are connected.  If not, and
+  nothing else has connected them, the answers of the members are derived from those of the hubs: with b(x) the
+  shingles of x that its hub lacks and some other set has, overlap(x, w) <= overlap(hubs) + b(x) + b(w), and less where
+  one of them is a hub.  Only members that share a list and whose bound still reaches the limit are compared.
 
 Shingles are kept as 48 of 64 hash bits, so a pair's overlap is wrong with a chance of about n^2 / 2^48.
 Null ids stay null and never name a component; rows that come twice come out twice; a null text has no set; extra
@@ -41,7 +42,7 @@ KEPT_BITS, COUNT_BITS = 48, 44
 BLOCK_ENTRIES = 512
 _LOW = (1 << 40) - 1
 _SETS = (
-    "block bigint, doc_id bigint, set_id bigint, n bigint, first boolean, single bigint, tokens array<bigint>, places array<int>, elements binary"
+    "block bigint, doc_id bigint, set_id bigint, n bigint, first boolean, single bigint, depth bigint, tokens array<bigint>, places array<int>, elements binary"
 )
 
 
@@ -162,18 +163,18 @@ def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", tex
             _, back, _ = _counted_keys(firsts)
             ranks, at, todo = flat[back], 0, iter(firsts)
             for doc, (name, size, first) in zip(block.ids, rows, strict=True):
-                single, tokens, places, elements = 0, [], [], None
+                single, depth, tokens, places, elements = 0, 0, [], [], None
                 if first:
                     own = next(todo)
                     rank = ranks[at : at + len(own)]
                     at += len(own)
                     order = np.lexsort((own, rank))
-                    single = int((rank == 0).sum())
+                    single, depth = int((rank == 0).sum()), int(1000 * (63 - rank.mean()))
                     prefix = size - -(-percent * size // 100) + 1
                     shared = order[single:prefix]
                     tokens, places = own[shared].astype("i8"), np.arange(single, single + len(shared), dtype="i4")
                     elements = _six(own) if len(shared) else None
-                out.append((block.block, doc, name, size, first, single, tokens, places, elements))
+                out.append((block.block, doc, name, size, first, single, depth, tokens, places, elements))
         cells = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {c: () for c in names}
         return pd.DataFrame({c: pd.Series(list(v), dtype="Int64" if c == "doc_id" else None) for c, v in cells.items()})
 
@@ -200,17 +201,20 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInPandas(counted, "a bigint, b bigint, o bigint")
 
 
-def links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect all linked sets; ``rows`` from ``set_rows``."""
+def linked_components(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of all sets that link with another one; ``rows`` from ``set_rows``."""
     firsts = rows.where("first and size(tokens) > 0")
     one = firsts.groupBy("set_id").agg(F.min("block").alias("block"))
-    sets = stored(firsts.join(one, ["set_id", "block"], "left_semi").select("set_id", "n", "single", "tokens", "places", "elements"), "index-sets")
+    sets = firsts.join(one, ["set_id", "block"], "left_semi")
+    sets = stored(sets.select("set_id", "n", "single", "depth", "tokens", "places", "elements"), "index-sets")
     size = sets.select("set_id", "n")
     entry = F.explode(F.arrays_zip("tokens", "places")).alias("e")
-    entries = sets.select("set_id", "n", "single", entry).select(F.col("e.tokens").alias("token"), "set_id", "n", "single", F.col("e.places").alias("place"))
+    entries = sets.select("set_id", "n", "single", "depth", entry).select(
+        F.col("e.tokens").alias("token"), "set_id", "n", "single", "depth", F.col("e.places").alias("place")
+    )
 
     # every set and its hub
-    rank = F.floor(F.col("single") * 1000 / F.col("n")) * (_LOW + 1) + F.col("set_id").bitwiseAND(F.lit(_LOW))
+    rank = F.col("depth") * (_LOW + 1) + F.col("set_id").bitwiseAND(F.lit(_LOW))
     lists = entries.groupBy("token").agg(
         F.count("*").alias("length"), F.min_by("set_id", rank).alias("hub"), F.min_by("n", rank).alias("hub_n")
     )
@@ -225,17 +229,17 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 
     # families: sets that link with their hub and are not hubs themselves
     heads = linked.select(F.col("b").alias("a")).distinct()
-    family = linked.join(heads, "a", "left_anti").select(
-        F.col("a").alias("set_id"), F.col("b").alias("family"), (F.col("n_a") - F.col("o")).alias("beyond")
-    )
+    family = linked.join(heads, "a", "left_anti").select(F.col("a").alias("set_id"), F.col("b").alias("family"), "o")
     placed = entries.join(family, "set_id", "left").select(
-        "token", "set_id", "n", "place", F.coalesce("family", "set_id").alias("family"), F.coalesce("beyond", F.lit(0)).alias("beyond")
-    )
+        "token", "set_id", "n", "place", F.coalesce("family", "set_id").alias("family"), F.coalesce("o", "n").alias("with_hub"),
+        (F.col("n") - F.col("single")).alias("shared"),
+    )
+    placed = placed.withColumn("beyond", F.greatest(F.col("shared") - F.col("with_hub"), F.lit(0)))
     placed = stored(placed, "index-entries")
 
     # lists of families, in blocks by position
     grouped = placed.groupBy("token", "family").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("rest"), F.max("beyond").alias("beyond")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("rest")
     )
     lengths = grouped.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
     opened = grouped.join(lengths, "token").withColumn("part", F.pmod(F.xxhash64("family"), F.ceil(F.col("length") / BLOCK_ENTRIES)))
@@ -251,22 +255,39 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stored(_sized(overlaps(pairs.join(known, ["a", "b"], "left_anti"), sets), size), "family-overlaps")
 
-    # members of families whose hubs do not link
+    # members of families that nothing has connected yet
+    found = linked.select("a", "b").unionByName(second.where(_links(percent)).select("a", "b"))
+    roots = stored(components(found), "roots")
     apart = second.unionByName(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "n_a", "n_b")).where(~_links(percent))
-    heads = placed.where("set_id <> family").groupBy("family").agg(F.max("beyond").alias("reach"))
-    some = apart.join(heads.select(F.col("family").alias("a"), F.col("reach").alias("reach_a")), "a", "left")
-    some = some.join(heads.select(F.col("family").alias("b"), F.col("reach").alias("reach_b")), "b", "left")
-    some = some.where("reach_a is not null or reach_b is not null").select("a", "b", "o").distinct()
-    x = placed.select("token", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "place", "beyond")], F.col("family").alias("a"))
-    y = placed.select("token", *[F.col(c).alias(f"{c}_y") for c in ("set_id", "n", "place", "beyond")], F.col("family").alias("b"))
-    inner = x.join(some, "a").join(y, ["token", "b"])
-    rest = [F.col(f"n_{s}") - F.col(f"place_{s}") for s in "xy"]
-    need = (100 + percent) * F.least(F.col("o") + F.col("beyond_x") + F.col("beyond_y"), *rest) >= percent * (F.col("n_x") + F.col("n_y"))
-    fits = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    inner = inner.where(need & fits & ~((F.col("set_id_x") == F.col("a")) & (F.col("set_id_y") == F.col("b"))))
-    inner = inner.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b")).distinct()
-    third = _sized(overlaps(inner, sets), size).where(_links(percent)).select("a", "b")
-    return linked.select("a", "b").unionByName(second.where(_links(percent)).select("a", "b")).unionByName(third)
+    heads = placed.groupBy("family").agg(
+        F.max("beyond").alias("reach"), F.min("n").alias("low"), F.max(F.when(F.col("set_id") != F.col("family"), 1).otherwise(0)).alias("more")
+    )
+    some = apart.select("a", "b", "o").distinct()
+    for s in "ab":
+        some = some.join(heads.select(F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reach", "low", "more")]), s)
+        some = some.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+    some = some.where("more_a + more_b > 0 and coalesce(root_a, a) <> coalesce(root_b, b)")
+    some = stored(some.select("a", "b", "o", "reach_a", "low_a", "reach_b", "low_b"), "families-apart")
+    enough = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
+
+    def members(s: str, t: str) -> DataFrame:
+        """Entries of the members of one side that may reach any member of the other."""
+        own = placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "shared", "with_hub", "beyond")], (F.col("n") - F.col("place")).alias(f"rest_{s}"), F.col("family").alias(s))
+        most = F.least(F.col("o") + F.col(f"beyond_{s}") + F.col(f"reach_{t}"), F.col(f"rest_{s}"))
+        return own.join(some, s).where(enough(most, F.col(f"n_{s}"), F.col(f"low_{t}"))).drop("o", "reach_a", "low_a", "reach_b", "low_b")
+
+    inner = members("a", "b").join(members("b", "a").join(some.select("a", "b", "o"), ["a", "b"]), ["token", "a", "b"])
+    head_a, head_b = F.col("set_id_a") == F.col("a"), F.col("set_id_b") == F.col("b")
+    one_hub = lambda x, h: F.least("o", f"with_hub_{x}") + F.least(F.col(f"beyond_{x}"), F.greatest(F.col(f"shared_{h}") - F.col("o"), F.lit(0)))
+    bound = F.when(head_a, one_hub("b", "a")).when(head_b, one_hub("a", "b")).otherwise(F.col("o") + F.col("beyond_a") + F.col("beyond_b"))
+    most = F.least(bound, F.col("rest_a"), F.col("rest_b"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    inner = inner.where(enough(most, F.col("n_a"), F.col("n_b")) & fits & ~(head_a & head_b))
+    inner = inner.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
+    third = stored(_sized(overlaps(inner, sets), size).where(_links(percent)).select("a", "b"), "member-links")
+    if third.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
 
 
 def _sized(found: DataFrame, size: DataFrame) -> DataFrame:
@@ -288,7 +309,7 @@ def _reach(low_l, high_l, rest_l, low_r, high_r, rest_r, percent: int):
 def join(docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id) of every document."""
     rows = set_rows(docs, width, percent, key, text)
-    roots = components(links(rows, percent))
+    roots = linked_components(rows, percent)
     own = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     own = own.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     own = stored(own, "set-roots")
