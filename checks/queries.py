@@ -38,7 +38,7 @@ from trailmark.sources import keyed, secure, sheets
 from trailmark.sources.log_scan import scan_logs
 from trailmark.sources.snapshots import SnapshotStore
 from trailmark.sources.workdir import new_folder
-from trailmark.streaming.comments import stream_comments
+from trailmark.streaming.comments import COMMENTS, stream_comments
 from trailmark.streaming.logs import stream_visits, streamed_summary
 from trailmark.streaming.refresh import stream_refresh
 from trailmark.streaming.store import read_batches
@@ -520,7 +520,7 @@ def stream_comments_query(spark, sf):
     written = _stream_of(spark, view(spark, sf, "fx_comments"), "comment-files")
     stream_comments(written, out, new_folder(spark, "state")).awaitTermination()
     people = view(spark, sf, "fx_participants")
-    return notes.apply_comments(people, read_batches(spark, out)).select("row_no", "id", "comments")
+    return notes.apply_comments(people, read_batches(spark, out, COMMENTS)).select("row_no", "id", "comments")
 
 
 QUERIES["stream_comments"] = QUERIES.pop("stream_comments_query")

@@ -86,11 +86,42 @@ def test_snapshots(spark, tmp_path):
     assert store.load(CFG).last_sync_at == datetime(2024, 1, 3)
 
 
+def test_a_version_name_that_comes_twice_loses_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    people = spark.createDataFrame([("1",)], "id string")
+    store.write("now", {"processed": people, "contacts": people})
+    old = store.read()
+    # what is written reads from the version of the same name
+    store.write("now", {"processed": old.tables["processed"].unionByName(people)}, unchanged={"contacts": old.folders["contacts"]})
+    new = store.read("now")
+    assert (new.tables["processed"].count(), new.tables["contacts"].count(), old.tables["processed"].count()) == (2, 1, 1)
+    assert store.versions().count() == 2
+
+
+def test_the_newest_write_counts_whoever_writes(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    for i, name in enumerate(("20240131T000000", "batch 7", "batch 0")):  # a tracker, a stream, a new checkpoint
+        store.write(name, {"processed": spark.createDataFrame([(str(i),)], "id string")})
+        assert store.read().tables["processed"].first().id == str(i)
+
+
+def test_expiry_keeps_what_is_still_named(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    people = spark.createDataFrame([("1",)], "id string")
+    store.write("1", {"processed": people, "original": people})
+    for i in "2345":
+        store.write(i, {"processed": people}, unchanged={"original": store.read().folders["original"]})
+    store.expire(3)
+    assert sorted(r.version for r in store.versions().collect()) == ["3", "4", "5"]
+    assert store.read("1") is None and store.read().tables["original"].count() == 1
+    assert len(list((tmp_path / "processed").iterdir())) == 3 and len(list((tmp_path / "original").iterdir())) == 1
+
+
 def test_a_snapshot_without_metadata_does_not_exist(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     people = spark.createDataFrame([("1",)], "id string")
     store.write("1", {"processed": people})
-    people.write.parquet(str(tmp_path / "processed" / "version=2"))
+    people.write.parquet(str(tmp_path / "processed" / "half"))
     assert store.read().version == "1" and store.read("2") is None
 
 
@@ -182,8 +213,36 @@ def test_tracker(spark, tmp_path):
     notes = spark.createDataFrame(
         [("2", "llamar", now), ("77", "?", now)], "id string, comment string, updated_at timestamp_ntz"
     )
-    assert [r.match_id for r in tracker.comment(notes, datetime(2024, 2, 1)).collect()] == ["77"]
+    board = tracker.dashboard(now)
+    assert board["last_sync"].first().last_sync_at == now and [r.id for r in board["pending"].collect()] == ["3"]
+    assert [r.id for r in tracker.search(now, "2").collect()] == ["2"] and tracker.card(now, "1").count() == 1
+    assert tracker.cohort_members(now, 0).count() == 0
+    before = len(list(tmp_path.glob("*/*")))
+    assert [r.match_id for r in tracker.comment(notes, now).collect()] == ["77"]
+    assert len(list(tmp_path.glob("*/*"))) == before + 2  # one table and its metadata
     rows = {r.id: r for r in tracker.export().collect()}
     assert (rows["2.0"].comments, rows["1"].change_kind) == ("llamar", "same")
     assert rows["2.0"].change_kind == "same"
     assert tracker.kept_versions().count() == 3
+    folder = tracker.write_export(str(tmp_path / "out"), date(2024, 2, 1))
+    assert folder.endswith("/2024-02-01")
+    flat = spark.read.csv(f"{folder}/csv", header=True)
+    assert flat.count() == 2 and set(flat.columns) >= {"change_kind", "changed_columns"}
+    assert text(spark.read.parquet(f"{folder}/parquet")) == text(tracker.export())
+    tracker.sync(report, now, date(2024, 1, 21))
+    assert tracker.current().tables["processed"].where("first_log_text is not null").count() == 1
+    assert tracker.kept_versions().count() == 3
+
+
+def text(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_recovery_is_stored(spark, tmp_path):
+    tracker = Tracker(SnapshotStore(spark, str(tmp_path)))
+    people = spark.createDataFrame([("1", "9")], "id string, phone string")
+    assert tracker.current(people).tables["processed"].first().status == "Desconocido"
+    assert tracker.store.versions().count() == 1
+    tracker.store.write("x", {"processed": people.where("false")}, datetime(2024, 1, 2), unchanged={"original": tracker.current().folders["original"]})
+    assert tracker.current().last_sync_at is None and tracker.store.read().tables["processed"].count() == 1
+    assert tracker.store.versions().count() == tracker.store.versions().count()

@@ -8,13 +8,13 @@ import pytest
 
 from trailmark.config import DEFAULT_CONFIG as CFG
 from trailmark.operators.comments import latest_comments
-from trailmark.operators.logs import log_summary
+from trailmark.operators.logs import log_summary, screen_visits, summarise
 from trailmark.plans.refresh import refresh_participants
 from trailmark.sources.snapshots import SnapshotStore
-from trailmark.streaming.comments import stream_comments
-from trailmark.streaming.logs import compact_visits, stream_visits, streamed_summary
-from trailmark.streaming.refresh import stream_refresh
-from trailmark.streaming.store import read_batches, write_batch
+from trailmark.streaming.comments import COMMENTS, stream_comments
+from trailmark.streaming.logs import compact_visits, fold_visits, stream_visits, streamed_summary
+from trailmark.streaming.refresh import _clock_of, stream_refresh
+from trailmark.streaming.store import batches, read_batches, write_batch
 
 AS_OF = datetime(2024, 1, 31)
 SCHEMA = "phone string, entered_at string, screen string, entry string"
@@ -65,7 +65,7 @@ def test_a_repeated_batch_replaces_itself(spark, folder):
     for _ in range(2):
         write_batch(logs(spark, 0, 10), folder("out"), 0)
     write_batch(logs(spark, 10, 5), folder("out"), 1)
-    assert read_batches(spark, folder("out")).count() == 15
+    assert read_batches(spark, folder("out"), SCHEMA).count() == 15
 
 
 def test_refresh_stream(spark, folder):
@@ -81,7 +81,25 @@ def test_refresh_stream(spark, folder):
     ).awaitTermination()
     expected = refresh_participants(people, log_summary(logs(spark, 0, 40), CFG), AS_OF, CFG)
     assert text(store.load(CFG).tables["processed"]) == text(expected)
-    assert [r.version for r in store.versions().orderBy("version").collect()] == ["000000000000", "000000000001"]
+    rows = store.versions().orderBy("number").collect()
+    assert [r.version for r in rows] == ["batch 0", "batch 1"] and rows[0].folders["original"] == rows[1].folders["original"]
+
+
+def test_streams_without_input(spark, folder):
+    logs(spark, 0, 0).write.parquet(folder("in"))
+    stream_visits(source(spark, folder("in")), folder("out"), folder("state"), CFG).awaitTermination()
+    assert streamed_summary(spark, folder("nowhere"), CFG).count() == 0
+    assert streamed_summary(spark, folder("out"), CFG).count() == 0
+
+
+def test_a_batch_reads_one_table_and_runs_again_with_its_clock(spark, folder):
+    for i, first in enumerate((0, 20, 40, 60)):
+        for _ in range(2):
+            visits = fold_visits(screen_visits(logs(spark, first, 20), CFG), folder("visits"), i)
+            assert len(batches(spark, folder("visits"))) <= 2
+    assert text(summarise(visits, CFG)) == text(log_summary(logs(spark, 0, 80), CFG))
+    assert _clock_of(spark, folder("clock"), 0, lambda: AS_OF) == AS_OF
+    assert _clock_of(spark, folder("clock"), 0, lambda: AS_OF + timedelta(days=1)) == AS_OF
 
 
 def test_comment_stream(spark, folder):
@@ -92,5 +110,5 @@ def test_comment_stream(spark, folder):
     for df in (late, early):
         df.coalesce(1).write.mode("append").parquet(folder("in"))
     stream_comments(source(spark, folder("in"), schema), folder("out"), folder("state")).awaitTermination()
-    got = latest_comments(read_batches(spark, folder("out")))
+    got = latest_comments(read_batches(spark, folder("out"), COMMENTS))
     assert text(got) == text(latest_comments(late.unionByName(early)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,17 @@ def export_diff(
     return joined.withColumn("changed_columns", changed).select(
         *[export_cell(df, c).alias(c) for c in df.columns], kind.alias("change_kind"), "changed_columns"
     )
+
+
+def write_export(rows: DataFrame, folder: str, day: date) -> str:
+    """Rows of :func:`export_diff` written as Parquet and as CSV below a folder of the day, which is returned.
+
+    CSV has the names of changed columns joined by commas.  An export of the same day replaces the one before.
+    """
+    target = f"{folder.rstrip('/')}/{day.isoformat()}"
+    rows.write.mode("overwrite").parquet(f"{target}/parquet")
+    written = rows.sparkSession.read.parquet(f"{target}/parquet")
+    flat = written.withColumn("changed_columns", F.array_join("changed_columns", ","))
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    flat.write.mode("overwrite").csv(f"{target}/csv", header=True, **kept)
+    return target

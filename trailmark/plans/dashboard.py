@@ -11,16 +11,22 @@ from trailmark.operators import dashboard
 
 
 def dashboard_tables(
-    participants: DataFrame, as_of: datetime, cfg: ProgressConfig = DEFAULT_CONFIG
+    participants: DataFrame,
+    as_of: datetime,
+    cfg: ProgressConfig = DEFAULT_CONFIG,
+    pending: DataFrame | None = None,
+    last_sync_at: datetime | None = None,
 ) -> dict[str, DataFrame]:
-    """One table per part of the dashboard.
+    """One table per part of the dashboard; the pending contacts are among them if they are given.
 
     Meant for a stored table (see :class:`trailmark.plans.tracker.Tracker`):
     every part is a query of its own and reads only the columns it needs.
     """
     df = dashboard.dashboard_input(participants, cfg)
     rows = dashboard.records(df, as_of, cfg)
-    return {
+    sync = participants.sparkSession.createDataFrame([(last_sync_at,)], "last_sync_at timestamp_ntz")
+    return ({} if pending is None else {"pending": pending}) | {
+        "last_sync": sync,
         "records": rows,
         "kpis": dashboard.kpis(df, cfg),
         "funnel": dashboard.funnel_counts(df, cfg),

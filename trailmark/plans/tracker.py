@@ -1,22 +1,23 @@
 """The life of a roster: upload, refresh, comments, dashboard, export.
 
-Every change writes a new snapshot version; nothing is kept in memory between
-the calls.
+Every change writes a new snapshot version with the tables it changed; the newest ``retained_versions`` stay.  Nothing
+is kept in memory between the calls.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trailmark.config import DEFAULT_CONFIG, ProgressConfig
+from trailmark.operators import dashboard
 from trailmark.operators.comments import apply_comments, unmatched_comments
-from trailmark.operators.export import export_diff
+from trailmark.operators.export import export_diff, write_export
 from trailmark.operators.schema import ensure_schema
 from trailmark.plans.dashboard import dashboard_tables
 from trailmark.plans.refresh import refresh
+from trailmark.sources.log_scan import scan_logs
 from trailmark.sources.sheets import read_contacts, read_logs, read_roster
 from trailmark.sources.snapshots import Snapshot, SnapshotStore
 
@@ -30,13 +31,26 @@ class Tracker:
         self.store = store
         self.cfg = cfg
 
-    def current(self) -> Snapshot:
-        """Newest snapshot, or an error before the first upload."""
-        snapshot = self.store.load(self.cfg)
+    def current(self, roster: DataFrame | None = None) -> Snapshot:
+        """Newest snapshot, or an error before the first upload.
+
+        What had to be rebuilt, from an empty processed table or from the given roster, is stored.
+        """
+        snapshot = self.store.load(self.cfg, roster)
         if snapshot is None:
             raise ValueError("upload a roster first")
+        stored = self.store.read()
+        if stored is None or stored.last_sync_at != snapshot.last_sync_at:
+            rebuilt = {n: t for n, t in snapshot.tables.items() if n == "processed" or n not in snapshot.folders}
+            return self._write(snapshot.version or "rebuilt", rebuilt, snapshot, None)
         return snapshot
 
+    def _write(self, version: str, tables: dict[str, DataFrame], old: Snapshot | None, last_sync_at, source=None) -> Snapshot:
+        unchanged = {n: f for n, f in old.folders.items() if n not in tables} if old else {}
+        self.store.write(version, tables, last_sync_at, old.source if old else source, unchanged)
+        self.store.expire(self.cfg.retained_versions)
+        return self.store.load(self.cfg)
+
     def upload(self, roster_sheet: DataFrame, contact_sheet: DataFrame, now: datetime, source: str | None = None) -> Snapshot:
         """Start from a roster and a contact sheet; earlier results are not carried over."""
         roster = read_roster(roster_sheet)
@@ -45,38 +59,58 @@ class Tracker:
             "processed": ensure_schema(roster, self.cfg),
             "contacts": read_contacts(contact_sheet),
         }
-        self.store.write(now.strftime(_TIME), tables, None, source)
-        return self.current()
+        return self._write(now.strftime(_TIME), tables, None, None, source)
 
-    def sync(self, report: DataFrame, now: datetime) -> Snapshot:
-        """Bring the processed participants up to date with a log report."""
+    def sync(self, report: DataFrame, now: datetime, since: date | None = None) -> Snapshot:
+        """Bring the processed participants up to date with a log report, from a day on if one is given."""
         old = self.current()
-        contacts = old.tables.get("contacts")
-        processed, pending = refresh(old.tables["processed"], contacts, read_logs(report), now, self.cfg)
-        tables = {**old.tables, "processed": processed}
+        logs = read_logs(report)
+        if since is not None:
+            logs = scan_logs(logs, since, now, self.cfg)
+        processed, pending = refresh(old.tables["processed"], old.tables.get("contacts"), logs, now, self.cfg)
+        tables = {"processed": processed}
         if pending is not None:
             tables["pending"] = pending
-        self.store.write(now.strftime(_TIME), tables, now, old.source)
-        return self.current()
+        return self._write(now.strftime(_TIME), tables, old, now)
 
     def comment(self, comments: DataFrame, now: datetime) -> DataFrame:
         """Write comments to the first row of their id; returns those whose id is unknown."""
         old = self.current()
-        processed = old.tables["processed"]
-        unknown = unmatched_comments(processed, comments)
-        tables = {**old.tables, "processed": apply_comments(processed, comments)}
-        self.store.write(now.strftime(_TIME), tables, old.last_sync_at, old.source)
-        return unknown
+        processed = apply_comments(old.tables["processed"], comments)
+        new = self._write(now.strftime(_TIME), {"processed": processed}, old, old.last_sync_at)
+        return unmatched_comments(new.tables["processed"], comments)
 
     def dashboard(self, now: datetime) -> dict[str, DataFrame]:
-        """Dashboard tables of the newest snapshot."""
-        return dashboard_tables(self.current().tables["processed"], now, self.cfg)
+        """Dashboard tables of the newest snapshot, the pending contacts, and when it was brought up to date."""
+        snapshot = self.current()
+        return dashboard_tables(snapshot.tables["processed"], now, self.cfg, snapshot.tables.get("pending"), snapshot.last_sync_at)
+
+    def _records(self, now: datetime) -> DataFrame:
+        rows = dashboard.dashboard_input(self.current().tables["processed"], self.cfg)
+        return dashboard.records(rows, now, self.cfg)
+
+    def search(self, now: datetime, text: str = "", school: str = "", status: str = "") -> DataFrame:
+        """Participants whose id, name or phone has the text, of a school and a status if given."""
+        return dashboard.search(self._records(now), text, school, status)
+
+    def card(self, now: datetime, identifier: str) -> DataFrame:
+        """Detail card of one participant."""
+        return dashboard.card(self._records(now), identifier)
+
+    def cohort_members(self, now: datetime, bucket: int) -> DataFrame:
+        """Participants of one cohort of weeks since enrolment."""
+        rows = dashboard.dashboard_input(self.current().tables["processed"], self.cfg)
+        return dashboard.cohort_members(rows, bucket, now, self.cfg)
 
     def export(self) -> DataFrame:
         """Export rows of the newest snapshot with their changes against the uploaded roster."""
         tables = self.current().tables
         return export_diff(tables["processed"], tables.get("original"), self.cfg)
 
+    def write_export(self, folder: str, day: date) -> str:
+        """The export written as Parquet and CSV below a folder of the day; returns that folder."""
+        return write_export(self.export(), folder, day)
+
     def kept_versions(self) -> DataFrame:
-        """The newest versions, as many as are to be kept."""
-        return self.store.versions().orderBy(F.desc("version")).limit(self.cfg.retained_versions)
+        """The versions that are kept."""
+        return self.store.versions()

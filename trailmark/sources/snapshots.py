@@ -1,13 +1,16 @@
 """Versioned snapshots of the processed state as Parquet tables.
 
-Every version is a set of new folders.  Its metadata row is written last, so a
-version exists for readers only when all its tables do, and a job that dies
-half-way can simply run again.
+Every table that is written gets a folder of its own that no other write uses.  A version is a metadata row that
+names the folder of each of its tables; it is written last, so a version exists for readers only when all its tables
+do, and a job that dies half-way leaves nothing but folders nobody names.  Tables that did not change are named
+again and not copied.  Versions follow each other by a number that grows with every write, whoever writes: a name
+that comes twice is a newer version of that name.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -16,65 +19,70 @@ from pyspark.sql import functions as F
 
 from trailmark.config import ProgressConfig
 from trailmark.operators.schema import ensure_schema
+from trailmark.sources.folders import remove
 
-_METADATA = "version string, last_sync_at timestamp_ntz, source string, tables array<string>"
+_METADATA = "version string, number bigint, last_sync_at timestamp_ntz, source string, folders map<string,string>, attempt string"
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """One version: its tables by name and when its data was last brought up to date."""
+    """One version: its tables and their folders by name and when its data was last brought up to date."""
 
     version: str | None
     last_sync_at: datetime | None
     source: str | None
     tables: dict[str, DataFrame]
+    folders: dict[str, str] = field(default_factory=dict)
 
 
 class SnapshotStore:
-    """Snapshots below one folder; versions are ordered by their name."""
+    """Snapshots below one folder; versions are ordered by their number."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def _path(self, table: str, version: str) -> str:
-        return f"{self.folder}/{table}/version={version}"
-
     def write(
         self,
         version: str,
         tables: dict[str, DataFrame],
         last_sync_at: datetime | None = None,
         source: str | None = None,
+        unchanged: dict[str, str] | None = None,
     ) -> None:
-        """Write the tables of a version, then its metadata row."""
+        """Write the tables of a version, then its metadata row; ``unchanged`` has the folders of tables that stay."""
+        attempt = uuid.uuid4().hex
+        folders = dict(unchanged or {})
         for name, table in tables.items():
-            table.write.mode("overwrite").parquet(self._path(name, version))
-        row = [(version, last_sync_at, source, sorted(tables))]
-        meta = self.spark.createDataFrame(row, _METADATA).coalesce(1)
-        meta.drop("version").write.mode("overwrite").parquet(self._path("metadata", version))
+            folders[name] = f"{name}/{attempt}"
+            table.write.parquet(f"{self.folder}/{folders[name]}")
+        newest = self._newest()
+        number = 1 + (newest.number if newest else 0)
+        meta = self.spark.createDataFrame([(version, number, last_sync_at, source, folders, attempt)], _METADATA).coalesce(1)
+        meta.write.parquet(f"{self.folder}/metadata/commit={number:012d}-{attempt}")
 
     def versions(self) -> DataFrame | None:
         """Metadata of all complete versions, one row each; None if there are none."""
         try:
-            return self.spark.read.schema(_METADATA).parquet(f"{self.folder}/metadata")
+            return self.spark.read.schema(_METADATA).parquet(f"{self.folder}/metadata").drop("commit")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def read(self, version: str | None = None) -> Snapshot | None:
-        """A version, the newest by default; None if it does not exist."""
+    def _newest(self, version: str | None = None):
         versions = self.versions()
-        if versions is None:
-            return None
-        if version is not None:
+        if versions is not None and version is not None:
             versions = versions.where(F.col("version") == version)
-        row = versions.orderBy(F.desc("version")).first()
+        return None if versions is None else versions.orderBy(F.desc("number"), F.desc("attempt")).first()
+
+    def read(self, version: str | None = None) -> Snapshot | None:
+        """A version, the newest by default; None if it does not exist."""
+        row = self._newest(version)
         if row is None:
             return None
-        tables = {n: self.spark.read.parquet(self._path(n, row.version)) for n in row.tables}
-        return Snapshot(row.version, row.last_sync_at, row.source, tables)
+        tables = {n: self.spark.read.parquet(f"{self.folder}/{f}") for n, f in sorted(row.folders.items())}
+        return Snapshot(row.version, row.last_sync_at, row.source, tables, dict(row.folders))
 
     def load(self, cfg: ProgressConfig, roster: DataFrame | None = None) -> Snapshot | None:
         """Newest version, made usable.
@@ -92,5 +100,18 @@ class SnapshotStore:
         processed, original = (snapshot.tables.get(n) for n in ("processed", "original"))
         if (processed is None or processed.isEmpty()) and original is not None and not original.isEmpty():
             tables = {**snapshot.tables, "processed": ensure_schema(original, cfg)}
-            return Snapshot(snapshot.version, None, snapshot.source, tables)
+            return Snapshot(snapshot.version, None, snapshot.source, tables, snapshot.folders)
         return snapshot
+
+    def expire(self, keep: int) -> None:
+        """Remove all but the newest ``keep`` versions and the table folders that none of those names.
+
+        The metadata goes first, so a version whose folders are going is already out of sight.
+        """
+        versions = self.versions()
+        rows = [] if versions is None else versions.orderBy(F.desc("number"), F.desc("attempt")).collect()  # one a version
+        used = {f for row in rows[:keep] for f in row.folders.values()}
+        for row in rows[keep:]:
+            remove(self.spark, f"{self.folder}/metadata/commit={row.number:012d}-{row.attempt}")
+        for folder in {f for row in rows[keep:] for f in row.folders.values()} - used:
+            remove(self.spark, f"{self.folder}/{folder}")

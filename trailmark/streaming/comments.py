@@ -9,6 +9,9 @@ from trailmark.operators.comments import latest_comments
 from trailmark.streaming.store import start, write_batch
 
 
+COMMENTS = "id string, comment string, updated_at timestamp_ntz"
+
+
 def stream_comments(comments: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the newest comment per id as state; write the ids that changed.
 

@@ -7,7 +7,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import ProgressConfig
 from trailmark.operators.logs import merge_visits, screen_visits, summarise
-from trailmark.streaming.store import read_batches, start, write_batch
+from trailmark.sources.folders import remove
+from trailmark.streaming.store import batches, read_batches, start, write_batch
+
+VISITS = "phone_key string, screen string, first_at timestamp_ntz, last_at timestamp_ntz"
 
 
 def stream_visits(
@@ -24,10 +27,26 @@ def stream_visits(
 
 
 def streamed_summary(spark: SparkSession, folder: str, cfg: ProgressConfig) -> DataFrame:
-    """Log summary of everything the stream has written."""
-    return summarise(merge_visits(read_batches(spark, folder)), cfg)
+    """Log summary of everything the stream has written; empty before the first batch."""
+    return summarise(merge_visits(read_batches(spark, folder, VISITS)), cfg)
 
 
 def compact_visits(spark: SparkSession, folder: str, target: str) -> None:
     """All batches merged into a single one in a new folder, to go on from there."""
-    write_batch(merge_visits(read_batches(spark, folder)), target, -1)
+    write_batch(merge_visits(read_batches(spark, folder, VISITS)), target, -1)
+
+
+def fold_visits(visits: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Visits of a batch merged with those of all batches before it, stored and read back.
+
+    Every batch leaves one table and reads only the one before it; of older ones the last two stay, so that a batch
+    can run again.
+    """
+    spark = visits.sparkSession
+    before = [i for i in batches(spark, folder) if i < batch_id]
+    if before:
+        visits = visits.unionByName(spark.read.schema(VISITS).parquet(f"{folder}/batch_id={before[-1]}"))
+    write_batch(merge_visits(visits), folder, batch_id)
+    for i in before[:-1]:
+        remove(spark, f"{folder}/batch_id={i}")
+    return spark.read.schema(VISITS).parquet(f"{folder}/batch_id={batch_id}")

@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import ProgressConfig
-from trailmark.operators.logs import screen_visits
+from trailmark.operators.logs import screen_visits, summarise
 from trailmark.plans.refresh import refresh_participants
 from trailmark.sources.snapshots import SnapshotStore
-from trailmark.streaming.logs import streamed_summary
-from trailmark.streaming.store import start, write_batch
+from trailmark.streaming.logs import fold_visits
+from trailmark.streaming.store import batches, start, write_batch
 
 
-def batch_version(batch_id: int) -> str:
-    """Snapshot version of a batch, in the order of batches."""
-    return f"{batch_id:012d}"
+def _clock_of(spark: SparkSession, folder: str, batch_id: int, clock: Callable[[], datetime]) -> datetime:
+    """The clock of a batch: read when the batch runs first, kept for when it runs again."""
+    if batch_id not in batches(spark, folder):
+        write_batch(spark.createDataFrame([(clock(),)], "at timestamp_ntz").coalesce(1), folder, batch_id)
+    return spark.read.parquet(f"{folder}/batch_id={batch_id}").first().at
 
 
 def stream_refresh(
@@ -35,14 +37,18 @@ def stream_refresh(
 
     Each snapshot starts from the given participants and all visits so far, never
     from an earlier snapshot, so late rows count and a repeated batch changes
-    nothing.
+    nothing: visits merge, and the clock is kept with the batch.  The original
+    is written with the first snapshot and named by the others.
     """
+    original: dict[str, str] = {}
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        write_batch(screen_visits(rows, cfg), visits_folder, batch_id)
-        now = clock()
-        summary = streamed_summary(rows.sparkSession, visits_folder, cfg)
-        processed = refresh_participants(participants, summary, now, cfg)
-        snapshots.write(batch_version(batch_id), {"processed": processed, "original": participants}, now)
+        visits = fold_visits(screen_visits(rows, cfg), f"{visits_folder}/visits", batch_id)
+        now = _clock_of(rows.sparkSession, f"{visits_folder}/clock", batch_id, clock)
+        tables = {"processed": refresh_participants(participants, summarise(visits, cfg), now, cfg)}
+        if not original:
+            tables["original"] = participants
+        snapshots.write(f"batch {batch_id}", tables, now, unchanged=original)
+        original["original"] = snapshots.read().folders["original"]
 
     return start(logs, on_batch, checkpoint, "append", **trigger)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from trailmark.sources.folders import names
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -18,9 +20,17 @@ def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of all batches written so far."""
-    return spark.read.parquet(folder).drop("batch_id")
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all batches written so far; none before the first batch."""
+    if not names(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder).drop("batch_id")
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """Ids of the batches that are completely written, in order."""
+    found = [int(n.partition("=")[2]) for n in names(spark, folder) if n.startswith("batch_id=")]
+    return sorted(i for i in found if "_SUCCESS" in names(spark, f"{folder}/batch_id={i}"))
 
 
 def start(stream: DataFrame, on_batch, checkpoint: str, output_mode: str, **trigger) -> StreamingQuery:
