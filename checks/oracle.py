@@ -343,6 +343,8 @@ QUERIES = {
     "roster_scan": _ROSTER,
     "contacts_scan": "SELECT row_no + 15 AS row_no, * EXCLUDE (row_no) FROM fx_contacts",
     "log_scan_range": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-22'",
+    "log_scan_text": f"""SELECT event_id, entered_at FROM (SELECT event_id, entered_at, {ts("entered_at")} AS t FROM fx_logs) x
+WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-22'""",
     "snapshot_roundtrip": _PROCESSED,
     "snapshot_fallback": _UNPROCESSED.replace(" FROM fx_participants", ", NULL::TIMESTAMP AS last_sync_at FROM fx_participants"),
     "upsert_latest": """SELECT key, max(updated_at) AS updated_at, arg_max(content, (updated_at, origin, content)) AS content
@@ -376,6 +378,7 @@ UNION ALL SELECT 'p', row_no, {norm_id("id")} FROM fx_participants""",
   round_even(coalesce({number("text")}, 0.0) / 8, 1) AS rounded FROM fx_numbers""",
     "milestones": _MILESTONES,
     "cohort_weeks": "SELECT row_no, id, weeks_enrolled, bucket FROM weeks",
+    "cohort_members": "SELECT row_no, id, weeks_enrolled, bucket FROM weeks WHERE bucket = 7",
     "records": "SELECT * EXCLUDE (row_no) FROM records",
     "completion": "SELECT row_no, id, completed, progress_pct, finished_at FROM processed",
     "funnel_status": "SELECT row_no, id, status, status_ordered FROM processed",
@@ -426,6 +429,8 @@ UNION ALL SELECT DISTINCT 'status', status FROM processed WHERE status <> ''""",
     "stream_refresh": _PROCESSED,
     "stream_comments": _COMMENTED,
 }
+QUERIES["export_written"] = QUERIES["export_diff"]
+QUERIES["participant_card_of"] = QUERIES["participant_card"] + " WHERE id = (SELECT min(id) FROM records)"
 
 
 def _with_needed(sql: str) -> str:

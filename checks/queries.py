@@ -136,6 +136,13 @@ def log_scan_range(spark, sf):
     return scan_logs(events, date(2024, 1, 10), datetime(2024, 1, 21, 15), CFG, "ts").select("event_id", "ts")
 
 
+@query
+def log_scan_text(spark, sf):
+    """The same bounds on times written as text."""
+    logs = view(spark, sf, "fx_logs")
+    return scan_logs(logs, date(2024, 1, 10), datetime(2024, 1, 21, 15), CFG).select("event_id", "entered_at")
+
+
 @query
 def snapshot_roundtrip(spark, sf):
     store = SnapshotStore(spark, new_folder(spark, "snapshots"))
@@ -322,7 +329,7 @@ def participant_activity(spark, sf):
 @query
 def milestones_query(spark, sf):
     people = processed_types(view(spark, sf, "fx_participants"), CFG)
-    seen = fill_first_log(join_activity(people, log_summary(view(spark, sf, "fx_logs"), CFG), CFG))
+    seen = fill_first_log(join_activity(people, log_summary(view(spark, sf, "fx_logs"), CFG)))
     return milestones(seen, AS_OF, CFG).select(
         "row_no", "id", "first_log_at", "first_log_date", "expected_end_at", "days_elapsed", "week4_on", "week6_on",
         "week4_eval", "week6_eval",
@@ -420,6 +427,12 @@ def cohort_status(spark, sf):
     return dashboard.cohort_status(_processed(spark, sf), AS_OF, CFG)
 
 
+@query
+def cohort_members(spark, sf):
+    """Rows behind the last, open-ended bar of the cohort chart."""
+    return dashboard.cohort_members(_processed(spark, sf), 7, AS_OF, CFG).select("row_no", "id", "weeks_enrolled", "bucket")
+
+
 @query
 def filter_values(spark, sf):
     return dashboard.filter_values(_processed(spark, sf))
@@ -445,6 +458,13 @@ def participant_card(spark, sf):
     return dashboard.cards(_records(spark, sf))
 
 
+@query
+def participant_card_of(spark, sf):
+    """The card of the participant with the smallest id."""
+    rows = _stored_records(spark, sf)
+    return dashboard.card(rows, rows.agg(F.min("id")).first()[0])
+
+
 # --- Export and comments -----------------------------------------------------
 
 
@@ -465,6 +485,21 @@ def export_diff(spark, sf):
     )
 
 
+@query
+def export_written(spark, sf):
+    """The export read back from the CSV files of its day."""
+    rows = export.export_diff(_stored(spark, sf), view(spark, sf, "fx_original"), CFG)
+    folder = export.write_export(rows, new_folder(spark, "export"), AS_OF.date())
+    written = spark.read.csv(f"{folder}/csv", header=True, escape='"')
+    return written.select(
+        F.col("row_no").cast("bigint").alias("row_no"),
+        normalise_id(F.col("id")).alias("match_id"),
+        "status",
+        "change_kind",
+        F.coalesce("changed_columns", F.lit("")).alias("changed_columns"),
+    )
+
+
 @query
 def apply_comments(spark, sf):
     people = view(spark, sf, "fx_participants")
