@@ -109,7 +109,13 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int, most
 
 
 def blocks(
-    docs: DataFrame, split: Splitter, key: str = "doc_id", text: str = "text", flag: Column | None = None, most_words: int = BLOCK_WORDS
+    docs: DataFrame,
+    split: Splitter,
+    key: str = "doc_id",
+    text: str = "text",
+    flag: Column | None = None,
+    most_words: int = BLOCK_WORDS,
+    folder: str | None = None,
 ) -> DataFrame:
     """The documents as stored blocks; ``split`` gives a text's words as str or bytes.
 
@@ -119,7 +125,7 @@ def blocks(
     flags = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     rows = docs.select(F.col(key).cast("bigint").alias("k"), flags.alias("f"), F.col(text).alias("t"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(rows.mapInArrow(lambda batches: _rows(batches, split, n, most_words), BLOCKS), "blocks")
+    return stored(rows.mapInArrow(lambda batches: _rows(batches, split, n, most_words), BLOCKS), "blocks", folder)
 
 
 def parts_of(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The frame written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    Who names the folder may remove it once all that reads the table is stored itself.
+    """
     spark = df.sparkSession
-    folder = new_folder(spark, name)
+    folder = folder or new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

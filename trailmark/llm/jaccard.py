@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.blocks import Block, blocks
 from trailmark.llm.common import pack, stored, unpack
 from trailmark.llm.components import components
+from trailmark.sources.folders import remove
+from trailmark.sources.workdir import new_folder
 
 #: Bits of a shingle that are kept, and by which its sets are counted.
 KEPT_BITS, COUNT_BITS = 48, 44
@@ -149,7 +151,8 @@ def _from_six(blob: bytes) -> np.ndarray:
 
 def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A stored row for each document: its set, and for the first of a set in a block the shared first shingles."""
-    made = blocks(docs, split_lower, key, text)
+    folder = new_folder(docs.sparkSession, "blocks")
+    made = blocks(docs, split_lower, key, text, folder=folder)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split()[0] for c in _SETS.split(", ")]
 
@@ -179,7 +182,9 @@ def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", tex
         return pd.DataFrame({c: pd.Series(list(v), dtype="Int64" if c == "doc_id" else None) for c, v in cells.items()})
 
     rows = made.groupBy("block").cogroup(_classes(made, width, n).groupBy("block")).applyInPandas(beside, _SETS)
-    return stored(rows, "sets")
+    out = stored(rows, "sets")
+    remove(docs.sparkSession, folder)  # all that was read from the blocks is stored
+    return out
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
