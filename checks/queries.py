@@ -19,7 +19,7 @@ from trailmark.config import (
 from trailmark.functions.cells import differs
 from trailmark.functions.numbers import round1, safe_float, safe_int_days
 from trailmark.functions.screens import progress_pct, section_index, section_of
-from trailmark.functions.text import normalise_id, null_if_missing, null_if_nan, phone_e164, phone_key
+from trailmark.functions.text import normalise_id, null_if_missing, null_if_nan, phone_e164, with_phone_key
 from trailmark.functions.timestamps import floor_days, parse_ts, swap_day_month
 from trailmark.operators import comments as notes
 from trailmark.operators import dashboard, export
@@ -225,10 +225,8 @@ def null_normalise(spark, sf):
 
 @query
 def phone_keys(spark, sf):
-    phone = F.col("phone")
-    return view(spark, sf, "fx_logs").select(
-        "event_id", phone_key(phone).alias("phone_key"), phone_e164(phone).alias("phone_e164")
-    )
+    logs = with_phone_key(view(spark, sf, "fx_logs"), "phone")
+    return logs.select("event_id", "phone_key", phone_e164(F.col("phone")).alias("phone_e164"))
 
 
 @query

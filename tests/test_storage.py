@@ -147,6 +147,13 @@ def test_encryption(spark):
     assert secure.decryption_failures(sealed, ["phone"], KEY).first().phone == 0
 
 
+def test_plans_do_not_show_the_key(spark, capsys):
+    df = spark.createDataFrame([("abcd",)], "phone string")
+    secure.decrypt_columns(secure.encrypt_columns(df, ["phone"], KEY), ["phone"], KEY).explain("extended")
+    shown = capsys.readouterr().out
+    assert "aes_encrypt" in shown and KEY not in shown and "0123456789" not in shown
+
+
 def test_comments(spark):
     people = spark.createDataFrame(
         [(1, "7.0", "old"), (2, "7", "old"), (3, "8", "old"), (4, None, "old")], "row_no bigint, id string, comments string"

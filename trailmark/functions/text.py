@@ -58,8 +58,8 @@ def last_nine(digits: Column) -> Column:
 
 
 def phone_key(c: Column) -> Column:
-    """Key of a phone text in one expression, for use within others."""
-    return F.coalesce(F.regexp_extract(phone_digits(c), "[0-9]{9}$", 0), F.lit(""))
+    """Key of a phone text."""
+    return last_nine(phone_digits(c))
 
 
 def with_phone_key(df: DataFrame, source: str, target: str = "phone_key") -> DataFrame:

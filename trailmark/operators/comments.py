@@ -21,12 +21,15 @@ def latest_comments(comments: DataFrame) -> DataFrame:
 def apply_comments(participants: DataFrame, comments: DataFrame, order_by: str = "row_no") -> DataFrame:
     """Participants with the newest comment on the first row of each id.
 
-    Comments meet the first row number per id before they meet the participants,
-    so the wide join is on a unique pair and a frequent id does no harm.
+    Only rows of commented ids are grouped to find the first of each; those meet
+    the comments before they meet the participants, so the wide join is on a
+    unique pair and a frequent id does no harm.
     """
     match = normalise_id(text_of(participants, "id"))
-    first = participants.groupBy(match.alias("match_id")).agg(F.min(order_by).alias(order_by))
-    targets = latest_comments(comments).join(first, "match_id").select("match_id", order_by, "comment")
+    newest = latest_comments(comments)
+    rows = participants.select(match.alias("match_id"), order_by).join(newest.select("match_id"), "match_id", "left_semi")
+    first = rows.groupBy("match_id").agg(F.min(order_by).alias(order_by))
+    targets = newest.join(first, "match_id").select("match_id", order_by, "comment")
     return (
         participants.withColumn("match_id", match)
         .join(targets, ["match_id", order_by], "left")

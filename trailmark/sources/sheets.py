@@ -70,10 +70,9 @@ def read_roster(sheet: DataFrame, skip: int = ROSTER_SKIP) -> DataFrame:
 
 def read_contacts(sheet: DataFrame, skip: int = CONTACTS_SKIP) -> DataFrame:
     """Contacts of a contact sheet; the columns are known by position."""
-    cells = [c for c in promote_header(sheet, skip).columns if c != "row_no"]
-    if len(cells) <= max(CONTACT_POSITIONS):
-        raise ValueError(f"the contact sheet has {len(cells)} columns, {max(CONTACT_POSITIONS) + 1} are needed")
-    source = [c for c in sheet.columns if c != "row_no"]
+    source = [c for c in require_columns(sheet, ["row_no"]).columns if c != "row_no"]
+    if len(source) <= max(CONTACT_POSITIONS):
+        raise ValueError(f"the contact sheet has {len(source)} columns, {max(CONTACT_POSITIONS) + 1} are needed")
     return sheet.where(F.col("row_no") > skip + 1).select(
         "row_no", *[F.col(source[p]).alias(n) for p, n in CONTACT_POSITIONS.items()]
     )
