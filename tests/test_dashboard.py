@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 
 from trailmark.config import DEFAULT_CONFIG as CFG
+from trailmark.config import Statuses
 from trailmark.operators import dashboard as D
 from trailmark.plans.dashboard import dashboard_tables
+from trailmark.plans.refresh import refresh
 
 AS_OF = datetime(2024, 1, 31)
 ROWS = [
@@ -101,6 +104,46 @@ def test_all_tables_work_on_an_unprocessed_roster(spark):
     tables = dashboard_tables(roster, AS_OF)
     assert tables["records"].first().status == "Desconocido"
     assert {n: t.count() for n, t in tables.items()} == {
-        "records": 1, "kpis": 1, "funnel": 9, "sections": 16, "schools": 1, "cohorts": 8, "cohort_status": 0,
+        "last_sync": 1, "records": 1, "kpis": 1, "funnel": 9, "sections": 16, "schools": 1, "cohorts": 8, "cohort_status": 0,
         "call_lists": 0, "call_list_counts": 3, "filter_values": 2, "cards": 1,
     }
+
+
+def test_another_programme(spark):
+    """Other statuses in another order, other sections, labels and wording: no code knows the first programme."""
+    names = Statuses(*(f"s-{n}" for n in "rejected recent absent failed late first second near done".split()))
+    order = [names.done, names.near_end, names.second_half, names.first_half, names.late, names.failed, names.absent, names.recent, names.rejected]
+    cfg = replace(
+        CFG,
+        statuses=names,
+        status_labels={s: f"{i}. {s[2:]}" for i, s in enumerate(order, 1)},
+        section_labels={"AA": "first part", "BB": "last part"},
+        final_screens=("BB_9",),
+        call_lists={"late": (names.late,), "ready": (names.done,)},
+        active_status_pattern="s-first|s-second|s-near",
+        badges={"done": "ok"},
+        cohort_labels=("new", "old"),
+        no_activity="none yet",
+        unknown="?",
+        evaluable_since="since ",
+        evaluable_from="from ",
+    )
+    people = spark.createDataFrame(
+        [("1", "911111111", None, None), ("2", "922222222", None, None), ("3", "933333333", None, "2024-01-30"), ("4", "944444444", "no quieren", None)],
+        "id string, phone string, state string, enrolled_at string",
+    )
+    logs = spark.createDataFrame(
+        [("911111111", "2024-01-20 10:00:00", "BB_9", None), ("922222222", "2024-01-25 10:00:00", "AA_1", None)],
+        "phone string, entered_at string, screen string, entry string",
+    )
+    done, _ = refresh(people, None, logs, datetime(2024, 1, 31), cfg)
+    rows = {r.id: r for r in done.collect()}
+    assert {i: r.status for i, r in rows.items()} == {"1": "s-done", "2": "s-second", "3": "s-recent", "4": "s-rejected"}
+    assert rows["1"].status_ordered == "1. done" and rows["1"].progress_pct == 100.0 and rows["2"].progress_pct == 50.0
+    assert rows["1"].week4_eval == "from 17/02/2024"
+    tables = dashboard_tables(done, datetime(2024, 1, 31), cfg)
+    assert [(r.section, r.n) for r in tables["sections"].orderBy("position").collect()] == [("AA", 1), ("BB", 0)]
+    assert [(r.label, r.n) for r in tables["cohorts"].orderBy("bucket").collect()] == [("new", 1), ("old", 0)]
+    assert {r.call_list: r.n for r in tables["call_list_counts"].collect()} == {"late": 0, "ready": 1}
+    cards = {r.id: (r.badge, r.last_active) for r in tables["cards"].collect()}
+    assert cards["1"] == ("ok", "2024-01-20") and cards["3"] == ("other", "none yet")

@@ -159,7 +159,7 @@ def test_weeks_since(column):
 
 def test_evaluable_text(column):
     now = F.lit(datetime(2024, 1, 31)).cast("timestamp_ntz")
-    got = column([date(2024, 1, 31), date(2024, 2, 1)], timestamps.evaluable_text(now, C), "date")
+    got = column([date(2024, 1, 31), date(2024, 2, 1)], timestamps.evaluable_text(now, C, CFG.evaluable_since, CFG.evaluable_from), "date")
     assert got == ["SÍ, DESDE EL 31/01/2024", "NO, SE PODRÁ EL 01/02/2024"]
 
 

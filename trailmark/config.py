@@ -127,6 +127,10 @@ OTHER_BADGE = "other"
 
 NO_ACTIVITY = "Sin actividad"
 
+# Whether a participant can be evaluated, before the day.
+EVALUABLE_SINCE = "SÍ, DESDE EL "
+EVALUABLE_FROM = "NO, SE PODRÁ EL "
+
 # Cohort buckets: weeks since enrolment, the last one is open-ended.
 COHORT_LABELS = (
     "Semana 0 (0-6d)",
@@ -197,10 +201,35 @@ CONTACTS_SKIP = 13
 # --- End of the fixed values. ------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Statuses:
+    """The wording of each funnel status; the order of the funnel is that of ``ProgressConfig.status_labels``."""
+
+    rejected: str = "Rechazo / Sin disponibilidad"
+    recent: str = "Recién Notificado (< 5 días)"
+    absent: str = "Notificado - No Descarga App"
+    failed: str = "Notificado con Error Técnico"
+    late: str = "En Progreso - Atrasado"
+    first_half: str = "En Libro 1"
+    second_half: str = "En Progreso - Empezando Libro 2"
+    near_end: str = "En Progreso - Próximo a Terminar (Avanzado)"
+    done: str = "Completado"
+
+
 @dataclass(frozen=True)
 class ProgressConfig:
     """What one programme looks like; the defaults are the fixed values above."""
 
+    statuses: Statuses = field(default_factory=Statuses)
+    unknown: str = UNKNOWN
+    no_activity: str = NO_ACTIVITY
+    eligible_contact_state: str = ELIGIBLE_CONTACT_STATE
+    evaluable_since: str = EVALUABLE_SINCE
+    evaluable_from: str = EVALUABLE_FROM
+    badges: dict[str, str] = field(default_factory=lambda: dict(BADGES))
+    other_badge: str = OTHER_BADGE
+    cohort_labels: tuple[str, ...] = COHORT_LABELS
+
     section_labels: dict[str, str] = field(default_factory=lambda: dict(SECTION_LABELS))
     screen_labels: dict[str, str] = field(default_factory=lambda: dict(SCREEN_LABELS))
     final_screens: tuple[str, ...] = FINAL_SCREENS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trailmark.config import BADGES, OTHER_BADGE, ProgressConfig
+from trailmark.config import DEFAULT_CONFIG, ProgressConfig
 
 
 def section_of(screen: Column) -> Column:
@@ -46,10 +46,10 @@ def funnel_label(ordered: Column) -> Column:
     return F.substr(ordered, F.lit(4))
 
 
-def badge(status: Column) -> Column:
+def badge(status: Column, cfg: ProgressConfig = DEFAULT_CONFIG) -> Column:
     """Badge of a status, by the first wording it contains."""
     chain = None
-    for word, name in BADGES.items():
+    for word, name in cfg.badges.items():
         hit = F.contains(status, F.lit(word))
         chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
-    return chain.otherwise(F.lit(OTHER_BADGE))
+    return chain.otherwise(F.lit(cfg.other_badge))

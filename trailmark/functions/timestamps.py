@@ -121,7 +121,7 @@ def to_second(ts: Column) -> Column:
     return F.date_trunc("SECOND", ts).cast(NTZ)
 
 
-def evaluable_text(as_of: Column, due: Column) -> Column:
-    """Spanish text saying since when, or from when on, a participant can be evaluated."""
-    lead = F.when(F.to_date(as_of) >= due, F.lit("SÍ, DESDE EL ")).otherwise(F.lit("NO, SE PODRÁ EL "))
+def evaluable_text(as_of: Column, due: Column, since: str, later: str) -> Column:
+    """Text saying since when, or from when on, a participant can be evaluated."""
+    lead = F.when(F.to_date(as_of) >= due, F.lit(since)).otherwise(F.lit(later))
     return F.concat(lead, F.date_format(due, "dd/MM/yyyy"))

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.config import COHORT_LABELS, NO_ACTIVITY, UNKNOWN, ProgressConfig
+from trailmark.config import DEFAULT_CONFIG, ProgressConfig
 from trailmark.functions.numbers import round1, to_completed
 from trailmark.functions.screens import badge, funnel_label, lookup, section_label, section_of
 from trailmark.functions.text import date_prefix, full_name, text_of
@@ -20,9 +20,6 @@ from trailmark.operators.funnel import ENROLLED, with_enrolment
 from trailmark.operators.participants import clock
 from trailmark.operators.schema import ensure_schema, processed_types
 
-_LAST_BUCKET = len(COHORT_LABELS) - 1
-
-
 def dashboard_input(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Any roster, processed or not, with all columns the dashboard reads."""
     return processed_types(ensure_schema(df, cfg), cfg)
@@ -69,7 +66,7 @@ def cohort_weeks(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFra
     return (
         with_enrolment(df, cfg)
         .withColumn("weeks_enrolled", weeks)
-        .withColumn("bucket", F.when(F.col("weeks_enrolled").isNotNull(), F.least("weeks_enrolled", F.lit(_LAST_BUCKET))))
+        .withColumn("bucket", F.when(F.col("weeks_enrolled").isNotNull(), F.least("weeks_enrolled", F.lit(len(cfg.cohort_labels) - 1))))
         .drop(ENROLLED)
     )
 
@@ -121,9 +118,9 @@ def kpis(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
 
 def cohort_counts(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
     """Participants per cohort bucket, zeros included."""
-    buckets = list(range(_LAST_BUCKET + 1))
+    buckets = list(range(len(cfg.cohort_labels)))
     counts = _count_by(cohort_weeks(df, as_of, cfg), F.col("bucket"), buckets, "bucket")
-    labels = F.array(*map(F.lit, COHORT_LABELS))
+    labels = F.array(*map(F.lit, cfg.cohort_labels))
     return counts.select("bucket", F.get(labels, F.col("bucket")).alias("label"), "n")
 
 
@@ -134,7 +131,7 @@ def cohort_members(df: DataFrame, bucket: int, as_of: datetime, cfg: ProgressCon
 
 def cohort_status(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
     """Participants per cohort bucket and status."""
-    status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(UNKNOWN)).alias("status")
+    status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit(cfg.unknown)).alias("status")
     rows = cohort_weeks(df, as_of, cfg).where(F.col("bucket").isNotNull())
     return rows.groupBy("bucket", status).agg(F.count(F.lit(1)).alias("n")).orderBy("bucket", "status")
 
@@ -179,7 +176,7 @@ def search(rows: DataFrame, text: str = "", school: str = "", status: str = "")
     return found
 
 
-def cards(rows: DataFrame) -> DataFrame:
+def cards(rows: DataFrame, cfg: ProgressConfig = DEFAULT_CONFIG) -> DataFrame:
     """Detail cards of display rows."""
     last_active = F.when(F.col("first_log_on").isNotNull(), F.coalesce("finished_on", "first_log_on"))
     return rows.select(
@@ -188,20 +185,20 @@ def cards(rows: DataFrame) -> DataFrame:
         "school",
         "phone",
         "status",
-        badge(F.col("status")).alias("badge"),
+        badge(F.col("status"), cfg).alias("badge"),
         "current_screen",
         "progress",
         "first_log_on",
         "expected_end_on",
-        F.coalesce(last_active, F.lit(NO_ACTIVITY)).alias("last_active"),
+        F.coalesce(last_active, F.lit(cfg.no_activity)).alias("last_active"),
         "days_since_use",
         "comments",
     )
 
 
-def card(rows: DataFrame, participant_id: str) -> DataFrame:
+def card(rows: DataFrame, participant_id: str, cfg: ProgressConfig = DEFAULT_CONFIG) -> DataFrame:
     """Detail card of one participant."""
-    return cards(rows.where(F.col("id") == participant_id))
+    return cards(rows.where(F.col("id") == participant_id), cfg)
 
 
 def screen_labels(df: DataFrame, cfg: ProgressConfig) -> DataFrame:

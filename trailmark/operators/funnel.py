@@ -34,20 +34,20 @@ def classify(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame:
     """
     now = clock(as_of)
     state = operator_state(F.col("state"))
-    rejected, recent, absent, failed, late, first_half, second_half, near_end, done = cfg.status_labels
+    names = cfg.statuses
     unused = F.col("first_log_text").isNull()
     due = F.col("expected_end_at")
     reached = F.when(due.isNotNull(), progress_pct(F.col("current_screen"), cfg))
     status = (
-        F.when(contains_any(state, cfg.error_words), failed)
-        .when(contains_any(state, cfg.rejection_words), rejected)
-        .when(unused & floor_days(now, F.col(ENROLLED)).between(0, cfg.recent_days), recent)
-        .when(unused, absent)
-        .when(to_completed(F.col("completed")), done)
-        .when(reached >= cfg.near_end_pct, near_end)
-        .when(reached >= cfg.second_half_pct, second_half)
-        .when(due < now, late)
-        .otherwise(first_half)
+        F.when(contains_any(state, cfg.error_words), names.failed)
+        .when(contains_any(state, cfg.rejection_words), names.rejected)
+        .when(unused & floor_days(now, F.col(ENROLLED)).between(0, cfg.recent_days), names.recent)
+        .when(unused, names.absent)
+        .when(to_completed(F.col("completed")), names.done)
+        .when(reached >= cfg.near_end_pct, names.near_end)
+        .when(reached >= cfg.second_half_pct, names.second_half)
+        .when(due < now, names.late)
+        .otherwise(names.first_half)
     )
     return (
         with_enrolment(df, cfg)

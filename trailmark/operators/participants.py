@@ -98,8 +98,8 @@ def milestones(df: DataFrame, as_of: datetime, cfg: ProgressConfig) -> DataFrame
         "first_log_date": day,
         "week4_on": week4,
         "week6_on": week6,
-        "week4_eval": evaluable_text(now, week4),
-        "week6_eval": evaluable_text(now, week6),
+        "week4_eval": evaluable_text(now, week4, cfg.evaluable_since, cfg.evaluable_from),
+        "week6_eval": evaluable_text(now, week6, cfg.evaluable_since, cfg.evaluable_from),
     }
     return df.withColumns({c: F.when(first.isNotNull(), v).otherwise(F.col(c)) for c, v in derived.items()})
 

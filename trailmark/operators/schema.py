@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.config import UNKNOWN, ProgressConfig
+from trailmark.config import ProgressConfig
 from trailmark.functions.numbers import completed_flag, number_or_null, safe_int_days, serial_days
 from trailmark.functions.screens import lookup
 from trailmark.functions.text import null_if_missing, null_if_nan, text_of
@@ -55,8 +55,8 @@ def ensure_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 def ensure_schema(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Add the columns the dashboard needs, with the values of an unprocessed roster."""
     null = F.lit(None)
-    df = ensure_columns(df, {"status": F.lit(UNKNOWN)})
-    ordered = F.coalesce(lookup(cfg.status_labels, F.col("status")), F.lit(UNKNOWN))
+    df = ensure_columns(df, {"status": F.lit(cfg.unknown)})
+    ordered = F.coalesce(lookup(cfg.status_labels, F.col("status")), F.lit(cfg.unknown))
     return ensure_columns(
         df,
         {
@@ -65,7 +65,7 @@ def ensure_schema(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
             "progress_pct": F.lit(0.0),
             "days_since_use": null.cast("int"),
             "completed": F.lit(False),
-            "school": F.lit(UNKNOWN),
+            "school": F.lit(cfg.unknown),
             "id": F.lit(""),
             "comments": F.lit(""),
             "first_log_at": null.cast(NTZ),

@@ -37,5 +37,5 @@ def dashboard_tables(
         "call_lists": dashboard.call_lists(rows, cfg),
         "call_list_counts": dashboard.call_list_counts(df, cfg),
         "filter_values": dashboard.filter_values(df),
-        "cards": dashboard.cards(rows),
+        "cards": dashboard.cards(rows, cfg),
     }

@@ -95,7 +95,7 @@ class Tracker:
 
     def card(self, now: datetime, identifier: str) -> DataFrame:
         """Detail card of one participant."""
-        return dashboard.card(self._records(now), identifier)
+        return dashboard.card(self._records(now), identifier, self.cfg)
 
     def cohort_members(self, now: datetime, bucket: int) -> DataFrame:
         """Participants of one cohort of weeks since enrolment."""
