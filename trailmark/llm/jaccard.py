@@ -264,22 +264,25 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     found = linked.select("a", "b").unionByName(second.where(_links(percent)).select("a", "b"))
     roots = stored(components(found), "roots")
     apart = second.unionByName(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "n_a", "n_b")).where(~_links(percent))
+    is_head = F.col("set_id") == F.col("family")
     heads = placed.groupBy("family").agg(
-        F.max("beyond").alias("reach"), F.min("n").alias("low"), F.max(F.when(F.col("set_id") != F.col("family"), 1).otherwise(0)).alias("more")
+        F.max("beyond").alias("reach"), F.min("n").alias("low"), F.max(F.when(is_head, 0).otherwise(1)).alias("more"), F.max(F.when(is_head, F.col("shared"))).alias("common")
     )
     some = apart.select("a", "b", "o").distinct()
     for s in "ab":
-        some = some.join(heads.select(F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reach", "low", "more")]), s)
+        some = some.join(heads.select(F.col("family").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reach", "low", "more", "common")]), s)
         some = some.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
     some = some.where("more_a + more_b > 0 and coalesce(root_a, a) <> coalesce(root_b, b)")
-    some = stored(some.select("a", "b", "o", "reach_a", "low_a", "reach_b", "low_b"), "families-apart")
+    sides = [f"{c}_{s}" for c in ("reach", "low", "more", "common") for s in "ab"]
+    some = stored(some.select("a", "b", "o", *sides), "families-apart")
     enough = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
 
     def members(s: str, t: str) -> DataFrame:
         """Entries of the members of one side that may reach any member of the other."""
         own = placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "shared", "with_hub", "beyond")], (F.col("n") - F.col("place")).alias(f"rest_{s}"), F.col("family").alias(s))
-        most = F.least(F.col("o") + F.col(f"beyond_{s}") + F.col(f"reach_{t}"), F.col(f"rest_{s}"))
-        return own.join(some, s).where(enough(most, F.col(f"n_{s}"), F.col(f"low_{t}"))).drop("o", "reach_a", "low_a", "reach_b", "low_b")
+        alone = F.least("o", f"with_hub_{s}") + F.least(F.col(f"beyond_{s}"), F.greatest(F.col(f"common_{t}") - F.col("o"), F.lit(0)))
+        most = F.when(F.col(f"more_{t}") == 0, alone).otherwise(F.col("o") + F.col(f"beyond_{s}") + F.col(f"reach_{t}"))
+        return own.join(some, s).where(enough(F.least(most, f"rest_{s}"), F.col(f"n_{s}"), F.col(f"low_{t}"))).drop("o", *sides)
 
     inner = members("a", "b").join(members("b", "a").join(some.select("a", "b", "o"), ["a", "b"]), ["token", "a", "b"])
     head_a, head_b = F.col("set_id_a") == F.col("a"), F.col("set_id_b") == F.col("b")
