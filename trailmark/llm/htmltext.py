@@ -326,7 +326,11 @@ def _varied(found: list[Leaf], labels: np.ndarray, others: list[Leaf], draw: np.
 def trained(pages: DataFrame, key: str = "page_id", html: str = "html") -> Labeller | None:
     """The labeller, learned from a bounded number of pages; None if there are no pages with blocks."""
     rows = pages.where(F.col(html).isNotNull()).select(F.xxhash64(key, html).alias("h"), F.col(html).alias("html"))
-    found = [leaves(r.html) for r in rows.orderBy("h").limit(TRAIN_PAGES).collect()]
+    n = max(1, rows.count())
+    # a share by hash, about twice as large as needed, then the smallest hashes
+    bound = min(1.0, 2 * TRAIN_PAGES / n + 20 / n) * 2.0**64 - 2.0**63
+    sample = rows.where(F.col("h").cast("double") <= bound).collect()
+    found = [leaves(r.html) for r in sorted(sample, key=lambda r: (r.h, r.html))[:TRAIN_PAGES]]
     found = [f for f in found if f]
     others = [x for f in found for x in f]
     if not others:
