@@ -23,6 +23,8 @@ from trailmark.llm.common import pack, pack_words, stored, unpack, unpack_words
 
 #: A block is closed at so many words (or what the caller says), distinct words or characters of text, the last text whole.
 BLOCK_WORDS, BLOCK_DISTINCT, BLOCK_CHARS = 2_000_000, 1_500_000, 96_000_000
+#: Level of compression of texts and words.
+LEVEL = 9
 BLOCKS = "block bigint, ids binary, named binary, flags binary, sizes binary, codes binary, words binary, parts binary"
 ANSWERS = "block bigint, part int, answer binary"
 
@@ -39,7 +41,7 @@ class Codes(defaultdict):
 
 def pack_codes(codes: np.ndarray) -> bytes:
     """Codes byte plane by byte plane: with frequent words first, the upper planes are nearly all zeros."""
-    planes = [pack((codes >> shift).astype("u1")) for shift in (0, 8, 16)]
+    planes = [pack((codes >> shift).astype("u1"), LEVEL) for shift in (0, 8, 16)]
     return b"".join(len(p).to_bytes(8, "little") + p for p in planes)
 
 
@@ -87,7 +89,7 @@ def _rows(batches: Iterator[pa.RecordBatch], split: Splitter, n_parts: int, most
         column, kept = place[column], [kept[i] for i in order.tolist()]
         keys, named = np.array([i or 0 for i in ids], "i8"), np.array([i is not None for i in ids], "?")
         packed = {"ids": pack(keys), "named": pack(named), "flags": pack(np.array(flags, "?")), "sizes": pack(np.array(sizes, "i4"))}
-        packed |= {"codes": pack_codes(column), "words": pack_words(kept), "parts": pack_codes(parts_of(word_hashes(kept), n_parts))}
+        packed |= {"codes": pack_codes(column), "words": pack_words(kept, LEVEL), "parts": pack_codes(parts_of(word_hashes(kept), n_parts))}
         cells = [pa.array([first + count], pa.int64()), *[pa.array([p], pa.binary()) for p in packed.values()]]
         return pa.RecordBatch.from_arrays(cells, names=["block", *packed])
 
@@ -152,7 +154,7 @@ def by_word(
                 block = Block(row)
                 for p, chosen in _runs(block.parts):
                     extra = payload(block, chosen) if payload else b""
-                    yield pd.DataFrame({"block": [block.block], "part": [p], "words": [pack_words([block.words[i] for i in chosen.tolist()])], "extra": [extra]})
+                    yield pd.DataFrame({"block": [block.block], "part": [p], "words": [pack_words([block.words[i] for i in chosen.tolist()], LEVEL)], "extra": [extra]})
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         codes = Codes()

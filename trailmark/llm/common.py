@@ -46,10 +46,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """An array as compressed bytes."""
     raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True) if raw else b"")
 
 
 def unpack(blob: bytes, kind: str) -> np.ndarray:
@@ -59,10 +59,10 @@ def unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
-def pack_words(items: list[bytes]) -> bytes:
+def pack_words(items: list[bytes], level: int = 1) -> bytes:
     """Byte strings as one blob."""
-    sizes = pack(np.fromiter(map(len, items), "u4", len(items)))
-    return len(sizes).to_bytes(8, "little") + sizes + pack(np.frombuffer(b"".join(items), "u1"))
+    sizes = pack(np.fromiter(map(len, items), "u4", len(items)), level)
+    return len(sizes).to_bytes(8, "little") + sizes + pack(np.frombuffer(b"".join(items), "u1"), level)
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
