@@ -201,10 +201,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, rules: Rules | None = None) ->
 
 
 def filtered(docs: DataFrame, labels: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The documents that are kept, with their own columns; cutoffs come from the labelled ones among them."""
+    """The documents that are kept, with their own columns; cutoffs come from the labelled ones among them.
+
+    Measures without texts meet the labels, and the texts are read a second time for the verdict: no text is shuffled.
+    """
     rules = rules or Rules()
-    known = labels.select("doc_id").distinct()
-    chosen = stored(cutoffs(_measured(docs.join(known, "doc_id", "left_semi"), rules), labels, rules), "quality-cutoffs")
+    chosen = stored(cutoffs(_measured(docs, rules), labels, rules), "quality-cutoffs")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("lang"))
     rows = _beside_cutoffs(rows, chosen)
     rows = rows.where(let(measures(F.col("_row")["text"], rules), lambda m: kept(m, F.col("cuts"), rules)))
