@@ -254,8 +254,10 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     left, right = (cut.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "part", "found", "low", "high", "rest")]) for s in "lr")
     reach = _reach("low_l", "high_l", "rest_l", "low_r", "high_r", "rest_r", percent)
     met = left.join(right, "token").where("(band_l, part_l) <= (band_r, part_r)").where(reach)
-    met = met.select(F.explode("found_l").alias("x"), "found_r").select("x", F.explode("found_r").alias("y"))
-    met = met.where(F.col("x.family") != F.col("y.family")).where(_reach("x.low", "x.high", "x.rest", "y.low", "y.high", "y.rest", percent))
+    # entries of the left block beside those of the right one that they can reach, each pair once
+    met = met.select(F.expr("band_l = band_r and part_l = part_r").alias("same"), F.explode("found_l").alias("x"), "found_r")
+    fits = _reach("x.low", "x.high", "x.rest", "y.low", "y.high", "y.rest", percent, in_block=True)
+    met = met.select("x", F.explode(F.filter("found_r", fits)).alias("y"))
     pairs = met.select(F.least("x.family", "y.family").alias("a"), F.greatest("x.family", "y.family").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stored(_sized(overlaps(pairs.join(known, ["a", "b"], "left_anti"), sets), size), "family-overlaps")
@@ -307,9 +309,20 @@ def _links(percent: int):
     return F.col("o") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("o")) * percent
 
 
-def _reach(low_l, high_l, rest_l, low_r, high_r, rest_r, percent: int):
-    """Whether sets of these sizes, with so many shingles from the shared one on, can overlap enough."""
-    c = F.col
+def _reach(low_l, high_l, rest_l, low_r, high_r, rest_r, percent: int, in_block: bool = False):
+    """Whether sets of these sizes, with so many shingles from the shared one on, can overlap enough.
+
+    ``in_block`` gives a test of an entry y of the right block beside the entry x of the left one.
+    """
+    if in_block:
+
+        def fits(y):
+            place = {"y.low": y["low"], "y.high": y["high"], "y.rest": y["rest"]}
+            apart = F.when(F.col("same"), F.col("x.family") < y["family"]).otherwise(F.col("x.family") != y["family"])
+            return apart & _reach(low_l, high_l, rest_l, *(place[n] for n in (low_r, high_r, rest_r)), percent)
+
+        return fits
+    c = lambda x: F.col(x) if isinstance(x, str) else x
     enough = F.least(c(rest_l), c(rest_r)) * (100 + percent) >= (c(low_l) + c(low_r)) * percent
     return enough & (c(high_l) * 100 >= c(low_r) * percent) & (c(high_r) * 100 >= c(low_l) * percent)
 
