@@ -14,7 +14,7 @@ Method, exact and without all pairs of a group:
   are skipped.  For families that meet, the hubs are compared.  If they link, their members are connected.  If not, and
   nothing else has connected them, the answers of the members are derived from those of the hubs: with b(x) the
   shingles of x that its hub lacks and some other set has, overlap(x, w) <= overlap(hubs) + b(x) + b(w), and less where
-  one of them is a hub.  Only members that share a list and whose bound still reaches the limit are compared.
+  one of them is a hub.  Only members whose bound still reaches the limit are compared.
 
 Shingles are kept as 48 of 64 hash bits, so a pair's overlap is wrong with a chance of about n^2 / 2^48.
 Null ids stay null and never name a component; rows that come twice come out twice; a null text has no set; extra
@@ -235,12 +235,11 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     # families: sets that link with their hub and are not hubs themselves
     heads = linked.select(F.col("b").alias("a")).distinct()
     family = linked.join(heads, "a", "left_anti").select(F.col("a").alias("set_id"), F.col("b").alias("family"), "o")
-    placed = entries.join(family, "set_id", "left").select(
-        "token", "set_id", "n", "place", F.coalesce("family", "set_id").alias("family"), F.coalesce("o", "n").alias("with_hub"),
-        (F.col("n") - F.col("single")).alias("shared"),
-    )
-    placed = placed.withColumn("beyond", F.greatest(F.col("shared") - F.col("with_hub"), F.lit(0)))
-    placed = stored(placed, "index-entries")
+    member = sets.select("set_id", "n", (F.col("n") - F.col("single")).alias("shared")).join(family, "set_id", "left").select(
+        "set_id", "n", "shared", F.coalesce("family", "set_id").alias("family"), F.coalesce("o", "n").alias("with_hub")
+    )
+    member = stored(member.withColumn("beyond", F.greatest(F.col("shared") - F.col("with_hub"), F.lit(0))), "members")
+    placed = entries.select("token", "set_id", "n", "place").join(member.select("set_id", "family"), "set_id")
 
     # lists of families, in blocks by position
     grouped = placed.groupBy("token", "family").agg(
@@ -267,7 +266,7 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     roots = stored(components(found), "roots")
     apart = second.unionByName(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "n_a", "n_b")).where(~_links(percent))
     is_head = F.col("set_id") == F.col("family")
-    heads = placed.groupBy("family").agg(
+    heads = member.groupBy("family").agg(
         F.max("beyond").alias("reach"), F.min("n").alias("low"), F.max(F.when(is_head, 0).otherwise(1)).alias("more"), F.max(F.when(is_head, F.col("shared"))).alias("common")
     )
     some = apart.select("a", "b", "o").distinct()
@@ -279,18 +278,18 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     some = stored(some.select("a", "b", "o", *sides), "families-apart")
     enough = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
 
-    def members(s: str, t: str) -> DataFrame:
-        """Entries of the members of one side that may reach any member of the other."""
-        own = placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "shared", "with_hub", "beyond")], (F.col("n") - F.col("place")).alias(f"rest_{s}"), F.col("family").alias(s))
+    def reaching(s: str, t: str) -> DataFrame:
+        """Members of one side that may reach any member of the other."""
+        own = member.select(*[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "shared", "with_hub", "beyond")], F.col("family").alias(s))
         alone = F.least("o", f"with_hub_{s}") + F.least(F.col(f"beyond_{s}"), F.greatest(F.col(f"common_{t}") - F.col("o"), F.lit(0)))
         most = F.when(F.col(f"more_{t}") == 0, alone).otherwise(F.col("o") + F.col(f"beyond_{s}") + F.col(f"reach_{t}"))
-        return own.join(some, s).where(enough(F.least(most, f"rest_{s}"), F.col(f"n_{s}"), F.col(f"low_{t}"))).drop("o", *sides)
+        return own.join(some, s).where(enough(F.least(most, f"shared_{s}"), F.col(f"n_{s}"), F.col(f"low_{t}"))).drop(*sides)
 
-    inner = members("a", "b").join(members("b", "a").join(some.select("a", "b", "o"), ["a", "b"]), ["token", "a", "b"])
+    inner = reaching("a", "b").join(reaching("b", "a").drop("o"), ["a", "b"])
     head_a, head_b = F.col("set_id_a") == F.col("a"), F.col("set_id_b") == F.col("b")
     one_hub = lambda x, h: F.least("o", f"with_hub_{x}") + F.least(F.col(f"beyond_{x}"), F.greatest(F.col(f"shared_{h}") - F.col("o"), F.lit(0)))
     bound = F.when(head_a, one_hub("b", "a")).when(head_b, one_hub("a", "b")).otherwise(F.col("o") + F.col("beyond_a") + F.col("beyond_b"))
-    most = F.least(bound, F.col("rest_a"), F.col("rest_b"))
+    most = F.least(bound, F.col("shared_a"), F.col("shared_b"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     inner = inner.where(enough(most, F.col("n_a"), F.col("n_b")) & fits & ~(head_a & head_b))
     inner = inner.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct()
