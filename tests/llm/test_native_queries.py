@@ -169,3 +169,20 @@ def test_lines_odd_rows(spark):
     assert got.columns == docs(spark, []).columns
     assert sorted((r.doc_id or -1, len(r.text or "")) for r in got.collect()) == [(-1, 3), (1, 0), (2, 0), (3, 3), (3, 3), (4, 150_000), (7, 24)]
     assert linededup.cleaned(docs(spark, [])).count() == 0
+
+
+def test_lines_of_values_recur_only_as_they_are(spark):
+    rows = [
+        (1, "12 7 31 5 90", "en"),
+        (2, "13 8 32 6 91", "en"),
+        (3, "2020-01-05 a@b.org http://x.org/1 17 total\n12 7 31 5 90\n5 6 7 8 9", "en"),
+        (4, "2021-02-06 c@d.org http://x.org/2 18 total", "en"),
+        (5, "row 1 2 3 4 5 6 7 8 9 10 has many numbers", "en"),
+        (6, "row 1 2 3 4 5 6 7 8 9 11 has many numbers", "en"),
+        (7, "on 1 may the 2 of us met 3 men twice", "en"),
+        (8, "on 4 may the 5 of us met 6 men twice\nand then left the house again", "en"),
+    ]
+    got = {r.doc_id: r.text for r in linededup.cleaned(docs(spark, rows)).collect()}
+    assert {i: got.get(i) for i in (1, 2, 4, 5, 6, 7)} == {i: t for i, t, _ in rows if i in (1, 2, 4, 5, 6, 7)}
+    assert got[3] == "2020-01-05 a@b.org http://x.org/1 17 total\n5 6 7 8 9"  # the very same row stands in document 1
+    assert got[8] == "and then left the house again"

@@ -6,6 +6,9 @@ lines also stand under templates with one region open, the rest of the line bein
 that differs only in one such field is an instance of the same template.  A template seen in at least two documents is
 recurring: its lines stay in the document with the smallest id and are dropped from all others.
 
+Fields are open only in templates that keep at least ``least_words`` literal words.  A line with fewer of them, such as
+a row of numbers, dates or ids, stands under its real words alone, and recurs only where the very same line does.
+
 Lines of fewer than ``least_words`` words are never dropped; open regions are tried from ``least_open_words`` words.
 Documents that lose all their lines with words go.  Null and empty texts have no lines and stay as they are; rows with
 the same id count as one document; rows without id count as one document that comes last; equal lines inside one
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import let, stored, words
 
 _LAST = (1 << 63) - 1
+_FIELD, _OPEN = "[0-9@]|://", "<*>"
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,12 @@ class Tree:
 def masked(line: Column) -> Column:
     """The line with variable fields open: words with a digit, addresses, links."""
     field = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
-    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, field, "<*>")).otherwise(line)
+    return F.when(line.rlike(_FIELD), F.regexp_replace(line, field, _OPEN)).otherwise(line)
+
+
+def literals(found: Column) -> Column:
+    """Number of words that are no open field."""
+    return F.size(F.filter(found, lambda w: w != _OPEN))
 
 
 def template_keys(line: Column, tree: Tree) -> Column:
@@ -47,16 +56,25 @@ def template_keys(line: Column, tree: Tree) -> Column:
         n, rest = F.size(found), F.size(found) - tree.leading
         path = F.xxhash64(n, F.slice(found, 1, tree.leading))
         cut = lambda r: F.floor(rest * r / tree.regions).cast("int")
-        part = [F.xxhash64(F.slice(found, tree.leading + 1 + cut(r), cut(r + 1) - cut(r))) for r in range(tree.regions)]
+        region = lambda r: F.slice(found, tree.leading + 1 + cut(r), cut(r + 1) - cut(r))
+        part = [F.xxhash64(region(r)) for r in range(tree.regions)]
 
         def joined(p: Column) -> Column:
             whole = F.xxhash64(path, p)
             open_at = [F.xxhash64(path, F.lit(r), *[p[i] for i in range(tree.regions) if i != r]) for r in range(tree.regions)]
-            return F.when(n < tree.least_open_words, F.array(whole)).otherwise(F.array(whole, *open_at))
+            # a line with fields open may have too few literal words outside a region
+            enough = [F.when(literals(found) - literals(region(r)) >= tree.least_words, k) for r, k in enumerate(open_at)]
+            opened = F.when(F.array_contains(found, _OPEN), F.filter(F.array(*enough), lambda k: k.isNotNull())).otherwise(F.array(*open_at))
+            return F.when(n < tree.least_open_words, F.array(whole)).otherwise(F.concat(F.array(whole), opened))
 
         return F.when(n >= tree.least_words, let(F.array(*part), joined)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words(masked(line)), keys)
+    def exact(found: Column) -> Column:
+        path = F.xxhash64(F.lit("exact"), F.size(found))
+        return F.when(F.size(found) >= tree.least_words, F.array(F.xxhash64(path, found))).otherwise(F.array().cast("array<bigint>"))
+
+    few = lambda found: line.rlike(_FIELD) & (literals(found) < tree.least_words)
+    return let(words(masked(line)), lambda found: F.when(few(found), exact(words(line))).otherwise(keys(found)))
 
 
 def _document(key: str) -> Column:
