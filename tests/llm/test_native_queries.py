@@ -112,6 +112,24 @@ def test_templates_match_other_values(spark):
     assert left.columns == docs(spark, []).columns
 
 
+def test_quotes_stay_found_beside_a_changed_value(spark):
+    start = "in the year 1998 all the people of the small village went down to the old river and"
+    end = "looked for the lost boat of their king until the end of 1998 when it came back"
+    texts = [
+        (1, f"{start} {end}", "en"),
+        (2, f"{start} {end.replace('1998', '1999')}", "en"),  # equal values became different
+        (3, f"{start.replace('1998', '1888')} other words stand here for the rest {end.replace('1998', '1777')}", "en"),
+        (4, "in the year 1998 all the people of another town", "en"),  # one window, no more
+    ]
+    got = decontam.contaminated(docs(spark, texts), items(spark, [(10, f"{start} {end}")])).collect()
+    by = {r.doc_id: (r.n_windows, r.n_slots) for r in got}
+    assert set(by) == {1, 2, 3}
+    assert by[1] == (28, 1) and by[2] == (23, 1)  # five windows hold the changed value
+    two = "the man counted 4 green birds in the tall tree beside the road and then 9 more birds far away from all of the other trees of the field"
+    same = two.replace("4", "6").replace("9", "6")  # different values became equal
+    assert decontam.contaminated(docs(spark, [(1, same, "en")]), items(spark, [(10, two)])).count() == 1
+
+
 def test_decontamination_of_empty_tables(spark):
     assert decontam.contaminated(docs(spark, []), items(spark, [(1, QUESTION)])).count() == 0
     assert decontam.contaminated(docs(spark, [(1, QUESTION, "en")]), items(spark, [])).count() == 0

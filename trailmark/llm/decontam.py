@@ -5,7 +5,7 @@ not words all in capitals) become typed placeholders; all other words
 are lower-cased.  Windows of ``window`` template words of the documents are hash-joined to those of the benchmark items,
 so a question asked again with other numbers or names is still found.  The values behind the placeholders are then
 compared position by position: along one alignment equal values of the item must stand for equal values of the document
-and different for different, else the match is dropped.
+and different for different, else only its windows that match word for word, values included, are found.
 
 A pair counts if at least ``least_windows`` windows of the item are found (all of them, if it has fewer).  Windows with
 fewer than ``least_literal`` plain words are not used.  Items shorter than a window are one window of their own length.
@@ -121,20 +121,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = Non
     # values of the documents that have slots to compare
     some = _small(stored(slotted.select("row").distinct(), "bench-rows"))
     values = rows.join(some, "row", "left_semi").select("row", parsed(F.col("text")).alias("p")).dropDuplicates(["row"])
-    pairs = slotted.select("row", "item", (F.col("d") - F.col("at")).alias("shift"), "d", F.explode("slots").alias("s"))
-    pairs = pairs.join(values, "row").select(
-        "row", "item", "shift", F.concat("s.t", "s.v").alias("theirs"), F.concat(F.col("s.t"), F.expr("get(p, d + s.i).v")).alias("ours")
+    ours = lambda s: F.get("p", F.col("d") + s["i"])["v"]
+    pair = lambda s: F.struct(F.concat(s["t"], s["v"]).alias("theirs"), F.concat(s["t"], ours(s)).alias("ours"))
+    line = ["row", "doc_id", "item", (F.col("d") - F.col("at")).alias("shift"), "at", "n_windows"]
+    compared = slotted.join(values, "row").select(
+        *line, F.forall("slots", lambda s: s["v"].eqNullSafe(ours(s))).alias("verbatim"), F.transform("slots", pair).alias("pairs")
     )
-    pairs = pairs.distinct().groupBy("row", "item", "shift")
-    slots = pairs.agg(F.count("*").alias("n"), F.count_distinct("theirs").alias("a"), F.count_distinct("ours").alias("b"))
-    slots = slots.select("row", F.col("item").alias("item2"), F.col("shift").alias("shift2"), "n", ((F.col("n") == F.col("a")) & (F.col("n") == F.col("b"))).alias("fits"))
-    lines = hits.groupBy("row", "doc_id", "item", (F.col("d") - F.col("at")).alias("shift")).agg(
-        F.count_distinct("at").alias("found"), F.max("n_windows").alias("item_windows")
+    compared = stored(compared, "bench-compared")
+    pairs = compared.select("row", "item", "shift", "verbatim", F.inline("pairs"))
+    pairs = pairs.groupBy("row", "item", "shift", "theirs", "ours").agg(F.max("verbatim").alias("verbatim")).groupBy("row", "item", "shift")
+    slots = pairs.agg(
+        F.count("*").alias("n"), F.count_distinct("theirs").alias("a"), F.count_distinct("ours").alias("b"), F.count_if("verbatim").alias("n_verbatim")
     )
-    lines = lines.join(slots.withColumnRenamed("row", "row2"), F.expr("row = row2 and item <=> item2 and shift = shift2"), "left")
-    kept = lines.where(F.coalesce("fits", F.lit(True)) & (F.col("found") >= F.least("item_windows", F.lit(rules.least_windows))))
+    slots = slots.select(
+        F.col("row").alias("row2"), F.col("item").alias("item2"), F.col("shift").alias("shift2"), "n", "n_verbatim",
+        ((F.col("n") == F.col("a")) & (F.col("n") == F.col("b"))).alias("fits"),
+    )
+    marked = hits.where(F.size("slots") == 0).select(*line, F.lit(True).alias("verbatim")).unionByName(compared.drop("pairs"))
+    lines = marked.groupBy("row", "doc_id", "item", "shift").agg(
+        F.size(F.collect_set("at")).cast("bigint").alias("found"),
+        F.size(F.collect_set(F.when(F.col("verbatim"), F.col("at")))).cast("bigint").alias("quoted"),
+        F.max("n_windows").alias("item_windows"),
+    )
+    lines = lines.join(slots, F.expr("row = row2 and item <=> item2 and shift = shift2"), "left")
+    fits = F.coalesce("fits", F.lit(True))
+    lines = lines.withColumn("found", F.when(fits, F.col("found")).otherwise(F.col("quoted")))
+    lines = lines.withColumn("n", F.coalesce(F.when(fits, F.col("n")).otherwise(F.col("n_verbatim")), F.lit(0)))
+    kept = lines.where(F.col("found") >= F.least("item_windows", F.lit(rules.least_windows)))
     return kept.groupBy("row", "doc_id", F.col("item").alias("item_id")).agg(
-        F.max("found").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("n", F.lit(0))).alias("n_slots")
+        F.max("found").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n").alias("n_slots")
     )
 
 
