@@ -130,6 +130,23 @@ def test_quotes_stay_found_beside_a_changed_value(spark):
     assert decontam.contaminated(docs(spark, [(1, same, "en")]), items(spark, [(10, two)])).count() == 1
 
 
+def test_items_without_a_usable_window_are_found_whole(spark):
+    dense = "Add 3 and 5 and 7 then 9 and 11 to 13"  # more than three placeholders in every window
+    chinese = "小明有三个苹果他又买了五个苹果现在一共有多少"
+    texts = [
+        (1, f"Some text.\n{dense}\nmore text", "en"),
+        (2, f"Some text.\n{dense.replace('11', '12')}\nmore text", "en"),
+        (3, "First this. What is 2+2? Then that", "en"),
+        (4, "I know what is 2+2 because of school", "en"),
+        (5, "What is 2+3?", "en"),
+        (6, f"前面还有别的话说{chinese}后面也有", "zh"),
+        (7, "小红有两个梨她没有再买别的东西所以很高兴", "zh"),
+    ]
+    known = items(spark, [(10, dense), (11, "What is 2+2?"), (12, chinese), (13, None), (14, "")])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts + ODD), known).collect()}
+    assert got == {(1, 10), (3, 11), (6, 12)}
+
+
 def test_decontamination_of_empty_tables(spark):
     assert decontam.contaminated(docs(spark, []), items(spark, [(1, QUESTION)])).count() == 0
     assert decontam.contaminated(docs(spark, [(1, QUESTION, "en")]), items(spark, [])).count() == 0

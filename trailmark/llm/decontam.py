@@ -9,6 +9,9 @@ and different for different, else only its windows that match word for word, val
 
 A pair counts if at least ``least_windows`` windows of the item are found (all of them, if it has fewer).  Windows with
 fewer than ``least_literal`` plain words are not used.  Items shorter than a window are one window of their own length.
+Items without a usable window (too short, too many placeholders) are found as a whole, word for word with their values;
+those of fewer than ``least_literal`` words only where they stand as sentences of their own.  Scripts written without
+blanks are cut by character.
 Null and empty texts match nothing; repeated rows count once; null ids stay null; extra columns are ignored; an empty
 benchmark finds nothing.  All of it is column expressions and SQL joins.
 """
@@ -31,8 +34,12 @@ UNITS = (
     "gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars usd euro euros eur cent cents pence percent degree degrees mph kmh watt watts kw volt volts hz khz mhz ghz kb mb gb tb"
 ).split()
+#: Scripts without blanks between words.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"
+ENDS = (".", "!", "?", "\n", "。", "！", "？")
 #: A number, a word, or the end of a sentence.
-TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}]+|[.!?\n]"
+TOKEN = rf"\d+(?:[.,:]\d+)*|{WORD}|[{''.join(ENDS)}]"
 
 
 @dataclass(frozen=True)
@@ -48,7 +55,7 @@ def parsed(text: Column) -> Column:
     def typed(found: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             first, before = F.substring(x, 1, 1), F.when(i > 0, F.get(found, i - 1))
-            ends = F.coalesce(before.isin(".", "!", "?", "\n"), F.lit(True))
+            ends = F.coalesce(before.isin(*ENDS), F.lit(True))
             low = F.lower(x)
             digit = first.between("0", "9")
             unit = F.coalesce(F.substring(before, 1, 1).between("0", "9"), F.lit(False)) & low.isin(*UNITS)
@@ -56,7 +63,7 @@ def parsed(text: Column) -> Column:
             mark = F.when(digit, "<num>").when(unit, "<unit>").when(name, "<name>")
             return F.struct(F.coalesce(mark, low).alias("t"), F.when(mark.isNotNull(), low).alias("v"))
 
-        return F.filter(F.transform(found, one), lambda x: ~x["t"].isin(".", "!", "?", "\n"))
+        return F.filter(F.transform(found, one), lambda x: ~x["t"].isin(*ENDS))
 
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), typed)
 
@@ -68,7 +75,7 @@ _OPEN = r"[0-9]|[\p{L}\p{M}][^\p{L}\p{M}0-9.!?\n]+[\p{Lu}\p{Lt}]"
 def template_words(text: Column) -> Column:
     """The template words of ``parsed``; texts that cannot have placeholders are only split and lower-cased."""
     raw = F.coalesce(text, F.lit(""))
-    plain = F.regexp_extract_all(F.lower(raw), F.lit(r"[\p{L}\p{M}]+"), 0)
+    plain = F.regexp_extract_all(F.lower(raw), F.lit(WORD), 0)
     return F.when(raw.rlike(_OPEN), F.transform(parsed(raw), lambda x: x["t"])).otherwise(plain)
 
 
@@ -101,6 +108,57 @@ def item_windows(benchmark: DataFrame, rules: Templates, key: str = "item_id", t
     return opened.select("item", "h", "at", "size", F.count("*").over(W.partitionBy("item", "p")).alias("n_windows"), "slots")
 
 
+def _exact(text: Column) -> Column:
+    """Array of (w, first, last): lower-case words and numbers, and whether they begin and end a sentence."""
+
+    def marked(found: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            ends = lambda y: F.coalesce(y.isin(*ENDS), F.lit(True))
+            before, after = F.when(i > 0, F.get(found, i - 1)), F.get(found, i + 1)
+            return F.struct(F.lower(x).alias("w"), ends(before).alias("first"), ends(after).alias("last"))
+
+        return F.filter(F.transform(found, one), lambda x: ~x["w"].isin(*ENDS))
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), marked)
+
+
+def _exact_windows(e: Column, size: Column, rules: Templates) -> Column:
+    """Hash of each window of ``size`` words of ``_exact``; null where a short one is no sentence of its own."""
+
+    def at(i: Column) -> Column:
+        alone = F.get(e, i)["first"] & F.get(e, i + size - 1)["last"]
+        return F.when((size >= rules.least_literal) | alone, F.xxhash64(F.lit("exact"), F.slice(e["w"], i + 1, size)))
+
+    n = F.size(e) - size
+    return F.transform(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")), at)
+
+
+def whole_items(benchmark: DataFrame, rules: Templates, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, h, at, size, n_windows, n_slots): exact windows of the items that have no usable window."""
+    items = benchmark.select(F.col(key).alias("item"), F.col(text).alias("text"), parsed(F.col(text)).alias("p")).where(F.size("p") > 0).distinct()
+    items = items.withColumn("size", F.least(F.size("p"), F.lit(rules.window)))
+    plain = lambda i: F.size(F.filter(F.slice("p", i, F.col("size")), lambda x: x["v"].isNull()))
+    some = F.exists(F.sequence(F.lit(1), F.size("p") - F.col("size") + 1), lambda i: plain(i) >= F.least("size", F.lit(rules.least_literal)))
+    items = items.where((F.col("size") < min(rules.least_literal, rules.window)) | ~some)
+    n_slots = F.size(F.array_distinct(F.filter("p", lambda x: x["v"].isNotNull()))).cast("bigint").alias("n_slots")
+    items = items.select("item", "size", n_slots, let(_exact(F.col("text")), lambda e: _exact_windows(e, F.col("size"), rules)).alias("h"))
+    return items.select("item", "size", F.size("h").cast("bigint").alias("n_windows"), "n_slots", F.posexplode("h").alias("at", "h"))
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame, rules: Templates, key: str, text: str) -> DataFrame | None:
+    """The pairs of ``matches`` for items without a usable window; None if there are no such items."""
+    items = stored(whole_items(benchmark, rules), "bench-wholes")
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most window numbers
+    if not sizes:
+        return None
+    hashed = lambda e: F.array(*[_exact_windows(e, F.lit(s), rules) for s in sizes])
+    opened = docs.select(row_key(key, text).alias("row"), F.col(key).alias("doc_id"), F.explode(let(_exact(F.col(text)), hashed)).alias("hs"))
+    opened = opened.select("row", "doc_id", F.posexplode("hs").alias("d", "h"))
+    hits = opened.join(_small(items), "h").groupBy("row", "doc_id", "item", "n_windows", "n_slots", (F.col("d") - F.col("at")).alias("shift"))
+    found = hits.agg(F.size(F.collect_set("at")).alias("found")).where("found = n_windows")
+    return found.select("row", "doc_id", F.col("item").alias("item_id"), "n_windows", F.col("n_windows").alias("item_windows"), "n_slots").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, item_id, n_windows, item_windows, n_slots): contaminated pairs; row is ``row_key`` of the document."""
     rules = rules or Templates()
@@ -148,9 +206,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = Non
     lines = lines.withColumn("found", F.when(fits, F.col("found")).otherwise(F.col("quoted")))
     lines = lines.withColumn("n", F.coalesce(F.when(fits, F.col("n")).otherwise(F.col("n_verbatim")), F.lit(0)))
     kept = lines.where(F.col("found") >= F.least("item_windows", F.lit(rules.least_windows)))
-    return kept.groupBy("row", "doc_id", F.col("item").alias("item_id")).agg(
+    found = kept.groupBy("row", "doc_id", F.col("item").alias("item_id")).agg(
         F.max("found").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n").alias("n_slots")
     )
+    wholes = whole_matches(docs, benchmark, rules, key, text)
+    return found if wholes is None else found.unionByName(wholes)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Templates | None = None) -> DataFrame:
