@@ -218,6 +218,17 @@ def test_blocks_of_broken_pages():
     assert texts("") == [] and texts("<style>p{}") == []
 
 
+def test_raw_elements_end_where_they_end():
+    texts = lambda page: [x.text for x in htmltext.leaves(page)]
+    assert texts("<html><head><meta charset=x><title>t</title><body><p>kept</p>") == ["kept"]
+    assert texts("<head><script>'<p>'</script><p>kept</p>") == ["kept"]
+    assert texts("<p>one</p><svg class=x /><p>two</p><svg><text>no</text></svg><p>three") == ["one", "two", "three"]
+    assert texts("<head-line>one</head-line><title-bar>two</title-bar><object-view>three</object-view>") == ["one", "two", "three"]
+    assert texts("<p>with <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> in it</p>") == ["with x=2 in it"]
+    assert texts("<p>one</p><select><p>two</p><iframe src=x><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>var x<p>no</p>") == ["one"]
+
+
 def test_extraction_of_pages_not_learned_from(spark):
     rows = {r.page_id: r.html for r in table(spark, "pages").collect()}
     got = {r.page_id: r for r in QUERIES["op2_html_blocks"](spark, SF).collect()}

@@ -10,7 +10,8 @@ from the names of tags, classes and ids around a block; every page is also seen
 adverts and reader comments put in under other names and places, and with its article under other names.
 
 A null or empty html, and one without main text, gives an empty text; a page cut off inside a tag, a reference or a
-script is read as far as it goes; repeated rows come out each; a null page_id stays null; extra columns are ignored; an
+script is read as far as it goes; only script, style, textarea and title run to the end of the page without their end
+tag, of other skipped elements the tag alone goes then; formulas are text; repeated rows come out each; a null page_id stays null; extra columns are ignored; an
 empty table gives no rows.  The whole html is read, blocks are neither dropped nor cut for length.
 """
 
@@ -37,7 +38,8 @@ BATCH_CELLS = 60_000
 #: Tags that stay inside a block, tags without content, tags whose content is no text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object textarea select title head"
+INLINE |= set("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded mphantom menclose merror mmultiscripts semantics".split())
+RAW, SKIPPED = "script style textarea title", "noscript template svg iframe object select annotation-xml annotation"
 #: Names of tags, and parts of classes and ids, that hold no main text, and those that do.
 BOILER_TAGS = set("nav header footer aside form button menu dialog".split())
 BOILER_NAMES = set(
@@ -50,7 +52,8 @@ MAIN_NAMES = set("article content post entry story main body-text article-body p
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>]|\Z)[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<skipped>{SKIPPED.replace(' ', '|')})(?=[\s/>]|\Z)[^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)"
@@ -58,6 +61,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split()}
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -81,7 +85,9 @@ def leaves(page: str) -> list[Leaf]:
             out.append(Leaf(tuple(path), text, linked))
         parts, linked = [], 0
 
-    for found in _TOKEN.finditer(page):
+    at, endless = 0, set()
+    while found := _TOKEN.match(page, at):
+        at = found.end()
         text, tag = found["text"], found["tag"]
         if text is not None:
             parts.append(text)
@@ -90,8 +96,19 @@ def leaves(page: str) -> list[Leaf]:
         if tag is None:
             if found["raw"]:
                 flush()
+            elif found["skipped"]:
+                name = found["skipped"].lower()
+                if not name.startswith("annotation"):
+                    flush()
+                if page[at - 2 : at] != "/>" and name not in endless:
+                    end = _ENDS[name].search(page, at)
+                    at = end.end() if end else at
+                    endless |= set() if end else {name}
             continue
         tag = tag.lower()
+        if tag == "head":  # its raw elements go by themselves; its end tag may be left out
+            flush()
+            continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
