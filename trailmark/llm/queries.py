@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import bpe, decontam, htmltext, jaccard, langid, licences, linededup, lmscore, quality, warc
+from trailmark.llm import bpe, convtrie, decontam, htmltext, jaccard, langid, licences, linededup, lmscore, packing, quality, resampling, warc
 from trailmark.llm.common import table
 from trailmark.llm.oracles import oracle_sql
 
@@ -75,3 +75,18 @@ def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(convtrie.rebuilt(convtrie.sequences(table(spark, sf_dir, "conversations"))))
