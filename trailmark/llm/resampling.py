@@ -32,7 +32,9 @@ BUCKETS, LONGEST_RUN, LEAST_WORDS, SEED = 10_000, 3, 20, "42"
 #: Pivots of a round of the selection.
 PIVOTS = 16
 #: Distinct words a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Words that are worked on at a time, the last text whole.
+RUN_WORDS = 300_000
 #: Bytes that part words become blanks, A-Z become a-z.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -120,7 +122,7 @@ def features(texts: list[list[bytes]], table: WordTable, buckets: int = BUCKETS)
     return np.concatenate(docs), (np.concatenate(found) % np.uint32(buckets)).astype("i8")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int = RUN_WORDS) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Batches cut into runs of bounded size, the last text whole, with the words of their texts."""
     for batch in batches:
         run, first, size = [], 0, 0
