@@ -31,7 +31,9 @@ from trailmark.llm.common import stored
 
 SEQUENCE_TOKENS, END_ID = 2048, 0
 #: Words whose ids a worker remembers, and longest word that is remembered.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+#: New words that are encoded as one text.
+TOGETHER = 500
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾"
 #: Characters whose classes are the ones below in every version of Unicode.
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\u02c1\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
@@ -41,11 +43,16 @@ _PLAIN_WORDS = re.compile(
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers; the ids of short words are remembered, up to a bound."""
+    """Ids of texts as little-endian 32-bit integers.
+
+    The ids of short words are remembered.  When there are too many, those that were not met since the last time are
+    forgotten.  Words not known yet are encoded many at a time, parted by a token of the vocabulary that no word holds.
+    """
 
     def __init__(self, path: str):
         self.path = path
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.specials = bpe.specials(path)
 
     def split(self, text: str) -> list[str]:
@@ -54,20 +61,48 @@ class Encoder:
         return bpe.split_words(text, self.path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in found for w in words if w not in known})
-        made = {}
-        for at in range(0, len(new), 20_000):
-            batch = new[at : at + 20_000]
-            encoded = bpe._tokenizer(self.path).encode_batch(batch, add_special_tokens=False)
-            made |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(batch, encoded, strict=True)}
-        long = {w: made.pop(w) for w in new if len(w) > LONGEST}
-        known |= made
-        ids = known.__getitem__ if not long else lambda w: known.get(w) or long[w]
-        return [b"".join(map(ids, words)) for words in found]
+            self.before, self.known = self.known, {}
+        known, before = self.known.get, self.before.get
+        lists, gaps, new = [], [], {}
+        for text in texts:
+            found = self.split(text)
+            ids = list(map(known, found))
+            lists.append(ids)
+            missing = ids.count(None)
+            at = -1
+            for _ in range(missing):
+                at = ids.index(None, at + 1)
+                word = found[at]
+                own = before(word)
+                if own is not None:
+                    ids[at] = self.known[word] = own
+                else:
+                    gaps.append((ids, at, word))
+                    new[word] = None
+        made = self._new(list(new))
+        for ids, at, word in gaps:
+            ids[at] = made[word]
+        self.known |= {w: x for w, x in made.items() if len(w) <= LONGEST}
+        return [b"".join(ids) for ids in lists]
+
+    def _new(self, found: list[str]) -> dict[str, bytes]:
+        """Ids of words."""
+        tokenizer, made = bpe._tokenizer(self.path), {}
+        alone = [w for w in found if not self.specials or any(s in w for s in self.specials)]
+        for word, encoded in zip(alone, tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
+            made[word] = np.array(encoded.ids, "<u4").tobytes()
+        rest = [w for w in found if w not in made]
+        runs = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        if not runs:
+            return made
+        mark, cut = self.specials[0], tokenizer.token_to_id(self.specials[0])
+        for run, encoded in zip(runs, tokenizer.encode_batch_fast([mark.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == cut)).tolist()
+            raw = ids.tobytes()
+            made.update(zip(run, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
+        return made
 
 
 _ENCODERS: dict[str, Encoder] = {}
