@@ -429,7 +429,26 @@ UNION ALL SELECT DISTINCT 'status', status FROM processed WHERE status <> ''""",
     "stream_refresh": _PROCESSED,
     "stream_comments": _COMMENTED,
 }
-QUERIES["export_written"] = QUERIES["export_diff"]
+QUERIES["export_written"] = QUERIES["export_diff"].replace("SELECT p.row_no,", "SELECT row_number() OVER (ORDER BY p.row_no) AS position, p.row_no,")
+QUERIES["refresh_by_portions"] = _PROCESSED
+QUERIES["stream_unmatched"] = QUERIES["unmatched_comments"]
+QUERIES["kept_counts"] = f"""SELECT 'stage' AS measure, stage AS a, '' AS b, n FROM ({QUERIES["funnel_counts"]}) x
+UNION ALL SELECT 'section', section, '', n FROM ({QUERIES["section_counts"]}) x
+UNION ALL SELECT 'school total', school, '', total FROM ({QUERIES["school_stats"]}) x
+UNION ALL SELECT 'school completed', school, '', completed FROM ({QUERIES["school_stats"]}) x
+UNION ALL SELECT 'cohort', CAST(bucket AS VARCHAR), '', n FROM ({QUERIES["cohort_counts"]}) x
+UNION ALL SELECT 'cohort status', CAST(bucket AS VARCHAR), status, n FROM ({QUERIES["cohort_status"]}) x
+UNION ALL SELECT 'call list', call_list, '', n FROM ({QUERIES["call_list_counts"]}) x
+UNION ALL SELECT 'filter', filter, value, 1 FROM ({QUERIES["filter_values"]}) x
+UNION ALL SELECT 'all ' || name, '', '', n FROM (UNPIVOT ({QUERIES["kpis"]}) ON * INTO NAME name VALUE n) x"""
+
+
+def _search(text: str) -> str:
+    return f"""SELECT * EXCLUDE (row_no) FROM records
+WHERE contains(id, '{text}') OR contains(lower(name), '{text}') OR contains(coalesce(phone, ''), '{text}')"""
+
+
+QUERIES |= {f"search_indexed{name}": _search(text) for name, text in {"": "a12 soto1", "_many": "ana", "_short": "77"}.items()}
 QUERIES["participant_card_of"] = QUERIES["participant_card"] + " WHERE id = (SELECT min(id) FROM records)"
 
 

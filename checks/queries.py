@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -22,8 +23,9 @@ from trailmark.functions.screens import progress_pct, section_index, section_of
 from trailmark.functions.text import normalise_id, null_if_missing, null_if_nan, phone_e164, with_phone_key
 from trailmark.functions.timestamps import floor_days, parse_ts, swap_day_month
 from trailmark.operators import comments as notes
-from trailmark.operators import dashboard, export
+from trailmark.operators import dashboard, export, searching, tallies
 from trailmark.operators.logs import drop_noise, log_summary, valid_logs
+from trailmark.operators.order import numbered
 from trailmark.operators.participants import (
     clock,
     fill_first_log,
@@ -32,16 +34,16 @@ from trailmark.operators.participants import (
 )
 from trailmark.operators.pending import pending_contacts
 from trailmark.operators.schema import ensure_schema, processed_types
+from trailmark.plans.live import fold_logs
 from trailmark.plans.refresh import refresh, refresh_participants
 from trailmark.session import tune
 from trailmark.sources import keyed, secure, sheets
 from trailmark.sources.log_scan import scan_logs
 from trailmark.sources.snapshots import SnapshotStore
-from trailmark.sources.workdir import new_folder
-from trailmark.streaming.comments import COMMENTS, stream_comments
+from trailmark.sources.workdir import new_folder, stored
+from trailmark.streaming.comments import stream_comments
 from trailmark.streaming.logs import stream_visits, streamed_summary
 from trailmark.streaming.refresh import stream_refresh
-from trailmark.streaming.store import read_batches
 
 CFG = DEFAULT_CONFIG
 AS_OF = datetime(2024, 1, 31)
@@ -169,9 +171,11 @@ def snapshot_fallback(spark, sf):
 
 @query
 def upsert_latest(spark, sf):
+    """A table with one row per key, stored, and new rows for it."""
     old, new = view(spark, sf, "fx_state_old"), view(spark, sf, "fx_state_new")
-    binary = [df.withColumn("content", F.encode("content", "utf-8")) for df in (old, new)]
-    return keyed.upsert_latest(*binary).withColumn("content", F.decode("content", "utf-8"))
+    old, new = (df.withColumn("content", F.encode("content", "utf-8")) for df in (old, new))
+    table = stored(keyed.latest(old), "keyed")
+    return keyed.upsert_latest(table, new).withColumn("content", F.decode("content", "utf-8"))
 
 
 @query
@@ -369,9 +373,11 @@ def refresh_again(spark, sf):
 
 @query
 def refresh_counts(spark, sf):
-    return dashboard.refresh_counts(
-        *refresh(view(spark, sf, "fx_participants"), view(spark, sf, "fx_contacts"), view(spark, sf, "fx_logs"), AS_OF, CFG)
-    )
+    """Counters taken while the refresh is written."""
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    roster, contacts = view(spark, sf, "fx_participants"), view(spark, sf, "fx_contacts")
+    processed, pending = refresh(roster, contacts, view(spark, sf, "fx_logs"), AS_OF, CFG)
+    return dashboard.refresh_counts(store.write("2024-01-31", {"processed": processed, "pending": pending}, AS_OF), spark)
 
 
 @query
@@ -489,7 +495,13 @@ def export_written(spark, sf):
     rows = export.export_diff(_stored(spark, sf), view(spark, sf, "fx_original"), CFG)
     folder = export.write_export(rows, new_folder(spark, "export"), AS_OF.date())
     written = spark.read.csv(f"{folder}/csv", header=True, escape='"')
+    # the place of a row in the files, in the order of their names
+    written = numbered(
+        written.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")),
+        "_file", "_block", "_at",
+    )
     return written.select(
+        "position",
         F.col("row_no").cast("bigint").alias("row_no"),
         normalise_id(F.col("id")).alias("match_id"),
         "status",
@@ -535,7 +547,6 @@ def stream_refresh_query(spark, sf):
     stream_refresh(
         logs,
         view(spark, sf, "fx_participants"),
-        new_folder(spark, "visits"),
         store,
         new_folder(spark, "state"),
         lambda: AS_OF,
@@ -549,11 +560,87 @@ QUERIES["stream_refresh"] = QUERIES.pop("stream_refresh_query")
 
 @query
 def stream_comments_query(spark, sf):
-    out = new_folder(spark, "comments")
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    store.write("1", {"processed": view(spark, sf, "fx_participants")}, AS_OF)
     written = _stream_of(spark, view(spark, sf, "fx_comments"), "comment-files")
-    stream_comments(written, out, new_folder(spark, "state")).awaitTermination()
-    people = view(spark, sf, "fx_participants")
-    return notes.apply_comments(people, read_batches(spark, out, COMMENTS)).select("row_no", "id", "comments")
+    stream_comments(written, store, new_folder(spark, "state"), CFG).awaitTermination()
+    return store.read().tables["processed"].select("row_no", "id", "comments")
 
 
 QUERIES["stream_comments"] = QUERIES.pop("stream_comments_query")
+
+
+@query
+def stream_unmatched(spark, sf):
+    """Comments of a stream whose id no participant has."""
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    store.write("1", {"processed": view(spark, sf, "fx_participants")}, AS_OF)
+    written = _stream_of(spark, view(spark, sf, "fx_comments"), "comment-files", 2)
+    stream_comments(written, store, new_folder(spark, "state"), CFG).awaitTermination()
+    return store.read().tables["unmatched"]
+
+
+def _three_portions(spark: SparkSession, sf: str) -> SnapshotStore:
+    """A store that got the logs in three portions, late ones first."""
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    logs, people = view(spark, sf, "fx_logs"), view(spark, sf, "fx_participants")
+    for i in (2, 0, 1):
+        fold_logs(store, logs.where(F.col("event_id") % 3 == i), AS_OF, f"portion {i}", CFG, people)
+    return store
+
+
+@query
+def refresh_by_portions(spark, sf):
+    """The refresh by three portions of logs, each of which rewrites only the buckets of its phones."""
+    return _three_portions(spark, sf).read().tables["processed"]
+
+
+@query
+def kept_counts(spark, sf):
+    """All counts of the dashboard from tallies that three portions changed by differences, in one long table."""
+    kept = _three_portions(spark, sf).read().tables["tallies"]
+    text = lambda c: F.col(c).cast("string")
+    parts = {
+        "stage": tallies.funnel_counts(kept, CFG).select(text("stage").alias("a"), F.lit("").alias("b"), "n"),
+        "section": tallies.section_counts(kept, CFG).select(text("section"), F.lit(""), "n"),
+        "school total": tallies.school_stats(kept).select("school", F.lit(""), "total"),
+        "school completed": tallies.school_stats(kept).select("school", F.lit(""), "completed"),
+        "cohort": tallies.cohort_counts(kept, AS_OF, CFG).select(text("bucket"), F.lit(""), "n"),
+        "cohort status": tallies.cohort_status(kept, AS_OF, CFG).select(text("bucket"), "status", "n"),
+        "call list": tallies.call_list_counts(kept, CFG).select("call_list", F.lit(""), "n"),
+        "filter": tallies.filter_values(kept).select("filter", "value", F.lit(1).cast("bigint")),
+    }
+    whole = tallies.kpis(kept, CFG)
+    for name in whole.columns:
+        parts[f"all {name}"] = whole.select(F.lit(""), F.lit(""), name)
+    rows = [df.toDF("a", "b", "n").select(F.lit(name).alias("measure"), "a", "b", "n") for name, df in parts.items()]
+    return functools.reduce(DataFrame.union, rows)
+
+
+def _indexed(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"))
+    store.write("1", {"processed": _processed(spark, sf)}, AS_OF)
+
+    def build(change):
+        searching.put_index(change, dashboard.records(change.table("processed"), AS_OF, CFG))
+
+    found = searching.candidate_rows(store, store.update("index", build, AS_OF), text)
+    return dashboard.search(found, text)
+
+
+@query
+def search_indexed(spark, sf):
+    """Search by runs of three characters; few rows are found."""
+    return _indexed(spark, sf, "A12 Soto1")
+
+
+@query
+def search_indexed_many(spark, sf):
+    """The same with a text that more rows have than are named to the scan one by one."""
+    return _indexed(spark, sf, "Ana")
+
+
+@query
+def search_indexed_short(spark, sf):
+    """The same with a text of two characters."""
+    return _indexed(spark, sf, "77")

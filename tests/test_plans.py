@@ -14,10 +14,12 @@ from checks.queries import QUERIES
 from checks.views import view
 from trailmark.config import DEFAULT_CONFIG as CFG
 from trailmark.operators import dashboard
-from trailmark.operators.logs import log_summary, screen_visits, valid_logs
+from trailmark.operators.logs import Screens, log_summary, screen_visits, summarise, valid_logs
 from trailmark.operators.schema import processed_types
 from trailmark.plans.refresh import refresh_participants
+from trailmark.sources import keyed
 from trailmark.sources.log_scan import scan_logs
+from trailmark.sources.snapshots import SnapshotStore
 
 SF = "/root/testdata/sf0.001"
 AS_OF = datetime(2024, 1, 31)
@@ -61,9 +63,31 @@ def test_visits_are_combined_in_a_hash_table_before_the_shuffle(raw_logs):
     assert operators.count("HashAggregate") == 2
 
 
-def test_summary_shuffles_logs_once(raw_logs):
+def test_summary_shuffles_logs_once_and_sorts_nothing(raw_logs):
     operators = tree(log_summary(raw_logs, CFG))
-    assert operators.count("Exchange") == 1 and operators.count("Scan parquet") == 1
+    assert operators.count(" Exchange") == 1 and operators.count("Scan parquet") == 1
+    assert operators.count("HashAggregate") == 2 and "Sort" not in operators and "Object" not in operators
+
+
+def test_a_log_of_many_screens_goes_by_its_visits(spark, raw_logs):
+    few = raw_logs.where("event_id % 2 = 0")
+    many = raw_logs.withColumn("screen", F.expr("if(event_id % 2 = 0, 'L1B1S0_' || event_id % 500, screen)"))
+    assert Screens.found_in(many, CFG) is None and Screens.found_in(few, CFG) is not None
+    assert sorted(map(str, log_summary(many, CFG).collect())) == sorted(map(str, summarise(screen_visits(many, CFG), CFG).collect()))
+
+
+def test_upsert_reduces_new_rows_only(spark, no_broadcast):
+    old, new = view(spark, SF, "fx_state_old"), view(spark, SF, "fx_state_new")
+    operators = tree(keyed.upsert_latest(old, new))
+    old_side = operators[operators.index(":- Sort") : operators.index("         +- Sort")]
+    assert "SortMergeJoin FullOuter" in operators and "Aggregate" not in old_side and "Scan parquet" in old_side
+    assert operators.count("SortAggregate") == 2  # partial and final, of the new rows
+
+
+def test_counters_cost_no_second_run(spark, tmp_path):
+    snapshot = SnapshotStore(spark, str(tmp_path)).write("1", {"processed": view(spark, SF, "fx_participants")})
+    assert "Scan parquet" not in tree(dashboard.refresh_counts(snapshot, spark))
+    assert dashboard.refresh_counts(snapshot, spark).first().asDict() == {"total_updated": 150, "pending_found": 0}
 
 
 def test_times_are_parsed_once_per_log_row(raw_logs):
@@ -98,7 +122,7 @@ def test_refresh_scans_logs_once_and_joins_by_sort_at_scale(spark, raw_logs, no_
     assert "SortMergeJoin LeftOuter" in text
     assert "SortMergeJoin" not in text.split("SortMergeJoin", 1)[1]
     # Roster and logs are read once; the summary joins as it was shuffled for its aggregate.
-    assert text.count("Scan parquet") == 2 and text.count("Exchange") == 2
+    assert text.count("Scan parquet") == 2 and text.count(" Exchange") == 2
 
 
 def test_fixed_counts_need_one_row_per_task(spark, tmp_path):

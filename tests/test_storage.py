@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from trailmark.config import DEFAULT_CONFIG as CFG
+from trailmark.functions import cells
+from trailmark.operators import searching
 from trailmark.operators.comments import apply_comments, unmatched_comments
-from trailmark.operators.export import export_diff, export_rows
+from trailmark.operators.export import export_diff, export_rows, write_export
+from trailmark.operators.order import numbered
 from trailmark.operators.schema import processed_types
 from trailmark.plans.tracker import Tracker
 from trailmark.sources import keyed, secure, sheets
+from trailmark.sources.folders import names, publish, read_text
 from trailmark.sources.log_scan import scan_logs
 from trailmark.sources.snapshots import SnapshotStore
 from trailmark.sources.workdir import new_folder, shared_folder
@@ -92,7 +99,7 @@ def test_a_version_name_that_comes_twice_loses_nothing(spark, tmp_path):
     store.write("now", {"processed": people, "contacts": people})
     old = store.read()
     # what is written reads from the version of the same name
-    store.write("now", {"processed": old.tables["processed"].unionByName(people)}, unchanged={"contacts": old.folders["contacts"]})
+    store.write("now", {"processed": old.tables["processed"].unionByName(people)}, unchanged=["contacts"])
     new = store.read("now")
     assert (new.tables["processed"].count(), new.tables["contacts"].count(), old.tables["processed"].count()) == (2, 1, 1)
     assert store.versions().count() == 2
@@ -110,7 +117,7 @@ def test_expiry_keeps_what_is_still_named(spark, tmp_path):
     people = spark.createDataFrame([("1",)], "id string")
     store.write("1", {"processed": people, "original": people})
     for i in "2345":
-        store.write(i, {"processed": people}, unchanged={"original": store.read().folders["original"]})
+        store.write(i, {"processed": people}, unchanged=["original"])
     store.expire(3)
     assert sorted(r.version for r in store.versions().collect()) == ["3", "4", "5"]
     assert store.read("1") is None and store.read().tables["original"].count() == 1
@@ -132,6 +139,13 @@ def test_upsert_and_retention(spark):
     new = spark.createDataFrame([("a", "new", t[1]), ("b", "new", t[0]), ("d", "new", t[0])], schema)
     got = {r.key: r.content for r in keyed.upsert_latest(old, new).collect()}
     assert got == {"a": "new", "b": "old", "c": "old", "d": "new"}
+    many = new.unionByName(old).unionByName(spark.createDataFrame([(None, "x", t[0]), (None, "y", t[0]), ("e", "z", None)], schema))
+    kept = keyed.latest(many)
+    assert {(r.key, r.content) for r in kept.collect()} == {("a", "old"), ("b", "old"), ("c", "old"), ("d", "new"), (None, "y"), ("e", "z")}
+    again = spark.createDataFrame([(None, "w", t[0]), ("e", "older", t[0]), ("a", "gone", t[0])], schema)
+    got = {(r.key, r.content) for r in keyed.upsert_latest(kept, again).collect()}
+    assert got == {("a", "old"), ("b", "old"), ("c", "old"), ("d", "new"), (None, "w"), ("e", "older")}
+    assert keyed.upsert_latest(kept.where("false"), new).count() == 3 and keyed.upsert_latest(kept, new.where("false")).count() == 6
     versions = spark.createDataFrame([(v, i) for i, v in enumerate("abcddb")], "version string, i int")
     assert sorted(r.i for r in keyed.retain_versions(versions, "version", 2).collect()) == [2, 3, 4]
 
@@ -226,7 +240,7 @@ def test_tracker(spark, tmp_path):
     assert tracker.cohort_members(now, 0).count() == 0
     before = len(list(tmp_path.glob("*/*")))
     assert [r.match_id for r in tracker.comment(notes, now).collect()] == ["77"]
-    assert len(list(tmp_path.glob("*/*"))) == before + 2  # one table and its metadata
+    assert len(list(tmp_path.glob("*/*"))) == before + 3  # the participants, the unmatched ids and the metadata
     rows = {r.id: r for r in tracker.export().collect()}
     assert (rows["2.0"].comments, rows["1"].change_kind) == ("llamar", "same")
     assert rows["2.0"].change_kind == "same"
@@ -250,6 +264,130 @@ def test_recovery_is_stored(spark, tmp_path):
     people = spark.createDataFrame([("1", "9")], "id string, phone string")
     assert tracker.current(people).tables["processed"].first().status == "Desconocido"
     assert tracker.store.versions().count() == 1
-    tracker.store.write("x", {"processed": people.where("false")}, datetime(2024, 1, 2), unchanged={"original": tracker.current().folders["original"]})
+    tracker.store.write("x", {"processed": people.where("false")}, datetime(2024, 1, 2), unchanged=["original"])
     assert tracker.current().last_sync_at is None and tracker.store.read().tables["processed"].count() == 1
-    assert tracker.store.versions().count() == tracker.store.versions().count()
+    assert tracker.store.versions().count() == 3
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    file = f"{tmp_path}/m/1.json"
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: publish(spark, file, f"writer {i}"), range(8)))
+    assert made.count(True) == 1 and read_text(spark, file) == f"writer {made.index(True)}"
+    assert names(spark, f"{tmp_path}/m") == ["1.json"] and read_text(spark, f"{tmp_path}/m/2.json") is None
+
+
+def test_a_change_that_was_overtaken_is_built_again(spark, tmp_path):
+    store, seen = SnapshotStore(spark, str(tmp_path)), []
+    store.write("0", {"t": spark.createDataFrame([(0,)], "i int")})
+
+    def slow(change):
+        seen.append(change.base.number)
+        if len(seen) < 3:
+            for name in "ab" * len(seen):  # others commit and remove what this change was built upon
+                store.update(name, lambda c: c.put("t", c.table("t").unionByName(spark.createDataFrame([(9,)], "i int"))) and None)
+            store.expire(1)
+        change.put("t", change.table("t").unionByName(spark.createDataFrame([(1,)], "i int")))
+
+    made = store.update("slow", slow)
+    assert seen == [1, 3, 7] and made.number == 8
+    assert sorted(r.i for r in store.read().tables["t"].collect()) == [0, 1, 9, 9, 9, 9, 9, 9]
+    store.expire(1)
+    assert len(list((tmp_path / "t").iterdir())) == 1  # nothing is left of the attempts
+
+
+def test_simultaneous_writers_lose_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    store.write("0", {"t": spark.createDataFrame([], "i int")})
+
+    def add(i):
+        return store.update(str(i), lambda c: c.put("t", c.table("t").unionByName(spark.createDataFrame([(i,)], "i int"))) and None).number
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(add, range(6))) == [2, 3, 4, 5, 6, 7]
+    assert sorted(r.i for r in store.read().tables["t"].collect()) == list(range(6))
+
+
+def test_a_change_may_come_to_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    people = spark.createDataFrame([("1",)], "id string")
+    made = store.write("1", {"processed": people, "none": people.where("false")})
+    assert made.rows == {"processed": 1, "none": 0} and made.tables["none"].count() == 0
+    assert store.update("2", lambda change: change.put("processed", people) is None).number == 1
+    assert store.versions().count() == 1 and len(list((tmp_path / "processed").iterdir())) == 1
+
+
+def test_a_comment_and_a_refresh_at_once_both_survive(spark, tmp_path):
+    tracker = Tracker(SnapshotStore(spark, str(tmp_path)))
+    now = datetime(2024, 1, 31)
+    tracker.upload(roster_sheet(spark), contact_sheet(spark), datetime(2024, 1, 1))
+    report = spark.createDataFrame(
+        [("911111111", "2024-01-20 10:00:00", "L2B3S4_15", "Uso")],
+        "`Numero Telefono` string, HoradeEntradaPantalla string, IDPantalla string, Registro string",
+    )
+    notes = spark.createDataFrame([("2", "llamar", now)], "id string, comment string, updated_at timestamp_ntz")
+    update, first = tracker.store.update, []
+
+    def delayed(version, build, *args, **kwargs):
+        def after_a_comment(change):
+            if not first:
+                first.append(True)
+                Tracker(SnapshotStore(spark, str(tmp_path))).comment(notes, now)
+            return build(change)
+
+        return update(version, after_a_comment, *args, **kwargs)
+
+    tracker.store.update = delayed
+    synced = tracker.sync(report, now)
+    assert synced.rows["processed"] == 2 and synced.last_sync_at == now
+    rows = {r.id: r for r in synced.tables["processed"].collect()}
+    assert rows["2.0"].comments == "llamar" and rows["1"].completed
+
+
+def test_search_by_index_finds_what_a_scan_finds(spark, tmp_path):
+    draw = random.Random(4)
+    people = [
+        (i, str(i), f"Ana{i % 7}", None if i % 5 == 0 else f"SOTO{i % 11}ñÑ", None if i % 9 == 0 else f"9{draw.randrange(10**8):08d}")
+        for i in range(400)
+    ]
+    rows = spark.createDataFrame(people, "row_no bigint, id string, adult_name string, adult_surname string, phone string")
+    store = SnapshotStore(spark, str(tmp_path))
+    tracker = Tracker(store)
+    store.write("1", {"processed": rows, "original": rows})
+    now, texts = datetime(2024, 1, 31), ["ana3 soto1", "ANA", "12", "1", "ñ", "oto4ñ", "zzz", "9", "399", "a1 s", "\\", "%"]
+    plain = {t: text(tracker.search(now, t)) for t in texts}
+    index = tracker.index(now)
+    assert {t: text(tracker.search(now, t)) for t in texts} == plain
+    assert text(tracker.search(now, "")) == text(tracker.search(now, "", "", "")) and tracker.search(now, "").count() == 400
+    opened = searching.candidate_rows(store, index, "399").inputFiles()
+    assert 0 < len(opened) < len(index.tables["search_rows"].inputFiles()) / 8
+    notes = spark.createDataFrame([("399", "nota", now)], "id string, comment string, updated_at timestamp_ntz")
+    tracker.comment(notes, now)
+    assert "postings" not in tracker.current().tables and "nota" in {r.comments for r in tracker.search(now, "399").collect()}
+
+
+def test_export_files_have_the_order_of_the_roster(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 8).select(((F.col("id") * 7919) % 5000).alias("row_no"), F.array(F.lit("a")).alias("changed_columns"))
+    folder = write_export(rows.repartition(8), str(tmp_path), date(2024, 1, 1))
+    files = sorted((tmp_path / "2024-01-01" / "csv").glob("part-*"))
+    found = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+    assert found == list(range(5000))
+    kept = [r.row_no for f in sorted((tmp_path / "2024-01-01" / "parquet").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert kept == list(range(5000)) and folder.endswith("2024-01-01")
+    assert [r.position - r.row_no for r in numbered(rows, "row_no").collect()] == [1] * 5000
+    assert numbered(rows.where("false"), "row_no").count() == 0
+
+
+def test_an_unchanged_roster_reads_no_time(spark, monkeypatch):
+    people = spark.createDataFrame(
+        [(1, "1", " Ana", "2024-01-20 09:00:00", "True", "12"), (2, "2", None, "nan", None, "x")],
+        "row_no bigint, id string, school string, enrolled_at string, completed string, days string",
+    )
+    monkeypatch.setattr(cells, "parse_ts", lambda *_: F.raise_error(F.lit("a time was read")).cast("timestamp_ntz"))
+    same = people.withColumn("school", F.upper("school"))  # of the same canonical form
+    assert [r.change_kind for r in export_diff(same, people, CFG).collect()] == ["same", "same"]
+    other = people.withColumn("school", F.lit("B")).withColumn("days", F.lit("12.0"))
+    assert {r.row_no: r.changed_columns for r in export_diff(other, people, CFG).collect()} == {1: ["school"], 2: ["school", "days"]}
+    late = people.withColumn("enrolled_at", F.lit("20-01-2024 09:00:00"))
+    with pytest.raises(SparkRuntimeException, match="a time was read"):
+        export_diff(late, people, CFG).collect()

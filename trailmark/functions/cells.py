@@ -24,6 +24,20 @@ def _plain(c: Column) -> Column:
     return F.replace(F.lower(strip(c)), F.lit(".0"), F.lit(""))
 
 
+def canonical(c: Column) -> Column:
+    """A form of a cell text, NULL for no value, such that cells of one form never differ.
+
+    Case and blanks around a text change neither numbers and truth values nor the time a text is read as, as long as it
+    is read at all.
+    """
+    return F.when(~is_missing(c), F.lower(strip(c)))
+
+
+def may_be_time(c: Column) -> Column:
+    """Whether a text can be a time: all spellings begin with a digit and have at least four characters."""
+    return c.rlike(r"^\s*[0-9].{3}")
+
+
 def differs(a: Column, b: Column, dayfirst_fallback: bool = True) -> Column:
     """Whether two cell texts really differ.
 
@@ -32,7 +46,9 @@ def differs(a: Column, b: Column, dayfirst_fallback: bool = True) -> Column:
     """
     same_number = F.coalesce(number_or_null(a) == number_or_null(b), F.lit(False))
     same_truth = F.coalesce(_truth(a) == _truth(b), F.lit(False))
-    other_instant = to_second(parse_ts(a, dayfirst_fallback)) != to_second(parse_ts(b, dayfirst_fallback))
+    other_instant = F.when(
+        may_be_time(a) & may_be_time(b), to_second(parse_ts(a, dayfirst_fallback)) != to_second(parse_ts(b, dayfirst_fallback))
+    )
     no_a, no_b = is_missing(a), is_missing(b)
     return (
         F.when(a.eqNullSafe(b), F.lit(False))

@@ -18,18 +18,24 @@ def latest_comments(comments: DataFrame) -> DataFrame:
     )
 
 
-def apply_comments(participants: DataFrame, comments: DataFrame, order_by: str = "row_no") -> DataFrame:
-    """Participants with the newest comment on the first row of each id.
+def comment_targets(participants: DataFrame, comments: DataFrame, order_by: str = "row_no") -> DataFrame:
+    """(match_id, ``order_by``, comment): the newest comment of an id and the first row that has the id.
 
-    Only rows of commented ids are grouped to find the first of each; those meet
-    the comments before they meet the participants, so the wide join is on a
-    unique pair and a frequent id does no harm.
+    Only rows of commented ids are grouped to find the first of each.
     """
-    match = normalise_id(text_of(participants, "id"))
     newest = latest_comments(comments)
-    rows = participants.select(match.alias("match_id"), order_by).join(newest.select("match_id"), "match_id", "left_semi")
+    rows = participants.select(normalise_id(text_of(participants, "id")).alias("match_id"), order_by)
+    rows = rows.join(newest.select("match_id"), "match_id", "left_semi")
     first = rows.groupBy("match_id").agg(F.min(order_by).alias(order_by))
-    targets = newest.join(first, "match_id").select("match_id", order_by, "comment")
+    return newest.join(first, "match_id").select("match_id", order_by, "comment")
+
+
+def with_targets(participants: DataFrame, targets: DataFrame, order_by: str = "row_no") -> DataFrame:
+    """Participants with the comments of ``comment_targets``.
+
+    The wide join is on a unique pair, so a frequent id does no harm.
+    """
+    match = normalise_id(text_of(participants, "id"))
     return (
         participants.withColumn("match_id", match)
         .join(targets, ["match_id", order_by], "left")
@@ -38,6 +44,11 @@ def apply_comments(participants: DataFrame, comments: DataFrame, order_by: str =
     )
 
 
+def apply_comments(participants: DataFrame, comments: DataFrame, order_by: str = "row_no") -> DataFrame:
+    """Participants with the newest comment on the first row of each id."""
+    return with_targets(participants, comment_targets(participants, comments, order_by), order_by)
+
+
 def unmatched_comments(participants: DataFrame, comments: DataFrame) -> DataFrame:
     """Newest comments whose id is on no participant."""
     known = participants.select(normalise_id(text_of(participants, "id")).alias("match_id")).distinct()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.config import DEFAULT_CONFIG, ProgressConfig
@@ -19,6 +19,8 @@ from trailmark.functions.timestamps import weeks_since
 from trailmark.operators.funnel import ENROLLED, with_enrolment
 from trailmark.operators.participants import clock
 from trailmark.operators.schema import ensure_schema, processed_types
+from trailmark.sources.snapshots import Snapshot
+
 
 def dashboard_input(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     """Any roster, processed or not, with all columns the dashboard reads."""
@@ -206,12 +208,7 @@ def screen_labels(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     return df.withColumn("screen_label", lookup(cfg.screen_labels, F.col("current_screen")))
 
 
-def refresh_counts(processed: DataFrame, pending: DataFrame) -> DataFrame:
-    """Rows updated and pending contacts found by a refresh, in one row."""
-    marks = processed.select(F.lit("updated").alias("kind")).unionAll(
-        pending.select(F.lit("pending").alias("kind"))
-    )
-    return marks.agg(
-        F.count_if(F.col("kind") == "updated").alias("total_updated"),
-        F.count_if(F.col("kind") == "pending").alias("pending_found"),
-    )
+def refresh_counts(snapshot: Snapshot, spark: SparkSession) -> DataFrame:
+    """Rows updated and pending contacts found by the refresh that made a version, as counted while they were written."""
+    counts = [(snapshot.rows.get("processed", 0), snapshot.rows.get("pending", 0))]
+    return spark.createDataFrame(counts, "total_updated bigint, pending_found bigint")

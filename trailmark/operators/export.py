@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.config import ProgressConfig
-from trailmark.functions.cells import differs, format_cell
+from trailmark.functions.cells import canonical, differs, format_cell
 from trailmark.functions.numbers import to_completed
 from trailmark.functions.text import normalise_id, text_of
 from trailmark.operators.joins import join_by_key
@@ -48,6 +48,12 @@ def latest_rows(original: DataFrame, order_by: str) -> DataFrame:
     )
 
 
+def fingerprint(cells: str) -> Column:
+    """128 bits of the canonical forms of an array of cells."""
+    forms = F.transform(cells, lambda x: F.coalesce(canonical(x), F.lit("")))  # no form is the empty text
+    return F.struct(F.xxhash64(forms).alias("a"), F.xxhash64(F.lit(1), forms).alias("b"))
+
+
 def export_diff(
     processed: DataFrame, original: DataFrame | None, cfg: ProgressConfig, order_by: str = "row_no"
 ) -> DataFrame:
@@ -63,34 +69,40 @@ def export_diff(
     keyed = df.withColumn("match_id", normalise_id(text_of(df, "id")))
     joined = join_by_key(keyed, latest_rows(original, order_by), "match_id", "left")
     shared = [c for c in df.columns if c in original.columns and c != order_by]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("name"),
-                (F.col(c) if c == "completed" else format_cell(df, c)).cast("string").alias("new"),
-                F.col(f"old.{c}").alias("old"),
-            )
-            for c in shared
-        ]
-    )
-    different = F.filter(cells, lambda x: differs(x["new"], x["old"], cfg.dayfirst_fallback))
+    names = F.array(*map(F.lit, shared))
+    new = F.array(*[(F.col(c) if c == "completed" else format_cell(df, c)).cast("string") for c in shared])
+    joined = joined.withColumns({"_new": new, "_old": F.array(*[F.col(f"old.{c}") for c in shared])})
+    joined = joined.withColumns({"_new_form": fingerprint("_new"), "_old_form": fingerprint("_old")})
+    # Rows of one fingerprint are the same; of the others only cells whose canonical forms differ are compared by kinds.
+    cells = F.arrays_zip(names.alias("name"), F.col("_new").alias("new"), F.col("_old").alias("old"))
+    unlike = F.filter(cells, lambda x: ~canonical(x["new"]).eqNullSafe(canonical(x["old"])))
+    different = F.filter(unlike, lambda x: differs(x["new"], x["old"], cfg.dayfirst_fallback))
     found = F.col("old").isNotNull()
-    changed = F.when(found, F.transform(different, lambda x: x["name"])).otherwise(none)
+    same = F.col("_new_form") == F.col("_old_form")
+    changed = F.when(found & ~same, F.transform(different, lambda x: x["name"])).otherwise(none)
     kind = F.when(~found, "new").when(F.size("changed_columns") > 0, "changed").otherwise("same")
     return joined.withColumn("changed_columns", changed).select(
         *[export_cell(df, c).alias(c) for c in df.columns], kind.alias("change_kind"), "changed_columns"
     )
 
 
+def in_roster_order(rows: DataFrame, order_by: str = "row_no") -> DataFrame:
+    """Rows dealt and sorted so that the files they are written to, in the order of their names, have the roster's order."""
+    if order_by not in rows.columns:
+        return rows
+    return rows.repartitionByRange(order_by).sortWithinPartitions(order_by)
+
+
 def write_export(rows: DataFrame, folder: str, day: date) -> str:
     """Rows of :func:`export_diff` written as Parquet and as CSV below a folder of the day, which is returned.
 
-    CSV has the names of changed columns joined by commas.  An export of the same day replaces the one before.
+    The files of both, in the order of their names, hold the rows in the order of the uploaded roster.  CSV has the
+    names of changed columns joined by commas.  An export of the same day replaces the one before.
     """
     target = f"{folder.rstrip('/')}/{day.isoformat()}"
-    rows.write.mode("overwrite").parquet(f"{target}/parquet")
+    in_roster_order(rows).write.mode("overwrite").parquet(f"{target}/parquet")
     written = rows.sparkSession.read.parquet(f"{target}/parquet")
-    flat = written.withColumn("changed_columns", F.array_join("changed_columns", ","))
+    flat = in_roster_order(written.withColumn("changed_columns", F.array_join("changed_columns", ",")))
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
     flat.write.mode("overwrite").csv(f"{target}/csv", header=True, **kept)
     return target

@@ -6,47 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import ProgressConfig
-from trailmark.operators.logs import merge_visits, screen_visits, summarise
-from trailmark.sources.folders import remove
-from trailmark.streaming.store import batches, read_batches, start, write_batch
+from trailmark.operators.logs import VISITS, merge_visits, screen_visits, summarise
+from trailmark.streaming.store import LevelledTable, start
 
-VISITS = "phone_key string, screen string, first_at timestamp_ntz, last_at timestamp_ntz"
 
+def visits_table(spark: SparkSession, folder: str) -> LevelledTable:
+    """First and last visits per phone and screen, as a stream leaves them."""
+    return LevelledTable(spark, folder, VISITS, merge_visits)
 
-def stream_visits(
-    logs: DataFrame, folder: str, checkpoint: str, cfg: ProgressConfig, **trigger
-) -> StreamingQuery:
-    """Keep first and last visit per phone and screen as state; write the groups that changed."""
-    return start(
-        screen_visits(logs, cfg),
-        lambda rows, batch_id: write_batch(rows, folder, batch_id),
-        checkpoint,
-        "update",
-        **trigger,
-    )
 
+def stream_visits(logs: DataFrame, folder: str, checkpoint: str, cfg: ProgressConfig, **trigger) -> StreamingQuery:
+    """Reduce every batch to first and last visits per phone and screen and add them to a levelled table.
 
-def streamed_summary(spark: SparkSession, folder: str, cfg: ProgressConfig) -> DataFrame:
-    """Log summary of everything the stream has written; empty before the first batch."""
-    return summarise(merge_visits(read_batches(spark, folder, VISITS)), cfg)
-
-
-def compact_visits(spark: SparkSession, folder: str, target: str) -> None:
-    """All batches merged into a single one in a new folder, to go on from there."""
-    write_batch(merge_visits(read_batches(spark, folder, VISITS)), target, -1)
-
+    The stream itself has no state: visits merge, in the table and when it is read.
+    """
+    table = visits_table(logs.sparkSession, folder)
+    return start(logs, lambda rows, batch_id: table.add(screen_visits(rows, cfg), batch_id), checkpoint, "append", **trigger)
 
-def fold_visits(visits: DataFrame, folder: str, batch_id: int) -> DataFrame:
-    """Visits of a batch merged with those of all batches before it, stored and read back.
 
-    Every batch leaves one table and reads only the one before it; of older ones the last two stay, so that a batch
-    can run again.
-    """
-    spark = visits.sparkSession
-    before = [i for i in batches(spark, folder) if i < batch_id]
-    if before:
-        visits = visits.unionByName(spark.read.schema(VISITS).parquet(f"{folder}/batch_id={before[-1]}"))
-    write_batch(merge_visits(visits), folder, batch_id)
-    for i in before[:-1]:
-        remove(spark, f"{folder}/batch_id={i}")
-    return spark.read.schema(VISITS).parquet(f"{folder}/batch_id={batch_id}")
+def streamed_summary(spark: SparkSession, folder: str, cfg: ProgressConfig) -> DataFrame:
+    """Log summary of everything the stream has written; empty before the first batch."""
+    return summarise(merge_visits(visits_table(spark, folder).read()), cfg)

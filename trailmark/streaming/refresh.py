@@ -5,50 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import ProgressConfig
-from trailmark.operators.logs import screen_visits, summarise
-from trailmark.plans.refresh import refresh_participants
+from trailmark.plans.live import BUCKETS, fold_logs
 from trailmark.sources.snapshots import SnapshotStore
-from trailmark.streaming.logs import fold_visits
-from trailmark.streaming.store import batches, start, write_batch
-
-
-def _clock_of(spark: SparkSession, folder: str, batch_id: int, clock: Callable[[], datetime]) -> datetime:
-    """The clock of a batch: read when the batch runs first, kept for when it runs again."""
-    if batch_id not in batches(spark, folder):
-        write_batch(spark.createDataFrame([(clock(),)], "at timestamp_ntz").coalesce(1), folder, batch_id)
-    return spark.read.parquet(f"{folder}/batch_id={batch_id}").first().at
+from trailmark.streaming.store import start, stream_id
 
 
 def stream_refresh(
     logs: DataFrame,
     participants: DataFrame,
-    visits_folder: str,
     snapshots: SnapshotStore,
     checkpoint: str,
     clock: Callable[[], datetime],
     cfg: ProgressConfig,
+    buckets: int = BUCKETS,
     **trigger,
 ) -> StreamingQuery:
-    """Every batch adds its visits and writes a snapshot of the participants.
+    """Every batch becomes a portion of logs in the newest version of a store, see :func:`fold_logs`.
 
-    Each snapshot starts from the given participants and all visits so far, never
-    from an earlier snapshot, so late rows count and a repeated batch changes
-    nothing: visits merge, and the clock is kept with the batch.  The original
-    is written with the first snapshot and named by the others.
+    An empty store starts from the given participants, any other from what it has, so an upload, a refresh or comments
+    in between are kept.  A batch and the tables it changed are one version that names the batch: a batch that runs
+    again after its version was made changes nothing.  Old versions expire.
     """
-    original: dict[str, str] = {}
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        visits = fold_visits(screen_visits(rows, cfg), f"{visits_folder}/visits", batch_id)
-        now = _clock_of(rows.sparkSession, f"{visits_folder}/clock", batch_id, clock)
-        tables = {"processed": refresh_participants(participants, summarise(visits, cfg), now, cfg)}
-        if not original:
-            tables["original"] = participants
-        snapshots.write(f"batch {batch_id}", tables, now, unchanged=original)
-        original["original"] = snapshots.read().folders["original"]
+        mark = (f"refresh {stream_id(snapshots.spark, checkpoint)}", batch_id)
+        fold_logs(snapshots, rows, clock(), f"batch {batch_id}", cfg, participants, buckets, mark)
 
     return start(logs, on_batch, checkpoint, "append", **trigger)
