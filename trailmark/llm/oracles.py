@@ -165,10 +165,112 @@ from d left join gone using (rid)
 """
 
 
+#: CRC-32 of a text in ASCII: the bits of each character go through the register one by one.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(role) || ':' || role || text) AS id,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) t
+), convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format(text="CAST(conv_id AS VARCHAR)")} % 9 AS h FROM turns
+), built AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.id, t.text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.place, t.id, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE t.place > c.h
+), keys AS (
+  SELECT c.conv_id, coalesce(list(b.id ORDER BY b.part, b.place) FILTER (b.id IS NOT NULL), []) AS ids,
+         coalesce(list(strlen(b.text) ORDER BY b.part, b.place) FILTER (b.id IS NOT NULL), []) AS sizes
+  FROM convs c LEFT JOIN built b ON b.conv_id = c.conv_id GROUP BY c.conv_id
+), members AS (
+  SELECT conv_id, depth, array_to_string(ids[:depth], '') AS node, sizes[depth] AS size, len(ids) = depth AS ends, ids
+  FROM (SELECT *, unnest(range(len(ids) + 1)) AS depth FROM keys) k
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(size), 0) AS own,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256, any_value(ids) AS ids
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT array_to_string(ids[:depth - 1], '') AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), above AS (
+  SELECT array_to_string(n.ids[:up], '') AS node, sum(own) AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM nodes) n LEFT JOIN children c ON c.node = n.node GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, a.n_leaves,
+       CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN children c ON c.node = n.node JOIN above a ON a.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = array_to_string(n.ids[:n.depth - 1], '')"""
+
+
+def resampling_sql() -> str:
+    """CRC-32 of every distinct run of words by a table of its 256 steps, which a rule makes."""
+    step = "list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = " UNION ALL ".join(
+        f"SELECT rid, side, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS run FROM texts"
+        for n in (1, 2, 3)
+    )
+    digit = "(strpos('123456789ABCDEF', {}))"
+    byte = f"{digit.format('x[1]')} * 16 + {digit.format('x[2]')}"
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, 's' AS side, doc_id, {split} AS ws FROM documents
+  UNION ALL SELECT -row_number() OVER (), 't', NULL, {split} FROM benchmark
+), runs AS (
+  SELECT rid, side, run, count(*) AS n FROM ({runs}) r GROUP BY ALL
+), bytes AS (
+  SELECT run, unnest(range(1, strlen(run) + 1)) AS place, unnest(list_transform(regexp_extract_all(hex(encode(run)), '..'), lambda x: {byte})) AS byte
+  FROM (SELECT DISTINCT run FROM runs) d
+), steps AS (
+  SELECT i::UBIGINT AS i, {step}::UBIGINT AS v FROM range(256) t(i)
+), shifted AS (
+  -- a byte counts alone, after as many zero bytes as follow it: CRCs of texts of one length add up by exclusive or
+  SELECT n, i, v FROM (
+    WITH RECURSIVE z(n, i, v) AS (
+      SELECT 0, i, v FROM steps
+      UNION ALL SELECT z.n + 1, z.i, xor(z.v >> 8, s.v) FROM z JOIN steps s ON s.i = (z.v & 255)
+      WHERE z.n < (SELECT max(place) FROM bytes)
+    ) SELECT * FROM z) q
+), start AS (
+  SELECT n, v FROM (
+    WITH RECURSIVE z(n, v) AS (
+      SELECT 0, 4294967295::UBIGINT UNION ALL SELECT z.n + 1, xor(z.v >> 8, s.v) FROM z JOIN steps s ON s.i = (z.v & 255)
+      WHERE z.n < (SELECT max(place) FROM bytes)
+    ) SELECT * FROM z) q
+), crcs AS (
+  SELECT run, xor(xor(x, a.v), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT b.run, bit_xor(s.v) AS x, max(b.place) AS size
+        FROM bytes b JOIN shifted s ON s.n = strlen(b.run) - b.place AND s.i = b.byte GROUP BY b.run) c
+  JOIN start a ON a.n = c.size
+), buckets AS (
+  SELECT rid, side, bucket, sum(n) AS n FROM runs JOIN crcs USING (run) GROUP BY ALL
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM buckets GROUP BY bucket
+), alls AS (
+  SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM counts, alls
+), weights AS (
+  SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM buckets JOIN gains USING (bucket) WHERE side = 's' GROUP BY rid
+), scores AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (rid) WHERE side = 's'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_sql(),
         "op5_template_decontamination": decontamination_sql(),
         "op7_licence_digests": licence_sql(),
         "op10_line_templates": line_sql(),
+        "op11_importance_resampling": resampling_sql(),
+        "op13_conversation_trie": CONVERSATION_TRIE,
     }
