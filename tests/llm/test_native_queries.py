@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +66,7 @@ def test_quality_cutoff_is_safe_and_useful(spark):
     good = [(i, " ".join(f"w{i}x{k}" for k in range(20)), "en") for i in range(1200)]
     bad = [(5000 + i, " ".join(f"b{i}x{k}###" for k in range(20)), "en") for i in range(50)]
     other = [(9000 + i, " ".join(f"c{i}x{k}###" for k in range(20)), "de") for i in range(50)]
-    truth = [(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad + other]
+    truth = [(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad + other] + [(1, None, 0), (None, 1, 0), (77_777, 1, 0)]
     got = quality.verdicts(docs(spark, good + bad + other), labels(spark, truth)).collect()
     kept = {r.doc_id for r in got if r.kept}
     assert kept >= {i for i, _, _ in good}
@@ -73,6 +76,42 @@ def test_quality_cutoff_is_safe_and_useful(spark):
     assert {r.doc_id for r in stay.collect()} == kept and stay.columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ")
 
 
+def test_rules_hold_jointly_and_equal_sql(spark, tmp_path):
+    draw = random.Random(8)
+
+    def text(i, marks, symbols):
+        return " ".join(f"w{i}x{k}" + "!" * (draw.random() < marks) + "#" * (draw.random() < symbols) for k in range(25))
+
+    rows, truth = [], []
+    for lang, n in (("en", 900), ("fr", 300), ("xx", 60), (None, 0)):
+        for _ in range(n):
+            i = len(rows)
+            bad = draw.random() < 0.3
+            # many exclamation marks are bad, but in French good texts have them too
+            marks = draw.choice([0, 0.6]) if bad or (lang == "fr" and draw.random() < 0.2) else 0
+            rows.append((i, text(i, marks, draw.choice([0, 0.9]) if bad else draw.random() < 0.004), lang))
+            truth += [(i, int(not bad), 0)] * draw.choice([0, 1, 1, 1, 2])
+    df, marked = docs(spark, rows + ODD), labels(spark, truth)
+    measured = quality._measured(df, quality.Rules())
+    found = {(r.stratum, r.rule): r for r in quality.tested(measured, marked, quality.Rules()).where("safe").collect()}
+    assert ("en", "marks") in found and ("en", "symbols") in found and ("fr", "symbols") in found
+    assert ("fr", "marks") not in found and not any(s == "xx" for s, _ in found)  # too many good ones, too few labels
+    assert all(r.k_good <= 0.05 * r.n_good for r in found.values())
+    got = quality.verdicts(df, marked)
+    con = duckdb.connect()
+    for name, table in (("documents", df), ("labels", marked)):
+        table.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    result = con.execute(ORACLE_SQL["op3_quality_rules"])
+    columns = [d[0] for d in result.description]
+    assert _counted(got.columns, got.collect()) == _counted(columns, result.fetchall())
+    kept = {r.doc_id for r in got.where("kept").collect()}
+    good = {i for i, q, _ in truth if q == 1}
+    assert len(good - kept) <= 0.05 * len(good) and 0 < len(kept - good) < len(rows) - len(good)
+    many = quality.filtered(df, marked, quality.Rules(sent_ids=10))
+    assert sorted(r.doc_id for r in many.collect()) == sorted(r.doc_id for r in quality.filtered(df, marked).collect()) == sorted(kept)
+
+
 def test_binomial_tail(spark):
     from math import comb
 

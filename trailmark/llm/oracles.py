@@ -17,7 +17,6 @@ def _text(value: str) -> str:
 def quality_sql(rules: Rules | None = None) -> str:
     rules = rules or Rules()
     grid = ", ".join(f"('{r}', {c}::double)" for r, cuts in rules.cutoffs.items() for c in cuts)
-    n_tests = sum(map(len, rules.cutoffs.values()))
     drop = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
     share = lambda a, b: f"case when {b} > 0 then {a} / {b} else 0.0 end"
     return rf"""
@@ -44,22 +43,40 @@ v as (
   from b
 ),
 grid(rule, cutoff) as (values {grid}),
-held as (select v.*, l.quality from v join labels l on v.doc_id = l.doc_id where not base_failed and l.quality in (0, 1)),
-tested as (
-  select stratum, rule, cutoff, sum(quality) n_good, sum(case when value > cutoff then quality else 0 end) k_good,
+held as (
+  select v.*, l.quality, substr(md5(cast(v.doc_id as varchar)), 1, 1) <= '4' proposes
+  from v join (select row_number() over () lid, * from labels) l on v.doc_id = l.doc_id where not base_failed and l.quality in (0, 1)
+),
+proposals as (
+  select stratum, rule, cutoff, sum(case when value > cutoff then quality else 0 end) k_good,
          sum(case when value > cutoff then 1 - quality else 0 end) k_bad
-  from held join grid using (rule) group by stratum, rule, cutoff
+  from held join grid using (rule) where proposes group by stratum, rule, cutoff
+),
+positions as (
+  select *, row_number() over (partition by stratum order by k_good, k_bad - {rules.good_weight} * k_good desc, rule, cutoff desc) position
+  from proposals where k_bad - {rules.good_weight} * k_good > 0
+),
+goods as (select b.rid, b.stratum, count(*) times from b join labels l on b.doc_id = l.doc_id
+          where not base_failed and l.quality = 1 and substr(md5(cast(b.doc_id as varchar)), 1, 1) > '4' group by b.rid, b.stratum),
+sizes as (select stratum, sum(times)::bigint n_good from goods group by stratum),
+firsts as (
+  select g.rid, g.stratum, g.times, min(position) first from goods g join v on v.rid = g.rid
+  join positions p on p.stratum = g.stratum and p.rule = v.rule and v.value > p.cutoff group by g.rid, g.stratum, g.times
+),
+joint as (
+  select p.*, n_good, (select coalesce(sum(times), 0) from firsts f where f.stratum = p.stratum and f.first <= p.position)::bigint joint_good
+  from positions p join sizes using (stratum)
 ),
 strata as (select greatest(1, count(distinct stratum)) n from held),
 bounded as (
-  select tested.*, k_good < n_good * {rules.rule_risk!r} and list_sum(list_transform(range(0, (case when k_good < n_good * {rules.rule_risk!r} then k_good else 0 end)::bigint + 1),
-           lambda i: exp(lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0) + i * ln({rules.rule_risk!r}) + (n_good - i) * ln({1 - rules.rule_risk!r}))))
-         <= {rules.delta!r} / ((select n from strata) * {n_tests}) safe, k_bad - {rules.good_weight} * k_good gain
-  from tested where n_good > 0
+  select *, joint_good < n_good * {rules.risk!r} and list_sum(list_transform(range(0, (case when joint_good < n_good * {rules.risk!r} then joint_good else 0 end)::bigint + 1),
+           lambda i: exp(lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0) + i * ln({rules.risk!r}) + (n_good - i) * ln({1 - rules.risk!r}))))
+         <= {rules.delta!r} / (select n from strata) safe
+  from joint
 ),
 chosen as (
-  select stratum, rule, cutoff from bounded where safe and gain > 0
-  qualify row_number() over (partition by stratum, rule order by gain desc, cutoff desc) = 1
+  select stratum, rule, min(cutoff) cutoff from (select *, bool_and(safe) over (partition by stratum order by position) taken from bounded) x
+  where taken group by stratum, rule
 ),
 failed as (select distinct rid from v join chosen on v.stratum = chosen.stratum and v.rule = chosen.rule where value > cutoff)
 select doc_id, {", ".join(f"{c}::bigint {c}" for c in MEASURES[:5])}, base_failed, not base_failed and rid not in (select rid from failed) kept from b

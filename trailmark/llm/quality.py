@@ -1,14 +1,22 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base measures decide alone on very short and very repetitive texts.  Every other rule compares one measure with a
-cutoff.  For each stratum (language) the cutoffs of a rule are tested on the labelled good documents of that stratum:
-a cutoff is safe if the exact binomial upper bound of its false rejections lies at or below the rule's share of
-``risk``.  The bounds hold together with probability 1 - ``delta``: each is taken at delta / (strata x rules x cutoffs).
-Of the safe cutoffs the one is used that rejects most bad documents net of the good ones, weighted by ``good_weight``;
-a rule without a safe and useful cutoff is not applied in that stratum.
+cutoff.  For each stratum (language) cutoffs are chosen on the labelled documents of that stratum in two steps:
+
+* A third of them, by a hash of the id, proposes: cutoffs that reject more bad documents than good ones, weighted by
+  ``good_weight``, are put in a row, those with the fewest rejected good documents first.
+* The other two thirds, the holdout, decide: cutoffs are taken over from the row one after the other as long as the exact
+  binomial bound shows that all taken so far together falsely reject at most ``risk`` of the stratum.  The first one for
+  which it does not ends the row.
+
+What is tested is the joint rejection of all rules, in an order the holdout had no part in, so each stratum spends its
+share of ``delta`` once for its whole row, and the promise holds in all strata together with probability 1 - ``delta``.
+The shares are equal (Bonferroni): a stratum needs ln(strata / delta) / -ln(1 - risk) good documents in its holdout, 86
+for four strata, before any cutoff can apply; with fewer it keeps to the base rule.
 
 Null and blank texts have no words and fail the base rule.  A null language is a stratum of its own.  Labels without a
 document, with a null label or of a document without a label count nowhere; a label row that comes twice counts twice.
+Cutoffs with the same numbers come in the order of gain, rule and cutoff, high cutoffs first.
 Repeated documents each get a row.  Without labels only the base rules hold.  Extra columns are ignored.
 All of it is column expressions and SQL aggregates.
 """
@@ -23,8 +31,6 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import BLANKS, let, stored, words
 
-#: Strata up to so many are sent to all executors, more are joined by shuffle.
-SMALL_STRATA = 10_000
 MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals n_marks".split()
 
 
@@ -49,9 +55,8 @@ class Rules:
     delta: float = 0.05
     good_weight: float = 20.0
 
-    @property
-    def rule_risk(self) -> float:
-        return self.risk / len(self.cutoffs)
+    #: Ids of labelled documents up to this number (16 MB) are sent to all tasks, so that only their texts are measured.
+    sent_ids: int = 2_000_000
 
 
 def _repeat_words(found: Column, window: int) -> Column:
@@ -131,44 +136,79 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, start, step)["s"])
 
 
-def tested(measured: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, k_good, k_bad, safe): every cutoff tested on the labelled documents.
+def proposing(key: str) -> Column:
+    """Whether a labelled document proposes cutoffs: about a third do."""
+    return F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 1).isin(*"01234")
+
+
+def held_documents(measured: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
+    """(doc_id, stratum, proposes, quality, over): labelled documents that pass the base rule.
 
-    ``measured`` is a stored table of doc_id, lang and the struct m.
+    ``over`` has, for each rule in order, how many of its cutoffs the document exceeds.
     """
-    truth = labels.select(F.col("doc_id").alias("_key"), F.col("quality").cast("int").alias("_quality")).where(F.col("_quality").isin(0, 1))
-    grid = {r: F.array(*[F.lit(float(c)) for c in cuts]) for r, cuts in rules.cutoffs.items()}
+    truth = labels.select(F.col("doc_id").alias("_key"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
     m = F.col("m")
 
-    def over(rule: str, value: Column) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), F.size(F.filter(grid[rule], lambda cut: value > cut)).alias("over"))
-
-    values = [over(r, v) for r, v in _values(m, rules).items()]
-    held = measured.where(~base_failed(m, rules)).withColumn("stratum", _stratum("lang"))
-    held = held.select(F.col("doc_id").alias("_key"), "stratum", F.array(*values).alias("values")).join(truth, "_key")
-    counted = held.select("stratum", "_quality", F.inline("values")).groupBy("stratum", "rule", "over")
-    counted = counted.agg(F.sum("_quality").alias("good"), F.sum(1 - F.col("_quality")).alias("bad"))
-    seen = F.collect_list(F.struct("over", "good", "bad")).alias("seen")
-    summed = stored(counted.groupBy("stratum", "rule").agg(seen, F.sum("good").alias("n_good")), "quality-counts")
-    cuts = F.create_map(*[x for r, c in rules.cutoffs.items() for x in (F.lit(r), grid[r])])
-    opened = summed.select("stratum", "rule", "seen", "n_good", F.posexplode(cuts[F.col("rule")]).alias("at", "cutoff"))
-    total = lambda name: F.aggregate(
-        F.filter("seen", lambda x: x["over"] > F.col("at")), F.lit(0).cast("bigint"), lambda a, x: a + x[name]
+    def exceeded(rule: str, value: Column) -> Column:
+        cuts = F.array(*[F.lit(float(c)) for c in sorted(rules.cutoffs[rule])])
+        return F.size(F.filter(cuts, lambda cut: value > cut))
+
+    over = [exceeded(r, v) for r, v in _values(m, rules).items()]
+    rows = measured.where(~base_failed(m, rules)).select(F.col("doc_id").alias("_key"), _stratum("lang").alias("stratum"), F.array(*over).alias("over"))
+    return rows.join(truth, "_key").select("stratum", proposing("_key").alias("proposes"), "quality", "over")
+
+
+def _grid(rules: Rules) -> Column:
+    """All (place of the rule, rank of the cutoff among the rule's, rule, cutoff)."""
+    cells = [(i, rank, r, float(c)) for i, (r, cuts) in enumerate(rules.cutoffs.items()) for rank, c in enumerate(sorted(cuts), 1)]
+    names = ("place", "level", "rule", "cutoff")
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, c, strict=True)]) for c in cells])
+
+
+def proposed(counted: DataFrame, rules: Rules) -> DataFrame:
+    """(stratum, position, place, level, rule, cutoff): the row of cutoffs of each stratum, from the third that proposes."""
+    each = counted.where("proposes").select("stratum", "quality", "over", "n", F.inline(_grid(rules)))
+    hit = F.get("over", F.col("place")) >= F.col("level")
+    both = each.groupBy("stratum", "place", "level", "rule", "cutoff").agg(
+        F.sum(F.when(hit, F.col("quality") * F.col("n")).otherwise(0)).alias("k_good"),
+        F.sum(F.when(hit, (1 - F.col("quality")) * F.col("n")).otherwise(0)).alias("k_bad"),
     )
-    opened = opened.select("stratum", "rule", "cutoff", "n_good", total("good").alias("k_good"), total("bad").alias("k_bad"))
-    n_tests = max(1, summed.select("stratum").distinct().count()) * sum(map(len, rules.cutoffs.values()))
-    p = rules.rule_risk
-    bound = F.when(F.col("k_good") >= F.col("n_good") * p, F.lit(1.0)).otherwise(tail(F.col("n_good"), F.col("k_good"), p))
-    return opened.withColumn("safe", bound <= rules.delta / n_tests)
+    gain = F.col("k_bad") - rules.good_weight * F.col("k_good")
+    order = W.partitionBy("stratum").orderBy("k_good", F.desc("gain"), "rule", F.desc("cutoff"))
+    row = both.withColumn("gain", gain).where("gain > 0").withColumn("position", F.row_number().over(order))
+    return row.select("stratum", "position", "place", "level", "rule", "cutoff")
+
+
+def tested(measured: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
+    """(stratum, position, rule, cutoff, n_good, k_good, safe): every proposed cutoff and what the holdout says.
+
+    ``k_good`` are the good documents of the holdout that this cutoff or one before it rejects.  ``measured`` is a stored
+    table of doc_id, lang and the struct m.  Documents are first counted by what they exceed, so that all that follows
+    works on counts of a bounded number of cases a stratum.
+    """
+    held = held_documents(measured, labels, rules)
+    counted = stored(held.groupBy("stratum", "proposes", "quality", "over").agg(F.count("*").alias("n")), "quality-counts")
+    row = stored(proposed(counted, rules), "quality-row")
+    good = counted.where("not proposes and quality = 1")
+    n_good = good.groupBy("stratum").agg(F.sum("n").alias("n_good"))
+    # a case is rejected by the first cutoff of the row that it exceeds
+    whole = row.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("position", "place", "level"))).alias("row"))
+    first = F.filter("row", lambda x: F.get("over", x["place"]) >= x["level"])
+    met = good.join(whole, "stratum").withColumn("position", F.get(first, F.lit(0))["position"]).where("position is not null")
+    rejected = met.groupBy("stratum", "position").agg(F.sum("n").alias("more"))
+    so_far = W.partitionBy("stratum").orderBy("position")
+    summed = row.join(rejected, ["stratum", "position"], "left").join(n_good, "stratum")
+    summed = summed.withColumn("k_good", F.sum(F.coalesce("more", F.lit(0))).over(so_far))
+    n_strata = max(1, counted.select("stratum").distinct().count())
+    bound = F.when(F.col("k_good") >= F.col("n_good") * rules.risk, F.lit(1.0)).otherwise(tail(F.col("n_good"), F.col("k_good"), rules.risk))
+    safe = F.min((bound <= rules.delta / n_strata).cast("int")).over(so_far) == 1
+    return summed.withColumn("safe", safe).select("stratum", "position", "rule", "cutoff", "n_good", "k_good", "safe")
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
-    """(stratum, cuts): for each stratum the chosen cutoff by rule."""
-    gain = F.col("k_bad") - rules.good_weight * F.col("k_good")
-    best = tested(measured, labels, rules).withColumn("gain", gain).where("safe and gain > 0")
-    rank = F.row_number().over(W.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff")))
-    chosen = best.withColumn("rank", rank).where("rank = 1")
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    """(stratum, cuts): for each stratum the strictest cutoff taken over of each rule."""
+    taken = tested(measured, labels, rules).where("safe").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return taken.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
 
 
 def kept(m: Column, cuts: Column, rules: Rules) -> Column:
@@ -180,9 +220,7 @@ def kept(m: Column, cuts: Column, rules: Rules) -> Column:
 
 
 def _beside_cutoffs(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows with lang beside the cutoffs of their stratum, a stored table."""
-    if chosen.count() <= SMALL_STRATA:
-        chosen = F.broadcast(chosen)
+    """Rows with lang beside the cutoffs of their stratum, a stored table; Spark sends it to all tasks if it is small."""
     return rows.withColumn("stratum", _stratum("lang")).join(chosen, "stratum", "left")
 
 
@@ -200,13 +238,21 @@ def verdicts(docs: DataFrame, labels: DataFrame, rules: Rules | None = None) ->
     return out.select("doc_id", *[m[c].alias(c) for c in MEASURES[:5]], base_failed(m, rules).alias("base_failed"), kept(m, F.col("cuts"), rules).alias("kept"))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
+    """The documents that have a label; all of them if there are too many labels to be sent to every task."""
+    ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    few = ids.limit(rules.sent_ids + 1).count() <= rules.sent_ids
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs
+
+
 def filtered(docs: DataFrame, labels: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The documents that are kept, with their own columns; cutoffs come from the labelled ones among them.
 
-    Measures without texts meet the labels, and the texts are read a second time for the verdict: no text is shuffled.
+    Only labelled texts are measured for the cutoffs, without shuffling them, and all texts once for the verdict.
     """
     rules = rules or Rules()
-    chosen = stored(cutoffs(_measured(docs, rules), labels, rules), "quality-cutoffs")
+    known = _measured(_labelled(docs.select("doc_id", "lang", "text"), labels, rules), rules)
+    chosen = stored(cutoffs(known, labels, rules), "quality-cutoffs")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("lang"))
     rows = _beside_cutoffs(rows, chosen)
     rows = rows.where(let(measures(F.col("_row")["text"], rules), lambda m: kept(m, F.col("cuts"), rules)))
