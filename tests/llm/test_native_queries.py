@@ -98,13 +98,7 @@ def test_rules_hold_jointly_and_equal_sql(spark, tmp_path):
     assert ("fr", "marks") not in found and not any(s == "xx" for s, _ in found)  # too many good ones, too few labels
     assert all(r.k_good <= 0.05 * r.n_good for r in found.values())
     got = quality.verdicts(df, marked)
-    con = duckdb.connect()
-    for name, table in (("documents", df), ("labels", marked)):
-        table.coalesce(1).write.parquet(str(tmp_path / name))
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
-    result = con.execute(ORACLE_SQL["op3_quality_rules"])
-    columns = [d[0] for d in result.description]
-    assert _counted(got.columns, got.collect()) == _counted(columns, result.fetchall())
+    equals_sql(spark, tmp_path, "op3_quality_rules", got, documents=df, labels=marked)
     kept = {r.doc_id for r in got.where("kept").collect()}
     good = {i for i, q, _ in truth if q == 1}
     assert len(good - kept) <= 0.05 * len(good) and 0 < len(kept - good) < len(rows) - len(good)
@@ -238,6 +232,50 @@ def test_recurring_templates_stay_in_the_first_document(spark):
     assert counted == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 1}
 
 
+def equals_sql(spark, tmp_path, name, got, **tables):
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / table))
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}/*.parquet'")
+    result = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in result.description]
+    assert _counted(got.columns, got.collect()) == _counted(columns, result.fetchall())
+
+
+def test_short_lines_go_where_they_are_common(spark):
+    rows = [(i, f"All rights reserved.\nown words of text number {'abcdefghijklmnopqrstuvwxyz'[i]} stand here", "en") for i in range(12)]
+    rows += [(100 + i, f"Yes, sure.\nother words {i} of another person", "en") for i in range(9)]
+    got = {r.doc_id: r.text for r in linededup.cleaned(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all("rights" not in got[i] for i in range(1, 12))
+    assert all(got[i] == t for i, t, _ in rows if i >= 100 and "0" in t.split()[4])
+    assert all("Yes, sure." in got[100 + i] for i in range(9))  # nine documents are no common line
+
+
+def test_a_line_loses_few_words_of_its_own(spark):
+    shared = [f"shared{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(24)]
+    one, two = " ".join(shared[:12]), " ".join([*shared[:5], "own", *shared[6:12]])
+    long = " ".join([*shared[:8], *[f"new{'abcdefghij'[k]}" for k in range(6)], *shared[14:]])
+    rows = [(1, one, "en"), (2, two + "\nsecond line of this very text", "en"), (3, " ".join(shared), "en"), (4, long, "en"), (5, " ".join(shared), "en")]
+    got = {r.doc_id: r.text for r in linededup.cleaned(docs(spark, rows)).collect()}
+    assert got == {1: one, 2: "second line of this very text", 3: rows[2][1], 4: long}
+
+
+def test_lines_equal_sql(spark, tmp_path):
+    draw = random.Random(3)
+    words = ["alpha", "beta", "gamma", "12", "a@b.c", "delta", "7x", "http://q.r"]
+    frames = [[draw.choice(words) for _ in range(draw.choice([1, 2, 3, 5, 6, 9, 10, 12, 17, 18, 19, 22, 23, 30]))] for _ in range(60)]
+
+    def line():
+        own = list(draw.choice(frames))
+        for _ in range(draw.choice([0, 0, 1, 3])):
+            own[draw.randrange(len(own))] = draw.choice([*words, "other", "99"])
+        return draw.choice(["", " "]) + " ".join(own)
+
+    rows = [(draw.choice([None, *range(90)]), "\n".join(line() for _ in range(draw.randrange(7))), "en") for _ in range(150)] + ODD
+    df = docs(spark, rows).dropDuplicates(["doc_id", "text"])
+    equals_sql(spark, tmp_path, "op10_line_templates", linededup.report(df), documents=df)
+
+
 def test_lines_odd_rows(spark):
     got = linededup.cleaned(docs(spark, ODD + [(None, "five words stand in here", "x"), (7, "five words stand in here", "x")]))
     assert got.columns == docs(spark, []).columns

@@ -158,23 +158,33 @@ select doc_id, licence, scope, count(*) n from units join known using (digest) g
 
 def line_sql(tree: Tree | None = None) -> str:
     tree = tree or Tree()
-    cut = lambda r: f"(({tree.leading} + (len(ws) - {tree.leading}) * {r} // {tree.regions}))"
-    opened = ", ".join(
-        f"'{r} ' || len(ws) || ' ' || array_to_string(ws[1:{cut(r)}], ' ') || ' <open> ' || array_to_string(ws[{cut(r + 1)} + 1:], ' ')"
-        for r in range(tree.regions)
-    )
+    start = lambda r: f"({tree.leading} + (len(ws) - {tree.leading}) * {r} // {tree.regions})"
+    literal = lambda x: f"len(list_filter({x}, lambda w: w <> '<*>'))"
+
+    def opened(r: int) -> str:
+        region = f"ws[{start(r)} + 1:{start(r + 1)}]"
+        key = f"'{r} ' || len(ws) || ' ' || array_to_string(ws[1:{start(r)}], ' ') || ' <open> ' || array_to_string(ws[{start(r + 1)} + 1:], ' ')"
+        enough = f"(not list_contains(ws, '<*>') or {literal('ws')} - {literal(region)} >= {tree.least_words})"
+        return f"case when len(ws) >= {tree.least_open_words} and len({region}) <= {tree.most_open_words} and {enough} then {key} end"
+
+    whole = f"case when {literal('ws')} < {tree.least_words} then 'x ' || array_to_string(rs, ' ') else 'w ' || array_to_string(ws, ' ') end"
+    more = ", ".join(f"case when {literal('ws')} >= {tree.least_words} then {opened(r)} end" for r in range(tree.regions))
     return rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(doc_id, {(1 << 63) - 1}) doc, string_split(text, chr(10)) ls from documents),
-lines as (
-  select rid, doc, i, list_filter(string_split_regex(
+split as (
+  select rid, doc, i, list_filter(string_split_regex(ls[i], '{_BLANK}'), lambda x: x <> '') rs, list_filter(string_split_regex(
     regexp_replace(ls[i], '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '<*>', 'g'), '{_BLANK}'), lambda x: x <> '') ws
   from d, unnest(range(1, len(ls) + 1)) u(i)
 ),
+lines as (select * from split where len(rs) > 0),
 keys as (
-  select rid, doc, i, unnest(case when len(ws) >= {tree.least_open_words} then ['w ' || array_to_string(ws, ' '), {opened}] else ['w ' || array_to_string(ws, ' ')] end) k
-  from lines where len(ws) >= {tree.least_words}
+  select * from (select rid, doc, i, len(rs) < {tree.least_words} short, unnest([{whole}, {more}]) k from lines) x where k is not null
+),
+least as (select greatest({tree.least_documents}, ceil({tree.common_share}::double * count(distinct doc))) n from keys),
+seen as (
+  select k, min(doc) lo from keys group by k
+  having (not bool_or(short) and min(doc) < max(doc)) or (bool_or(short) and count(distinct doc) >= (select n from least))
 ),
-seen as (select k, min(doc) lo from keys group by k having min(doc) < max(doc)),
 gone as (select rid, list(distinct i) pos from keys join seen using (k) where doc > lo group by rid)
 select doc_id, coalesce(len(ls), 0)::bigint n_lines, coalesce(len(pos), 0)::bigint n_dropped,
        md5(coalesce(array_to_string(list_filter(ls, lambda x, i: pos is null or not list_contains(pos, i)), chr(10)), '')) text_md5
