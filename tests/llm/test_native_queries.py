@@ -180,6 +180,35 @@ def test_items_without_a_usable_window_are_found_whole(spark):
     assert got == {(1, 10), (3, 11), (6, 12)}
 
 
+def test_decontamination_equals_sql(spark, tmp_path):
+    draw = random.Random(12)
+    plain = "the man found green birds in tall tree beside old road and then went home to his wife because of rain".split()
+    marks = ["3", "7", "12 km", "5 kg", "Ann", "Bob", "Paris", "2.5", "9 days"]
+
+    def text(n, marked):
+        return " ".join(draw.choice(marks) if draw.random() < marked else draw.choice(plain) for _ in range(n))
+
+    known = [text(draw.choice([2, 4, 6, 9, 14, 30]), draw.choice([0, 0.1, 0.3, 0.6])) for _ in range(40)]
+    known += ["What is 2+2?", "小明有三个苹果他又买了五个苹果现在一共有多少", QUESTION, "", "Yes. No!", "กินข้าวกับแม่ที่บ้านในวันนี้"]
+
+    def asked():
+        found = draw.choice(known)
+        for _ in range(draw.choice([0, 0, 1, 2, 4])):
+            a, b = draw.choice(marks), draw.choice(marks)
+            found = found.replace(a, b) if draw.random() < 0.5 else found.replace(a, b, 1)
+        words = found.split(" ")
+        if draw.random() < 0.3 and len(words) > 3:
+            words[draw.randrange(len(words))] = "other"
+        return " ".join(words)
+
+    rows = [(i, draw.choice(["", "Text before. ", "and so "]) + asked() + draw.choice(["", ". More", "\nAfter it", " 然后"]), "en") for i in range(250)]
+    df = docs(spark, rows + ODD[:5])
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(known)] + [(99, None), (0, known[0])], "item_id bigint, text string")
+    got = decontam.contaminated(df, bench)
+    assert got.where("n_slots > 0").count() > 20 and got.where("n_windows < item_windows").count() > 5
+    equals_sql(spark, tmp_path, "op5_template_decontamination", got, documents=df, benchmark=bench)
+
+
 def test_decontamination_of_empty_tables(spark):
     assert decontam.contaminated(docs(spark, []), items(spark, [(1, QUESTION)])).count() == 0
     assert decontam.contaminated(docs(spark, [(1, QUESTION, "en")]), items(spark, [])).count() == 0

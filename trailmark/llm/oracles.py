@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm.decontam import UNITS, Templates
+from trailmark.llm.decontam import ENDS, UNITS, Templates
 from trailmark.llm.licence_texts import KNOWN, SPELLINGS
 from trailmark.llm.linededup import Tree
 from trailmark.llm.quality import MEASURES, Rules
@@ -86,50 +86,86 @@ select doc_id, {", ".join(f"{c}::bigint {c}" for c in MEASURES[:5])}, base_faile
 def decontamination_sql(rules: Templates | None = None) -> str:
     rules = rules or Templates()
     units = ", ".join(map(_text, UNITS))
+    ends = ", ".join("chr(10)" if e == "\n" else _text(e) for e in ENDS)
+    # characters of scripts without blanks are set apart before the text is split
+    unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)"
+    token = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}]+|[.!?\n。！？]"
 
     def parsed(name: str, table: str, key: str) -> str:
         return rf"""
-{name}_raw as (select row_number() over () rid, {key} id, regexp_extract_all(coalesce(text, ''), '\d+(?:[.,:]\d+)*|[\p{{L}}\p{{M}}]+|[.!?\n]') xs from {table}),
-{name}_each as (select rid, id, i, xs[i] x, case when i > 1 then xs[i - 1] end before from {name}_raw, unnest(range(1, len(xs) + 1)) u(i)),
+{name}_raw as (select row_number() over () rid, id, regexp_extract_all(regexp_replace(t, '{unspaced}', ' \1 ', 'g'), '{token}') xs
+  from (select distinct {key} id, coalesce(text, '') t from {table}) x),
+{name}_each as (select rid, id, i, xs[i] x, case when i > 1 then xs[i - 1] end before, xs[i + 1] after from {name}_raw, unnest(range(1, len(xs) + 1)) u(i)),
 {name}_typed as (
   select rid, id, i, lower(x) low, case when substring(x, 1, 1) between '0' and '9' then '<num>'
     when coalesce(substring(before, 1, 1) between '0' and '9', false) and lower(x) in ({units}) then '<unit>'
-    when not coalesce(before in ('.', '!', '?', chr(10)), true) and lower(substring(x, 1, 1)) <> substring(x, 1, 1) and upper(x) <> x then '<name>' end mark
-  from {name}_each where x not in ('.', '!', '?', chr(10))
+    when not coalesce(before in ({ends}), true) and lower(substring(x, 1, 1)) <> substring(x, 1, 1) and upper(x) <> x then '<name>' end mark,
+    coalesce(before in ({ends}), true) starts, coalesce(after in ({ends}), true) stops
+  from {name}_each where x not in ({ends})
 ),
 {name} as (
-  select rid, id, list(coalesce(mark, low) order by i) ts, list(case when mark is not null then low end order by i) vs from {name}_typed group by rid, id
+  select rid, id, list(coalesce(mark, low) order by i) ts, list(case when mark is not null then low end order by i) vs,
+         list(low order by i) es, list(starts order by i) starts, list(stops order by i) stops
+  from {name}_typed group by rid, id
 )"""
 
+    size = f"least(len(ts), {rules.window})"
+    plain = f"len(list_filter(vs[u.pos + 1:u.pos + {size}], lambda x: x is null))"
+    alone = f"(size >= {rules.least_literal} or (starts[u.d + 1] and stops[u.d + size]))"
     return rf"""
 with {parsed("doc", "documents", "doc_id")}, {parsed("bench", "benchmark", "item_id")},
-items as (
-  select id item, pos, least(len(ts), {rules.window}) size, ts[pos + 1:pos + least(len(ts), {rules.window})] win, vs[pos + 1:pos + least(len(ts), {rules.window})] slots
-  from bench, unnest(range(0, len(ts) - least(len(ts), {rules.window}) + 1)) u(pos) where len(ts) >= {min(rules.least_literal, rules.window)}
-),
-usable as (
-  select *, count(*) over (partition by item) n_windows from items
-  where size - len(list_filter(slots, lambda x: x is not null)) >= least(size, {rules.least_literal})
+places as (
+  select rid, id item, u.pos, {size} size, ts[u.pos + 1:u.pos + {size}] win, vs[u.pos + 1:u.pos + {size}] slots, {plain} plain
+  from bench, unnest(range(0, len(ts) - {size} + 1)) u(pos)
 ),
+good as (select * from places where size >= {min(rules.least_literal, rules.window)} and plain >= least(size, {rules.least_literal})),
+usable as (select *, count(*) over (partition by rid) n_windows from good),
 sizes as (select distinct size from usable),
 windows as (
-  select rid, id, d, size, ts[d + 1:d + size] win, vs[d + 1:d + size] slots
+  select rid, id, u.d, size, ts[u.d + 1:u.d + size] win, vs[u.d + 1:u.d + size] slots
   from doc, sizes, unnest(range(0, greatest(0, len(ts) - size + 1))) u(d)
 ),
 hits as (
-  select rid, windows.id doc_id, item, d - pos as moved, d, pos, n_windows, usable.slots theirs, windows.slots ours, usable.win
+  select windows.rid, windows.id doc_id, item, d - pos as moved, d, pos, n_windows, usable.slots theirs, windows.slots ours, usable.win,
+         usable.slots is not distinct from windows.slots verbatim
   from windows join usable on windows.size = usable.size and windows.win = usable.win
 ),
 pairs as (
-  select distinct rid, item, moved, win[k] || theirs[k] a, win[k] || ours[k] b from hits, unnest(range(1, len(win) + 1)) u(k) where theirs[k] is not null
+  select rid, item, moved, win[k] || theirs[k] a, win[k] || ours[k] b, bool_or(verbatim) quoted
+  from hits, unnest(range(1, len(win) + 1)) u(k) where theirs[k] is not null group by all
+),
+fits as (
+  select rid, item, moved, count(*) n, count(*) filter (quoted) n_quoted, count(*) = count(distinct a) and count(*) = count(distinct b) fits
+  from pairs group by rid, item, moved
+),
+lines as (
+  select rid, doc_id, item, moved, count(distinct pos) found, count(distinct pos) filter (verbatim) quoted, max(n_windows) item_windows from hits group by all
+),
+judged as (
+  select doc_id, lines.item, item_windows, case when coalesce(fits, true) then found else quoted end found,
+         coalesce(case when coalesce(fits, true) then n else n_quoted end, 0) n
+  from lines left join fits on lines.rid = fits.rid and lines.item is not distinct from fits.item and lines.moved = fits.moved
+),
+kept as (select doc_id, item, found n_windows, item_windows, n n_slots from judged where found >= least(item_windows, {rules.least_windows})),
+wholes as (
+  select bench.*, {size} size, len(list_distinct(list_filter(list_transform(range(1, len(ts) + 1), lambda k: case when vs[k] is not null then ts[k] || vs[k] end), lambda x: x is not null))) n_slots
+  from bench where rid not in (select rid from good)
+),
+item_exact as (
+  select rid, id item, size, n_slots, len(es) - size + 1 n_windows, u.d pos, es[u.d + 1:u.d + size] win
+  from wholes, unnest(range(0, len(es) - size + 1)) u(d) where {alone}
+),
+whole_sizes as (select distinct size from item_exact),
+doc_exact as (
+  select rid, id, u.d, size, es[u.d + 1:u.d + size] win from doc, whole_sizes, unnest(range(0, greatest(0, len(es) - size + 1))) u(d) where {alone}
 ),
-fits as (select rid, item, moved, count(*) n, count(*) = count(distinct a) and count(*) = count(distinct b) fits from pairs group by all),
-lines as (select rid, doc_id, item, moved, count(distinct pos) found, max(n_windows) item_windows from hits group by all),
-kept as (
-  select lines.*, coalesce(n, 0) n from lines left join fits using (rid, item, moved)
-  where coalesce(fits, true) and found >= least(item_windows, {rules.least_windows})
+whole_lines as (
+  select x.rid, x.id doc_id, e.item, e.n_windows, e.n_slots, x.d - e.pos moved
+  from doc_exact x join item_exact e on x.size = e.size and x.win = e.win
+  group by x.rid, x.id, e.item, e.rid, e.n_windows, e.n_slots, x.d - e.pos having count(distinct e.pos) = e.n_windows
 )
-select doc_id, item item_id, max(found) n_windows, max(item_windows) item_windows, max(n) n_slots from kept group by doc_id, item
+select doc_id, item item_id, max(n_windows)::bigint n_windows, max(item_windows)::bigint item_windows, max(n_slots)::bigint n_slots
+from (select * from kept union all select doc_id, item, n_windows, n_windows, n_slots from whole_lines) r group by doc_id, item
 """
 
 
