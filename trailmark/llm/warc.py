@@ -94,14 +94,25 @@ class _Archive:
         return pd.DataFrame({"archive": [self.path], "n": [self.n]})
 
 
+def revisits(rows: DataFrame) -> DataFrame:
+    """(page_id, sha, size, refers_to) of pages whose payload a page with a larger id has too.
+
+    Ids and digests alone meet by payload, in stored tables of which Spark splits what belongs to a frequent payload; the
+    payloads themselves are dealt by page.
+    """
+    names = stored(rows.where("page_id is not null").select("page_id", "sha", "size").distinct(), "payloads")
+    met = names.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("refers_to"))
+    again = stored(met.where("first < refers_to").drop("first"), "repeated-payloads")
+    return names.join(again, ["sha", "size"]).where("page_id < refers_to").select("page_id", "sha", "size", "refers_to")
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """(archive, n): the pages written as archives of one gzip stream each, a stored table."""
     system, place = _place(folder)
     system.create_dir(place, recursive=True)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    last = rows.groupBy("sha", "size").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, ["sha", "size"]).select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    rows = rows.join(revisits(rows), ["page_id", "sha", "size"], "left").select("page_id", "url", "html", "refers_to")
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive = None
