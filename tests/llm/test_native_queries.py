@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import textwrap
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -236,6 +238,40 @@ def test_whole_licence_in_other_dress(spark):
     assert [(r.doc_id, r.licence) for r in licences.scan(docs(spark, [(1, "my OWN terms", "en")]), known).where("scope = 'text'").collect()] == [(1, "own")]
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_licences_inside_of_other_text(spark, tmp_path):
+    text = dict(KNOWN[:1])["MIT"]
+    zlib_text = dict(KNOWN)["Zlib"]
+    rows = [
+        (1, f"# My program\nSome words.\n\nCopyright (c) 2020 X. Y.\n{wrapped(text, 60)}\n\nMore words of mine.", "en"),
+        (2, f"{wrapped(text, 33)}\n{wrapped(zlib_text, 50)}", "en"),
+        (3, "(c) 2020 Some Body. Released under the MIT License.\nCopyright 2021 J. Smith, Inc.", "en"),
+        (4, wrapped(text, 60).replace("furnished", "burnished") + "\nmore", "en"),
+        (5, "Permission is hereby granted\nto nobody", "en"),
+        (6, wrapped(text, 70), "en"),
+    ]
+    df = docs(spark, rows + ODD)
+    got = {(r.doc_id, r.licence, r.scope): r.n for r in licences.scan(df).collect()}
+    assert got == {(1, "MIT", "run"): 1, (2, "MIT", "run"): 1, (2, "Zlib", "run"): 1, (3, "MIT", "line"): 1, (3, "MIT", "text"): 1, (6, "MIT", "text"): 1}
+    equals_sql(spark, tmp_path, "op7_licence_digests", licences.scan(df), documents=df)
+    both = spark.createDataFrame([("one", "The very same terms hold here"), ("two", "the very same TERMS hold here.")], "licence string, text string")
+    twice = licences.scan(docs(spark, [(1, "The very same terms hold here", "en")] * 2), both).collect()
+    assert {(r.licence, r.scope, r.n) for r in twice} == {(x, s, 2) for x in ("one", "two") for s in ("text", "line")}
+    assert licences.scan(df, both.where("false")).count() == 0
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="no licence texts on this machine")
+def test_long_licences_by_digest(spark):
+    published = {"GPL-3.0-only": "GPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1-only": "LGPL-2.1"}
+    texts = {i: Path("/usr/share/common-licenses", f).read_text() for i, f in published.items()}
+    rows = [(n, f"{t}\nand some code" if n % 2 else " ".join(t.split("\n")[:1]) + t[len(t.split("\n")[0]) :], "en") for n, t in enumerate(texts.values())]
+    got = {(r.doc_id, r.licence, r.scope) for r in licences.scan(docs(spark, rows)).where("licence in ('GPL-3.0-only', 'Apache-2.0', 'MPL-2.0', 'LGPL-2.1-only') and scope <> 'line'").collect()}
+    assert {(n, i, "run" if n % 2 else "text") for n, i in enumerate(texts)} <= got
+
+
 # --- Lines --------------------------------------------------------------------
 
 

@@ -104,3 +104,21 @@ SPELLINGS: list[tuple[str, str]] = [
     ("v3", "version 3"),
     ("https", "http"),
 ]
+
+#: (SPDX id, words, first words, MD5) of longer licences in canonical form, as published with their preambles and appendices.
+DIGESTS: list[tuple[str, int, str, str]] = [
+    ("Apache-2.0", 1570, "apache license version 2", "29cd1b18334249e98bcf48ee185d0476"),
+    ("Artistic-1.0-Perl", 954, "the artistic license preamble", "8635801804397c4b862c335a6aa4c1e6"),
+    ("BSD-3-Clause", 214, "redistribution and use in", "ddcd765ed0a3236bf96e15f76c36983a"),
+    ("CC0-1.0", 1087, "creative commons legal code", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2", 3305, "gnu free documentation license", "fd920ddc37a3d7e8c50763b83c95353c"),
+    ("GFDL-1.3", 3710, "gnu free documentation license", "69253b6f159e4a07012cc5d95badaa85"),
+    ("GPL-1.0-only", 2055, "gnu general public license", "e64afbb3eb9ed9907294af675f791aba"),
+    ("GPL-2.0-only", 2965, "gnu general public license", "e374d0b43c25aed1a2b28951fe92a546"),
+    ("GPL-3.0-only", 5650, "gnu general public license", "3d166aeeeb2ec1fea896f0a01f69dc5c"),
+    ("LGPL-2.0-only", 4163, "gnu library general public", "15537439aaaba0cb3c81845ee34ea262"),
+    ("LGPL-2.1-only", 4364, "gnu lesser general public", "e452d488890e571fac18bf991411255d"),
+    ("LGPL-3.0-only", 1231, "gnu lesser general public", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", 3757, "mozilla public license version", "5ceeca1c675fb218d9d7a541deb0cd2a"),
+    ("MPL-2.0", 2414, "mozilla public license version", "9827c35216f8009dff41249ae52df7a3"),
+]

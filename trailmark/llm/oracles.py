@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from trailmark.llm.decontam import ENDS, UNITS, Templates
-from trailmark.llm.licence_texts import KNOWN, SPELLINGS
+from trailmark.llm.licence_texts import DIGESTS, KNOWN, SPELLINGS
+from trailmark.llm.licences import HEAD, LEAST_RUN, OWNER, TERMS
 from trailmark.llm.linededup import Tree
 from trailmark.llm.quality import MEASURES, Rules
 
@@ -170,25 +171,46 @@ from (select * from kept union all select doc_id, item, n_windows, n_windows, n_
 
 
 def licence_sql() -> str:
-    def canonical(line: str) -> str:
-        spelt = f"trim(regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    def spelt(x: str) -> str:
         for pattern, spelling in SPELLINGS:
-            spelt = f"regexp_replace({spelt}, '\\b{pattern}\\b', '{spelling}', 'g')"
-        return f"case when regexp_matches(lower({line}), '^[^a-z0-9]*(?:copyright\\b|\\(c\\)|©|all rights reserved)') then '' else {spelt} end"
+            x = f"regexp_replace({x}, '\\b{pattern}\\b', '{spelling}', 'g')"
+        return x
+
+    def canonical(line: str) -> str:
+        low = f"lower({line})"
+        terms = f"regexp_replace({low}, '{OWNER}.*?[.]\\s+({TERMS}\\b)', '\\1')"
+        told = f"case when regexp_matches({low}, '{OWNER}') then (case when {terms} <> {low} then {terms} else '' end) else {low} end"
+        return spelt(f"trim(regexp_replace({told}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
 
     def lines(text: str) -> str:
         return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: {canonical('x')}), lambda x: x <> '')"
 
     known = ", ".join(f"({_text(i)}, {_text(t)})" for i, t in KNOWN)
+    listed = ", ".join(f"({_text(i)}, {n}, {_text(h)}, {_text(d)})" for i, n, h, d in DIGESTS)
     return f"""
 with raw(licence, text) as (values {known}),
-known as (select distinct licence, md5(array_to_string({lines("text")}, ' ')) digest from raw),
-canonical as (select doc_id, {lines("text")} ls from documents),
+plain as (select licence, {spelt(f"array_to_string({lines('text')}, ' ')")} t from raw),
+known as (
+  select distinct * from (
+    select licence, len(string_split(t, ' '))::integer size, array_to_string(string_split(t, ' ')[1:{HEAD}], ' ') head, md5(t) digest from plain
+    union all select * from (values {listed}) l
+  ) k
+),
+begins as (select '^(?:' || string_agg(distinct head, '|') || ')\\b' pattern from known),
+canonical as (select row_number() over () rid, doc_id, {lines("text")} ls from documents),
+starts as (
+  select rid, doc_id, ls, u.i from canonical, unnest(range(1, len(ls) + 1)) u(i)
+  where regexp_matches(array_to_string(ls[u.i:u.i + {HEAD - 1}], ' '), (select pattern from begins))
+),
+rests as (select *, string_split({spelt("array_to_string(ls[i:], ' ')")}, ' ') ws from starts),
 units as (
-  select doc_id, 'text' as scope, md5(array_to_string(ls, ' ')) digest from canonical where len(ls) > 0
-  union all select doc_id, 'line', md5(x) from canonical, unnest(ls) u(x)
+  select doc_id, 'text' as scope, md5(array_to_string(ws, ' ')) digest from rests where i = 1
+  union all select doc_id, 'line', md5(ls[i]) from starts
+  union all
+  select doc_id, 'run', md5(array_to_string(ws[1:size], ' ')) from rests, (select distinct size from known where size >= {LEAST_RUN}) s
+  where size <= len(ws) and size <> len(string_split(ls[i], ' ')) and md5({spelt("array_to_string(ls, ' ')")}) not in (select digest from known)
 )
-select doc_id, licence, scope, count(*) n from units join known using (digest) group by all
+select doc_id, licence, scope, count(*) n from units join (select distinct licence, digest from known) k using (digest) group by all
 """
 
 
