@@ -277,6 +277,18 @@ def test_a_number_is_given_once(spark, tmp_path):
     assert names(spark, f"{tmp_path}/m") == ["1.json"] and read_text(spark, f"{tmp_path}/m/2.json") is None
 
 
+def test_versions_where_files_are_renamed(spark, tmp_path):
+    """A file system that is reached by Hadoop alone, as one of a cluster is."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.test.link./in", f"file://{tmp_path}")
+    store = SnapshotStore(spark, "viewfs://test/in/store")
+    assert publish(spark, "viewfs://test/in/m/1", "a") and not publish(spark, "viewfs://test/in/m/1", "b")
+    assert read_text(spark, "viewfs://test/in/m/1") == "a" and names(spark, "viewfs://test/in/m") == ["1"]
+    store.write("1", {"t": spark.range(3)})
+    store.update("2", lambda change: change.put("t", change.table("t").where("id > 0")) and None)
+    store.expire(1)
+    assert store.versions().count() == 1 and store.read().tables["t"].count() == 2
+
+
 def test_a_change_that_was_overtaken_is_built_again(spark, tmp_path):
     store, seen = SnapshotStore(spark, str(tmp_path)), []
     store.write("0", {"t": spark.createDataFrame([(0,)], "i int")})

@@ -20,8 +20,8 @@ from trailmark.plans.refresh import refresh_participants
 from trailmark.sources.snapshots import BUCKET, Change, Snapshot, SnapshotStore
 from trailmark.sources.workdir import stored
 
-#: Buckets of a new store; a store keeps the number it began with.
-BUCKETS = 64
+#: Participants of a bucket of a new store, and its least and greatest number of buckets; a store keeps the number it began with.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 16, 4096
 #: All participants are classified anew when their statuses are older than this.
 OUTDATED = timedelta(days=1)
 _BUCKETS, _CLASSIFIED = "buckets", "classified at"
@@ -80,15 +80,16 @@ def fold_logs(
     version: str,
     cfg: ProgressConfig = DEFAULT_CONFIG,
     participants: DataFrame | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     mark: tuple[str, int] | None = None,
 ) -> Snapshot | None:
     """Add a portion of logs to the newest version of a store and write the next one.
 
     A store without versions starts from ``participants``.  Every participant the portion touches is as a refresh with
     all logs so far would leave it at ``now``; so are all others at the time they were last classified, which is at most
-    a day ago, or at ``now`` after the first portion, an upload or a refresh by others.  ``mark`` names the portion: a
-    portion whose number is not above that of its last one is in the store already and changes nothing.
+    a day ago, or at ``now`` after the first portion, an upload or a refresh by others.  ``buckets`` is their number in a
+    store that has none yet; by default it grows with the participants.  ``mark`` names the portion: a portion whose
+    number is not above that of its last one is in the store already and changes nothing.
     """
     fresh = stored(screen_visits(logs, cfg), "visits")
 
@@ -98,7 +99,12 @@ def fold_logs(
             return False
         if mark:
             change.marks[mark[0]] = str(mark[1])
-        n = int(change.marks.setdefault(_BUCKETS, str(buckets)))
+        if base is None and participants is None:
+            raise ValueError("the store is empty: give the participants to start from")
+        source = participants if base is None else base.tables["processed"]
+        if _BUCKETS not in change.marks:
+            change.marks[_BUCKETS] = str(buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, source.count() // BUCKET_ROWS)))
+        n = int(change.marks[_BUCKETS])
         dealt = fresh.withColumn(BUCKET, _dealt(F.col("phone_key"), n))
         touched = [r[0] for r in dealt.select(BUCKET).distinct().collect()]  # no more than there are buckets
         had = change.part("visits", touched).drop(BUCKET) if "visits" in change.folders else None
@@ -113,9 +119,6 @@ def fold_logs(
             _some(change, fresh, visits, before, touched, now, cfg)
             return None
         if not started:
-            if base is None and participants is None:
-                raise ValueError("the store is empty: give the participants to start from")
-            source = participants if base is None else base.tables["processed"]
             if base is None:
                 change.put("original", participants)
             change.put("roster", in_buckets(source, n))

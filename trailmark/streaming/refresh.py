@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.config import ProgressConfig
-from trailmark.plans.live import BUCKETS, fold_logs
+from trailmark.plans.live import fold_logs
 from trailmark.sources.snapshots import SnapshotStore
 from trailmark.streaming.store import start, stream_id
 
@@ -21,7 +21,7 @@ def stream_refresh(
     checkpoint: str,
     clock: Callable[[], datetime],
     cfg: ProgressConfig,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Every batch becomes a portion of logs in the newest version of a store, see :func:`fold_logs`.
