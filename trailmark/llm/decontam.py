@@ -12,8 +12,8 @@ fewer than ``least_literal`` plain words are not used.  Items shorter than a win
 Items without a usable window (too short, too many placeholders) are found as a whole, word for word with their values;
 those of fewer than ``least_literal`` words only where they stand as sentences of their own.  Scripts written without
 blanks are cut by character.
-Null and empty texts match nothing; repeated rows count once; null ids stay null; extra columns are ignored; an empty
-benchmark finds nothing.  All of it is column expressions and SQL joins.
+Null and empty texts match nothing; repeated rows count once; null ids stay null; extra columns, whatever their names, are
+ignored; an empty benchmark finds nothing; a document with several alignments to an item counts with its best numbers.  All of it is column expressions and SQL joins.
 """
 
 from __future__ import annotations

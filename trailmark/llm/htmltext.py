@@ -11,7 +11,8 @@ adverts and reader comments put in under other names and places, and with its ar
 
 A null or empty html, and one without main text, gives an empty text; a page cut off inside a tag, a reference or a
 script is read as far as it goes; only script, style, textarea and title run to the end of the page without their end
-tag, of other skipped elements the tag alone goes then; formulas are text; repeated rows come out each; a null page_id stays null; extra columns are ignored; an
+tag, of other skipped elements the tag alone goes then; formulas are text; repeated rows come out each; a null page_id stays null; extra columns, whatever their names, are ignored; a block for which
+both labels are equally likely is no main text; pages of one hash are learned from in the order of their html; an
 empty table gives no rows.  The whole html is read, blocks are neither dropped nor cut for length.
 """
 

@@ -10,7 +10,8 @@ documents that are not held out; of each a short piece is learned from too.  Lan
 table are families of their own.
 
 A text that is null or has no letter is ``und`` with score 0; a null id is not held out; without labelled texts all are
-``und``; repeated rows come out each; extra columns are ignored; an empty table gives no rows; whole texts are read.
+``und``; repeated rows come out each; extra columns, whatever their names, are ignored; an empty table gives no rows; whole
+texts are read; equal votes are settled by certainty, and what is equal then goes to the first language or family by name.
 """
 
 from __future__ import annotations
