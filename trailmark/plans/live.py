@@ -17,8 +17,9 @@ from trailmark.functions.text import with_phone_key
 from trailmark.operators import tallies
 from trailmark.operators.logs import VISITS, merge_visits, screen_visits, summarise
 from trailmark.plans.refresh import refresh_participants
+from trailmark.sources.folders import remove
 from trailmark.sources.snapshots import BUCKET, Change, Snapshot, SnapshotStore
-from trailmark.sources.workdir import stored
+from trailmark.sources.workdir import new_folder, stored
 
 #: Participants of a bucket of a new store, and its least and greatest number of buckets; a store keeps the number it began with.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 16, 4096
@@ -52,23 +53,25 @@ def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.alias("a").join(before.alias("b"), same, "left_anti")
 
 
-def _some(change: Change, fresh: DataFrame, visits: DataFrame, before: DataFrame, touched: list[int], now: datetime, cfg: ProgressConfig) -> None:
+def _some(
+    change: Change, fresh: DataFrame, visits: DataFrame, before: DataFrame, touched: list[int], now: datetime, cfg: ProgressConfig, scratch: str
+) -> None:
     """Classify the participants whose summary the fresh visits changed; all other rows of their buckets are copied."""
     phones = fresh.select("phone_key").distinct()
     old, new = (summarise(v.join(phones, "phone_key", "left_semi"), cfg) for v in (before, visits))
-    changed = stored(_changed(old, new), "changed")
+    changed = stored(_changed(old, new), "changed", scratch)
 
     def of_changed(rows: DataFrame, how: str) -> DataFrame:
         return with_phone_key(rows, "phone", "phone_key").join(changed.select("phone_key"), "phone_key", how).drop("phone_key")
 
-    again = stored(refresh_participants(of_changed(change.part("roster", touched), "left_semi"), changed, now, cfg), "classified")
+    again = stored(refresh_participants(of_changed(change.part("roster", touched), "left_semi"), changed, now, cfg), "classified", scratch)
     buckets = [r[0] for r in again.select(BUCKET).distinct().collect()]  # no more than there are
     if not buckets:
         return
     held = change.part("processed", buckets)
     if "tallies" in change.folders:
         moved = tallies.difference(of_changed(held, "left_semi"), again, cfg)
-        change.put("tallies", tallies.merged(change.base.tables["tallies"].unionByName(moved)).coalesce(1))
+        change.put("tallies", tallies.merged(change.base.tables["tallies"].unionByName(moved)))
     change.put("processed", of_changed(held, "left_anti").unionByName(again), buckets)
     change.drop("postings", "search_rows")
 
@@ -91,11 +94,18 @@ def fold_logs(
     store that has none yet; by default it grows with the participants.  ``mark`` names the portion: a portion whose
     number is not above that of its last one is in the store already and changes nothing.
     """
-    fresh = stored(screen_visits(logs, cfg), "visits")
+    def known(marks: dict[str, str]) -> bool:
+        return mark is not None and int(marks.get(mark[0], -1)) >= mark[1]
+
+    newest = store.read()
+    if newest and known(newest.marks):
+        return newest
+    scratch = new_folder(store.spark, "portion")
+    fresh = stored(screen_visits(logs, cfg), "visits", scratch)
 
     def build(change: Change) -> bool | None:
         base = change.base
-        if mark and int(change.marks.get(mark[0], -1)) >= mark[1]:
+        if known(change.marks):
             return False
         if mark:
             change.marks[mark[0]] = str(mark[1])
@@ -116,7 +126,7 @@ def fold_logs(
         started = change.in_buckets("roster", "processed")
         current = started and now - datetime.fromisoformat(change.marks[_CLASSIFIED]) < OUTDATED
         if current:
-            _some(change, fresh, visits, before, touched, now, cfg)
+            _some(change, fresh, visits, before, touched, now, cfg, scratch)
             return None
         if not started:
             if base is None:
@@ -125,10 +135,13 @@ def fold_logs(
         summary = summarise(change.table("visits"), cfg)
         processed = change.put("processed", refresh_participants(in_buckets(change.table("roster"), n), summary, now, cfg))
         change.marks[_CLASSIFIED] = now.isoformat()
-        change.put("tallies", tallies.tally(processed, cfg).coalesce(1))
+        change.put("tallies", tallies.tally(processed, cfg))
         change.drop("postings", "search_rows")
         return None
 
-    made = store.update(version, build, now)
+    try:
+        made = store.update(version, build, now)
+    finally:
+        remove(store.spark, scratch)
     store.expire(cfg.retained_versions)
     return made

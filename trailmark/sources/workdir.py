@@ -29,13 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str, below: str | None = None) -> str:
+    """A fresh folder below the shared one, or below a folder of the caller."""
+    return f"{(below or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: worked out once, and safe when executors are lost."""
-    folder = new_folder(rows.sparkSession, name)
+def stored(rows: DataFrame, name: str, below: str | None = None) -> DataFrame:
+    """The rows written to the shared folder and read back: worked out once, and safe when executors are lost.
+
+    Who names the folder ``below`` which they are written may remove it once nothing reads them any more.
+    """
+    folder = new_folder(rows.sparkSession, name, below)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
