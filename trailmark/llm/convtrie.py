@@ -61,7 +61,7 @@ def rebuilt(convs: DataFrame) -> DataFrame:
 
     def joined(c: str) -> Column:
         begin = F.slice(F.coalesce(f"base_{c}", F.expr(f"slice({c}, 1, 0)")), F.lit(1), F.col("h"))
-        return F.concat(begin, F.slice(c, F.col("h") + 1, F.greatest(F.size(c), F.lit(0))))
+        return F.concat(begin, F.slice(c, F.col("h") + 1, F.size(c)))
 
     return rows.select("conv_id", joined("ids").alias("ids"), joined("sizes").alias("sizes"))
 
@@ -95,8 +95,14 @@ _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binar
 _ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in f"{NODES}, {EDGES}".split(", "))])
 
 
-def _name(beginning: bytes) -> bytes:
-    return hashlib.md5(beginning).digest()
+def _names(key: bytes) -> list[bytes]:
+    """128-bit names of all beginnings of a key, by their number of turns."""
+    state = hashlib.md5()
+    made = [state.digest()]
+    for at in range(0, len(key), WIDTH):
+        state.update(key[at : at + WIDTH])
+        made.append(state.digest())
+    return made
 
 
 def _digest(ids: list[int]) -> str:
@@ -149,6 +155,7 @@ def chunk_nodes(chunk: int, keys: list[tuple[bytes, int]], sizes: dict[bytes, in
             sums.setdefault(id(parent), Sums()).add(now)
     # from the root down: the turn node above, and whether a node lies on the first or the last key's path
     nearest: dict[int, tuple[int | None, bytes | None]] = {}
+    names = _names(first), _names(last)
     on: dict[int, tuple[bool, bool]] = {id(tree.root): (True, True)}
     for node, depth, parent, byte in reversed(order):
         conv_above, name_above = nearest[id(parent)] if parent is not None else (None, None)
@@ -157,10 +164,10 @@ def chunk_nodes(chunk: int, keys: list[tuple[bytes, int]], sizes: dict[bytes, in
             span = bytes([byte]) + node.path
             on[id(node)] = tuple(o and key[start:depth] == span for o, key in zip(on[id(parent)], (first, last), strict=True))
         on_first, on_last = on[id(node)]
-        path = first if on_first else last if on_last else None
+        path = names[0] if on_first else names[1] if on_last else None
         for d, n_children, top in reversed(turns_of[id(node)]):
             ends = own_values.get(id(node), []) if d == depth else []
-            name = None if path is None else _name(path[:d])
+            name = None if path is None else path[d // WIDTH]
             listed = ",".join(map(str, ends)) if path is not None and ends else None
             saved = (top.members, n_children, top.leaves, top.weighted, top.bytes)
             yield (chunk, path is None, name, name_above, d // WIDTH, top.least, conv_above, *saved, listed, _digest(ends) if path is None else None)
@@ -175,10 +182,11 @@ def _overlap(chunk: int, before: bytes, first: bytes, sizes: dict[bytes, int]) -
         same += WIDTH
     doubled = 1 if same == len(before) else 0  # the last node before is a leaf there, and again or not at all a leaf here
     size = sum(sizes[first[d : d + WIDTH]] for d in range(0, same, WIDTH))
+    names = _names(first[:same])
     for d in range(0, same + 1, WIDTH):
         size -= sizes[first[d - WIDTH : d]] if d else 0
         own = sizes[first[d - WIDTH : d]] if d else 0
-        yield (chunk, False, _name(first[:d]), None, d // WIDTH, None, None, 0, -1 if d < same else 0, -doubled, 0, -size - own, None, None)
+        yield (chunk, False, names[d // WIDTH], None, d // WIDTH, None, None, 0, -1 if d < same else 0, -doubled, 0, -size - own, None, None)
 
 
 def _chunks(frames: Iterator[pa.RecordBatch], most_keys: int, most_turns: int) -> Iterator[pa.RecordBatch]:
