@@ -25,11 +25,12 @@ each shuffle, and nothing that grows with the data goes to the driver or is broa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.blocks import Block, blocks
@@ -42,6 +43,8 @@ from trailmark.sources.workdir import new_folder
 KEPT_BITS, COUNT_BITS = 48, 44
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 512
+#: Pairs of a family that are tested in a round, and rounds, before the pairs that are then connected are dropped.
+PICKS, ROUNDS = 4, 2
 _LOW = (1 << 40) - 1
 _SETS = (
     "block bigint, doc_id bigint, set_id bigint, n bigint, first boolean, single bigint, depth bigint, tokens array<bigint>, places array<int>, elements binary"
@@ -259,7 +262,8 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     met = met.select("x", F.explode(F.filter("found_r", fits)).alias("y"))
     pairs = met.select(F.least("x.family", "y.family").alias("a"), F.greatest("x.family", "y.family").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(_sized(overlaps(pairs.join(known, ["a", "b"], "left_anti"), sets), size), "family-overlaps")
+    pairs = stored(pairs.join(known, ["a", "b"], "left_anti"), "family-pairs")
+    second = between_families(pairs, linked.join(heads, "a", "left_semi").select("a", "b"), sets, size, percent)
 
     # members of families that nothing has connected yet
     found = linked.select("a", "b").unionByName(second.where(_links(percent)).select("a", "b"))
@@ -299,6 +303,34 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
 
 
+def between_families(pairs: DataFrame, links: DataFrame, sets: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """(a, b, o, n_a, n_b) of the pairs of families, but for those that links of others connect anyway.
+
+    Each round takes up to ``PICKS`` pairs of every family, in an order by hash, and drops what their links connect; then
+    all that is left is taken.  In a large group of similar families few links connect all, and the pairs among them,
+    which grow with the square of the group, need no test.  Pairs that are not connected are all tested.
+    """
+    found = []
+    for turn in range(ROUNDS):
+        pairs = _apart(pairs, links)
+        sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+        order = Window.partitionBy("node").orderBy(F.xxhash64("a", "b", F.lit(turn)), "a", "b")
+        picked = sides.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PICKS).select("a", "b").distinct()
+        found.append(stored(_sized(overlaps(picked, sets), size), "family-overlaps"))
+        links = links.unionByName(found[-1].where(_links(percent)).select("a", "b"))
+        pairs = stored(pairs.join(found[-1].select("a", "b"), ["a", "b"], "left_anti"), "family-pairs")
+    found.append(stored(_sized(overlaps(_apart(pairs, links), sets), size), "family-overlaps"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs that the links do not connect."""
+    roots = stored(components(links), "family-roots")
+    for s in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _sized(found: DataFrame, size: DataFrame) -> DataFrame:
     found = found.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a")
     return found.join(size.select(F.col("set_id").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "o", "n_a", "n_b")
