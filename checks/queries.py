@@ -377,7 +377,7 @@ def refresh_counts(spark, sf):
     store = SnapshotStore(spark, new_folder(spark, "snapshots"))
     roster, contacts = view(spark, sf, "fx_participants"), view(spark, sf, "fx_contacts")
     processed, pending = refresh(roster, contacts, view(spark, sf, "fx_logs"), AS_OF, CFG)
-    return dashboard.refresh_counts(store.write("2024-01-31", {"processed": processed, "pending": pending}, AS_OF), spark)
+    return dashboard.written_counts(store.write("2024-01-31", {"processed": processed, "pending": pending}, AS_OF), spark)
 
 
 @query

@@ -86,8 +86,8 @@ def test_upsert_reduces_new_rows_only(spark, no_broadcast):
 
 def test_counters_cost_no_second_run(spark, tmp_path):
     snapshot = SnapshotStore(spark, str(tmp_path)).write("1", {"processed": view(spark, SF, "fx_participants")})
-    assert "Scan parquet" not in tree(dashboard.refresh_counts(snapshot, spark))
-    assert dashboard.refresh_counts(snapshot, spark).first().asDict() == {"total_updated": 150, "pending_found": 0}
+    assert "Scan parquet" not in tree(dashboard.written_counts(snapshot, spark))
+    assert dashboard.written_counts(snapshot, spark).first().asDict() == {"total_updated": 150, "pending_found": 0}
 
 
 def test_times_are_parsed_once_per_log_row(raw_logs):

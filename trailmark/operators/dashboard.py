@@ -208,7 +208,16 @@ def screen_labels(df: DataFrame, cfg: ProgressConfig) -> DataFrame:
     return df.withColumn("screen_label", lookup(cfg.screen_labels, F.col("current_screen")))
 
 
-def refresh_counts(snapshot: Snapshot, spark: SparkSession) -> DataFrame:
-    """Rows updated and pending contacts found by the refresh that made a version, as counted while they were written."""
+def refresh_counts(processed: DataFrame, pending: DataFrame) -> DataFrame:
+    """Rows updated and pending contacts found by a refresh, in one row; counts tables that are not written anywhere."""
+    marks = processed.select(F.lit("updated").alias("kind")).unionAll(pending.select(F.lit("pending").alias("kind")))
+    return marks.agg(
+        F.count_if(F.col("kind") == "updated").alias("total_updated"),
+        F.count_if(F.col("kind") == "pending").alias("pending_found"),
+    )
+
+
+def written_counts(snapshot: Snapshot, spark: SparkSession) -> DataFrame:
+    """The same of the refresh that made a version, as counted while its tables were written."""
     counts = [(snapshot.rows.get("processed", 0), snapshot.rows.get("pending", 0))]
     return spark.createDataFrame(counts, "total_updated bigint, pending_found bigint")
