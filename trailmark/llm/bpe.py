@@ -108,8 +108,8 @@ def _ids(blob: bytes) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _map_blocks(docs: DataFrame, path: str, finish, schema: str, key: str, text: str) -> DataFrame:
-    made = blocks(docs, lambda t: split_words(t, path), key, text, most_words=BLOCK_WORDS)
+def _map_blocks(docs: DataFrame, path: str, finish, schema: str, key: str, text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+    made = blocks(docs, lambda t: split_words(t, path), key, text, most_words=block_words)
 
     def in_order(block: Block, blobs: list[bytes], order: np.ndarray) -> pd.DataFrame:
         ids: list = [None] * len(order)
@@ -144,9 +144,10 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return rows.withColumn(key, F.col(key).cast("bigint"))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Number of tokens, digest of the ids and digest of the text decoded from them, for every document.
 
+    Blocks of fewer words need less memory and more disk.
     Ids and decoded bytes are made once a distinct word of a block and joined by position.
     """
 
@@ -165,4 +166,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             of_text.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
         return pd.DataFrame({"doc_id": pd.Series(block.ids, dtype="Int64"), "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text})
 
-    return _map_blocks(docs, path, finish, DIGESTS, "doc_id", "text")
+    return _map_blocks(docs, path, finish, DIGESTS, "doc_id", "text", block_words)

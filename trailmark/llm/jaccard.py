@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.blocks import Block, blocks
+from trailmark.llm.blocks import BLOCK_WORDS, Block, blocks
 from trailmark.llm.common import pack, stored, unpack
 from trailmark.llm.components import components
 from trailmark.sources.folders import remove
@@ -152,10 +152,10 @@ def _from_six(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def set_rows(docs: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """A stored row for each document: its set, and for the first of a set in a block the shared first shingles."""
     folder = new_folder(docs.sparkSession, "blocks")
-    made = blocks(docs, split_lower, key, text, folder=folder)
+    made = blocks(docs, split_lower, key, text, most_words=block_words, folder=folder)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c.split()[0] for c in _SETS.split(", ")]
 
@@ -358,9 +358,11 @@ def _reach(low_l, high_l, rest_l, low_r, high_r, rest_r, percent: int, in_block:
     return enough & (c(high_l) * 100 >= c(low_r) * percent) & (c(high_r) * 100 >= c(low_l) * percent)
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, set_id, n_shingles, component_id) of every document."""
-    rows = set_rows(docs, width, percent, key, text)
+def join(
+    docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """(doc_id, set_id, n_shingles, component_id) of every document; blocks of fewer words need less memory and more disk."""
+    rows = set_rows(docs, width, percent, key, text, block_words)
     roots = linked_components(rows, percent)
     own = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     own = own.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
