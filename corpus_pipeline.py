@@ -42,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nameless = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), nameless).alias("id"))
     rows = rows.withColumn("text", F.col("doc.text"))
-    classes = stored(jaccard.join(rows, key="id").where("set_id is not null and doc_id = component_id"), "copies")
+    classes = stored(jaccard.join(rows, key="id", block_words=700_000).where("set_id is not null and doc_id = component_id"), "copies")
     named = rows.where(has_words()).join(classes.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
@@ -56,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and of the decoded text of every document."""
-    return bpe.digests(docs, tokenizer_path())
+    return bpe.digests(docs, tokenizer_path(), block_words=3_000_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
