@@ -29,7 +29,7 @@ def main() -> None:
     args = parser.parse_args()
     spark = build_session(
         "shapes",
-        spark__master="local[8]",
+        spark__master="local[*]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__enabled="false",
