@@ -25,7 +25,6 @@ each shuffle, and nothing that grows with the data goes to the driver or is broa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,8 +42,8 @@ from trailmark.sources.workdir import new_folder
 KEPT_BITS, COUNT_BITS = 48, 44
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 512
-#: Pairs of a family that are tested in a round, and rounds, before the pairs that are then connected are dropped.
-PICKS, ROUNDS = 4, 2
+#: Pairs of a family that are tested before the pairs that are then connected are dropped.
+PICKS = 6
 _LOW = (1 << 40) - 1
 _SETS = (
     "block bigint, doc_id bigint, set_id bigint, n bigint, first boolean, single bigint, depth bigint, tokens array<bigint>, places array<int>, elements binary"
@@ -306,21 +305,17 @@ def linked_components(rows: DataFrame, percent: int) -> DataFrame:
 def between_families(pairs: DataFrame, links: DataFrame, sets: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     """(a, b, o, n_a, n_b) of the pairs of families, but for those that links of others connect anyway.
 
-    Each round takes up to ``PICKS`` pairs of every family, in an order by hash, and drops what their links connect; then
-    all that is left is taken.  In a large group of similar families few links connect all, and the pairs among them,
-    which grow with the square of the group, need no test.  Pairs that are not connected are all tested.
+    Up to ``PICKS`` pairs of every family, in an order by hash, are tested first; what their links connect is dropped, and
+    all that is left is tested.  In a large group of similar families few links connect all, and most of the pairs among
+    them, which grow with the square of the group, need no test.  Pairs that are not connected are all tested.
     """
-    found = []
-    for turn in range(ROUNDS):
-        pairs = _apart(pairs, links)
-        sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-        order = Window.partitionBy("node").orderBy(F.xxhash64("a", "b", F.lit(turn)), "a", "b")
-        picked = sides.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PICKS).select("a", "b").distinct()
-        found.append(stored(_sized(overlaps(picked, sets), size), "family-overlaps"))
-        links = links.unionByName(found[-1].where(_links(percent)).select("a", "b"))
-        pairs = stored(pairs.join(found[-1].select("a", "b"), ["a", "b"], "left_anti"), "family-pairs")
-    found.append(stored(_sized(overlaps(_apart(pairs, links), sets), size), "family-overlaps"))
-    return reduce(DataFrame.unionByName, found)
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    order = Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b")
+    picked = sides.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PICKS).select("a", "b").distinct()
+    first = stored(_sized(overlaps(picked, sets), size), "family-overlaps")
+    links = links.unionByName(first.where(_links(percent)).select("a", "b"))
+    rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return first.unionByName(stored(_sized(overlaps(_apart(rest, links), sets), size), "family-overlaps"))
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
