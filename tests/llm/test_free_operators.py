@@ -8,6 +8,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -162,6 +163,62 @@ def test_gradients_agree_at_the_start():
     assert np.allclose(lmscore.gradient(model, slots, rows), lmscore.bias_gradient(model, slots, rows), atol=1e-3)
 
 
+def test_every_training_document_is_in_one_gradient_of_the_model(monkeypatch):
+    block = SimpleNamespace(ids=[*range(1, 2000), None], flags=np.arange(2000) % 7 != 2)
+    chosen = []
+    monkeypatch.setattr(lmscore, "_summed", lambda made, each, keep: [chosen.append(keep(block)), np.zeros(4 * lmscore.ROWS * lmscore.CLASSES)][1])
+    lmscore.train(None, np.ones(lmscore.SLOTS, "i8"))
+    assert (chosen[0] == block.flags).all()
+    assert (np.sum(chosen[1:], axis=0) == block.flags).all()
+
+
+def test_gradient_is_the_sum_over_tokens(monkeypatch):
+    monkeypatch.setattr(lmscore, "BATCH", 64)
+    draw = np.random.default_rng(3)
+    slots, width = draw.integers(0, lmscore.SLOTS, 150), lmscore.CLASSES
+    model = lmscore.Model.from_counts(np.bincount(slots, minlength=lmscore.SLOTS))
+    model.class_weights += draw.normal(0, 1, model.class_weights.shape).astype("f4")
+    model.member_weights += draw.normal(0, 1, model.member_weights.shape).astype("f4")
+    rows = lmscore.features(draw.integers(0, 9, 150).astype("u8"), np.array([0, 100]), np.array([100, 50]))
+    want = np.zeros((4, lmscore.ROWS, width))
+    for slot, row in zip(slots, rows, strict=True):
+        c, m = divmod(slot, lmscore.MEMBERS)
+        member_row = lmscore._member_rows(row[None], np.array([c]))[0]
+        for into, own, bias, weights, seen in ((0, row, model.class_bias, model.class_weights, c), (2, member_row, model.member_bias[c], model.member_weights, m)):
+            chances = np.exp((bias + weights[own].sum(0)).astype("f8"))
+            chances /= chances.sum()
+            for r in own:
+                want[into, r] += np.eye(width)[seen] - chances
+                want[into + 1, r] += chances
+    assert np.allclose(lmscore.gradient(model, slots, rows), want.ravel(), atol=1e-4)
+
+
+def test_scores_equal_those_of_a_model_trained_in_one_place(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice("abcdefghij") + draw.choice("xyz") for _ in range(draw.randrange(1, 60)))) for i in range(400)]
+    got = {r.doc_id: r.score for r in lmscore.scores(docs(spark, rows).repartition(3)).collect()}
+    texts = {i: t.encode().split() + [b"\n"] for i, t in rows}
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in learned for w in texts[i])
+    slot_of = lambda ws: (lmscore.word_hashes(ws) % np.uint64(lmscore.SLOTS)).astype("i8")
+    n, v = (np.bincount(slot_of(list(count)), by, lmscore.SLOTS) for by in (list(count.values()), [1] * len(count)))
+
+    def seen(ids):
+        sizes = np.array([len(texts[i]) for i in ids])
+        hashes = lmscore.word_hashes([w for i in ids for w in texts[i]])
+        return (hashes % np.uint64(lmscore.SLOTS)).astype("i8"), lmscore.features(hashes, np.cumsum(sizes) - sizes, sizes)
+
+    model = lmscore.Model.from_counts(n)
+    model = model.stepped(lmscore.bias_gradient(model, *seen(learned)), 0.25, 400.0)
+    for share in range(8):
+        own = [i for i in learned if (i * 0x9E3779B97F4A7C15 % 2**64 >> 33) % 8 == share]
+        model = model.stepped(lmscore.gradient(model, *seen(own)), 0.25, 400.0 / 8)
+    for i, ws in texts.items():
+        slots = slot_of(ws)
+        inside = np.log10([count[w] + 1 for w in ws]) - np.log10(n[slots] + v[slots] + 1)
+        assert got[i] == pytest.approx((lmscore.log_slots(model, *seen([i])) / np.log(10) + inside).sum(), rel=1e-5)
+
+
 def test_scores_of_odd_rows(spark):
     got = lmscore.scores(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)

@@ -6,9 +6,9 @@ P(word | history) = P(class | history) P(member | class, history) P(word | slot)
 before, the two words before (n-grams), and the words two and three back (skips).
 
 Training updates the weights from all training documents, distributed: the biases from the slot counts, one gradient
-over all training tokens from there, and one more gradient for each of ``updates`` disjoint shares of the training
-documents (by hash, so shares grow with the input), each task summing its blocks and the sums meeting in a tree of
-bounded fan-in.  Steps are scaled by expected feature counts.  Scoring goes over blocks of texts in numpy.
+over all training tokens from there, and one more gradient for each of ``shares`` disjoint shares that together are all
+training documents (by hash), each task summing its blocks and the sums meeting in a tree of bounded fan-in.  Steps are
+scaled by expected feature counts.  Gradients and scores go over blocks of texts in numpy, in batches that fit a core's cache.
 
 The base score is the unigram score with add-one smoothing, from exact counts of the whole training corpus.
 Words are split at ASCII white space, A-Z in lower case; every text ends with one end token, so null and empty texts
@@ -36,8 +36,8 @@ SLOTS = CLASSES * MEMBERS
 BUCKETS, KINDS = 2048, 4
 ROWS = BUCKETS * KINDS
 END = b"\n"
-#: Sums that meet in one group of the tree, cells of a chunk of the sum, tokens of a scoring batch.
-FAN_IN, CHUNK, BATCH = 64, 1 << 16, 1 << 17
+#: Sums that meet in one group of the tree, cells of a chunk of the sum, tokens of a batch.
+FAN_IN, CHUNK, BATCH = 64, 1 << 16, 1 << 14
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -98,18 +98,21 @@ def _member_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return kind * BUCKETS + (rows % BUCKETS * 31 + classes[:, None] * 677) % BUCKETS
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = logits.max(1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(1, keepdims=True)
-    return e / total, (top + np.log(total))[:, 0]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in place of the logits."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(0)
+    return logits
 
 
 def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = bias + weights[rows[:, 0]]
+    """A row for each class (or member), a column for each token; ``bias`` has a row for each token or one for all."""
+    out = weights.take(rows[:, 0], axis=0)
     for k in range(1, KINDS):
-        out += weights[rows[:, k]]
-    return out
+        out += weights.take(rows[:, k], axis=0)
+    out += bias
+    return np.ascontiguousarray(out.T)
 
 
 def log_slots(model: Model, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -120,53 +123,55 @@ def log_slots(model: Model, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
         c, m, at = s // MEMBERS, s % MEMBERS, np.arange(len(s))
         one = _logits(model.class_bias, model.class_weights, r)
         two = _logits(model.member_bias[c], model.member_weights, _member_rows(r, c))
-        out[a : a + BATCH] = one[at, c] - _log_total(one) + two[at, m] - _log_total(two)
+        out[a : a + BATCH] = one[c, at] - _log_total(one) + two[m, at] - _log_total(two)
     return out
 
 
 def _log_total(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+    top = logits.max(0)
+    return top + np.log(np.exp(logits - top).sum(0))
+
+
+def _joint(buckets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Tokens by bucket of one kind and value (class or member)."""
+    return np.bincount(buckets * CLASSES + values, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
 
 
 def gradient(model: Model, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Gradient and expected counts of both factors at the model, flat."""
-    sums = np.zeros((4, ROWS, CLASSES))
+    seen, expected = np.zeros((2, KINDS, BUCKETS, CLASSES)), np.zeros((2, KINDS, CLASSES, BUCKETS))
     for a in range(0, len(slots), BATCH):
         s, r = slots[a : a + BATCH], rows[a : a + BATCH]
         c, m = s // MEMBERS, s % MEMBERS
         mr = _member_rows(r, c)
-        p, _ = _softmax(_logits(model.class_bias, model.class_weights, r))
-        q, _ = _softmax(_logits(model.member_bias[c], model.member_weights, mr))
-        for into, kind_rows, seen, expected in ((0, r, c, p), (2, mr, m, q)):
+        p = _softmax(_logits(model.class_bias, model.class_weights, r))
+        q = _softmax(_logits(model.member_bias[c], model.member_weights, mr))
+        for factor, kind_rows, values, chances in ((0, r, c, p), (1, mr, m, q)):
             for k in range(KINDS):
-                bucket = kind_rows[:, k]
-                counts = np.bincount(bucket * CLASSES + seen, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                buckets = kind_rows[:, k].astype("i8") % BUCKETS
+                seen[factor, k] += _joint(buckets, values)
                 for j in range(CLASSES):
-                    sums[into + 1, :, j] += np.bincount(bucket, expected[:, j], minlength=ROWS)
-                sums[into] += counts
-    sums[0] -= sums[1]
-    sums[2] -= sums[3]
-    return sums.ravel()
+                    expected[factor, k, j] += np.bincount(buckets, chances[j], BUCKETS)
+    expected = expected.transpose(0, 1, 3, 2)
+    return np.stack([seen - expected, expected], axis=1).ravel()
 
 
 def bias_gradient(model: Model, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The same at a model without weights, where what is expected follows from counts alone."""
     p, q = np.exp(model.class_bias.astype("f8")), np.exp(model.member_bias.astype("f8"))
     p, q = p / p.sum(), q / q.sum(1, keepdims=True)
-    c, m = slots // MEMBERS, slots % MEMBERS
-    mr = _member_rows(rows, c)
-    sums = np.zeros((4, ROWS, CLASSES))
-    joint = lambda bucket, value: np.bincount(bucket * CLASSES + value, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-    for k in range(KINDS):
-        by_class = joint(rows[:, k], c)
-        sums[0] += by_class
-        sums[1] += by_class.sum(1)[:, None] * p
-        sums[2] += joint(mr[:, k], m)
-        sums[3] += joint(mr[:, k], c) @ q
-    sums[0] -= sums[1]
-    sums[2] -= sums[3]
-    return sums.ravel()
+    counts = np.zeros((3, KINDS, BUCKETS, CLASSES), "i8")
+    for a in range(0, len(slots), BATCH):
+        s, r = slots[a : a + BATCH], rows[a : a + BATCH]
+        c, m = s // MEMBERS, s % MEMBERS
+        mr = _member_rows(r, c)
+        for k in range(KINDS):
+            buckets, member_buckets = r[:, k].astype("i8") % BUCKETS, mr[:, k].astype("i8") % BUCKETS
+            counts[0, k] += _joint(buckets, c)
+            counts[1, k] += _joint(member_buckets, m)
+            counts[2, k] += _joint(member_buckets, c)
+    by_class, by_member = counts[0].sum(2, keepdims=True) * p, counts[2] @ q
+    return np.concatenate([counts[0] - by_class, by_class, counts[1] - by_member, by_member], axis=None)
 
 
 def _summed(made: DataFrame, each, keep) -> np.ndarray:
@@ -177,29 +182,30 @@ def _summed(made: DataFrame, each, keep) -> np.ndarray:
         for frame in frames:
             for row in frame.itertuples():
                 block = Block(row)
-                hashes = block.hashes()
-                tokens = hashes[block.codes]
-                chosen = np.repeat(keep(block), block.sizes)
+                chosen = keep(block)
                 if chosen.any():
-                    rows = features(tokens, block.starts, block.sizes)[chosen]
-                    own = each((tokens[chosen] % np.uint64(SLOTS)).astype("i8"), rows)
+                    tokens = block.hashes()[block.codes[np.repeat(chosen, block.sizes)]]
+                    sizes = block.sizes[chosen]
+                    rows = features(tokens, np.cumsum(sizes, dtype="i8") - sizes, sizes)
+                    own = each((tokens % np.uint64(SLOTS)).astype("i8"), rows)
                     total = own if total is None else total + own
         if total is not None:
-            parts = [pack(total[a : a + CHUNK].astype("f8")) for a in range(0, len(total), CHUNK)]
+            parts = [pack(total[a : a + CHUNK].astype("f4")) for a in range(0, len(total), CHUNK)]
             task = TaskContext.get().partitionId()
             yield pd.DataFrame({"chunk": range(len(parts)), "task": [task] * len(parts), "sums": parts})
 
     schema = "chunk int, task int, sums binary"
-    level = stored(made.mapInPandas(partial, schema), "gradient")
+    level, last = made.mapInPandas(partial, schema), None
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(unpack(b, "f8") for b in frame.sums)
-        return pd.DataFrame({"chunk": frame.chunk[:1], "task": frame.task[:1] // FAN_IN, "sums": [pack(total)]})
+        total = sum(unpack(b, "f4").astype("f8") for b in frame.sums)
+        return pd.DataFrame({"chunk": frame.chunk[:1], "task": frame.task[:1] // FAN_IN, "sums": [pack(total.astype("f4"))]})
 
-    while (level.agg(F.max("task")).first()[0] or 0) > 0:
+    while last != 0:
         level = stored(level.groupBy("chunk", F.floor(F.col("task") / FAN_IN)).applyInPandas(met, schema), "gradient")
+        last = level.agg(F.max("task")).first()[0] or 0
     rows = level.orderBy("chunk").collect()  # as large as the model
-    return np.concatenate([unpack(r.sums, "f8") for r in rows]) if rows else np.zeros(4 * ROWS * CLASSES)
+    return np.concatenate([unpack(r.sums, "f4").astype("f8") for r in rows]) if rows else np.zeros(4 * ROWS * CLASSES)
 
 
 def _share(block: Block, share: int, shares: int) -> np.ndarray:
@@ -209,11 +215,11 @@ def _share(block: Block, share: int, shares: int) -> np.ndarray:
     return block.flags & (mixed % np.uint64(shares) == share)
 
 
-def train(made: DataFrame, slot_counts: np.ndarray, updates: int = 2, shares: int = 16, rate: float = 0.25, damping: float = 400.0) -> Model:
-    """The model after one gradient over all training tokens and one for each of ``updates`` shares."""
+def train(made: DataFrame, slot_counts: np.ndarray, shares: int = 8, rate: float = 0.25, damping: float = 400.0) -> Model:
+    """The model after one gradient over all training tokens and one for each of the ``shares`` they are dealt to."""
     model = Model.from_counts(slot_counts)
     model = model.stepped(_summed(made, lambda s, r, m=model: bias_gradient(m, s, r), lambda b: b.flags), rate, damping)
-    for u in range(updates):
+    for u in range(shares):
         keep = lambda b, u=u: _share(b, u, shares)
         model = model.stepped(_summed(made, lambda s, r, m=model: gradient(m, s, r), keep), rate, damping / shares)
     return model
